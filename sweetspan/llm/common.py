@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 #: A side is broadcast only while its counted rows times its widest row stay below this.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch, about.
+ARROW_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for an application."""
+    """Sends this package to the executors' Python workers, once for an application, and bounds Arrow batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(sc, "_shipped_package", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import line_templates, mixing, quality_rules, shards, url_filter
+from . import line_templates, mixing, quality_rules, shards, token_files, url_filter
 
 #: The rules that the URL query judges by: (host, path prefix, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -54,7 +54,16 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.clean(docs).select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-OPERATORS = [op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op8_line_templates]
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents as token blocks and reads them back."""
+    import public_tokenizers
+
+    files = token_files.TokenFiles(spark, token_files.new_folder(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    files.write(_table(spark, sf_dir, "documents"))
+    return files.documents()
+
+
+OPERATORS = [op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op8_line_templates, op10_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
