@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import line_templates, mixing, quality_rules, shards, token_files, url_filter
+from . import line_templates, mixing, pieces, quality_rules, shards, token_files, url_filter
 
 #: The rules that the URL query judges by: (host, path prefix, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -19,6 +19,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> bytes:
+    """The SentencePiece model of the queries."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, whether they decode to its text, and parity with the sentencepiece library."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, piece_model(), with_ids=False).drop("text")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -63,7 +77,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.documents()
 
 
-OPERATORS = [op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op8_line_templates, op10_token_files]
+OPERATORS = [op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op8_line_templates, op10_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
