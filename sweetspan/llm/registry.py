@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import line_templates, mixing, pieces, quality_rules, shards, shingle_join, token_files, url_filter
+from . import line_templates, mixing, pieces, quality_rules, shards, shingle_join, token_files, tree_weighting, url_filter
 
 #: The rules that the URL query judges by: (host, path prefix, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -67,6 +67,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(_table(spark, sf_dir, "documents"), size=3, num=9, den=10)
 
 
+def op7_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all texts, learnt from those whose crc32(doc_id as text) mod 7 is not 2."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return tree_weighting.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, group="lang")
+
+
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, dropped lines and the md5 of the rest of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,7 +88,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.documents()
 
 
-OPERATORS = [op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op6_ngram_jaccard, op8_line_templates, op10_token_files]
+OPERATORS = [op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op6_ngram_jaccard, op7_tree_weighting, op8_line_templates, op10_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
