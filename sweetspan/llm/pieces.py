@@ -23,6 +23,7 @@ text, which for models without normalisation is the text itself.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import common as C
-from .segments import SegmentEncoder, ragged
+from .segments import SegmentEncoder, ragged, slices
 
 MARK = "▁"
 #: Piece types and model kinds of the format.
@@ -166,8 +167,9 @@ class Model:
 class Codec:
     """Encodes and decodes many texts; one in each worker."""
 
-    def __init__(self, data: bytes, verify: bool = True):
+    def __init__(self, data: bytes, verify: bool = True, threads: int = 2):
         self.model = Model(data)
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.own, self.checked = self.model.backend(), None
         if verify:
             import sentencepiece
@@ -175,17 +177,33 @@ class Codec:
             self.checked = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.odd: set[str] = set()
         self._batch = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
-        joins = (lambda s: s[0] == MARK and s[-1] != MARK and not self._by_place(s)) if self.model.byte_fallback and self.model.kind == BPE else (lambda s: False)
-        self._segments = SegmentEncoder(self.model.segment_pattern(), self._encode, joins, self.model.widths)
+        self._segments = SegmentEncoder(self.model.segment_pattern(), self._encode, self._joins, self.model.widths, quick=self._quick_way(), final=lambda s: s.replace(" ", MARK))
         lengths = np.array(list(map(len, self.model.surface)), np.int64)
         self._bytes, self._length, self._start = np.frombuffer(b"".join(self.model.surface), np.uint8), lengths, np.cumsum(lengths) - lengths
 
+    def _quick_way(self):
+        """How texts without runs of spaces are cut before they are normalised, for models whose normaliser only escapes spaces."""
+        m = self.model
+        plain = m.segment_pattern().endswith(r"|\n") and not m.charsmap and m.dummy_prefix and not m.trims and m.escapes
+        return ((" ",), ("\n",), rf"  |{MARK}|\x1f") if plain else None
+
     @staticmethod
     def _by_place(s: str) -> bool:
         return re.search(r"(.)\1\1", s, re.S) is not None
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        hard = [self.model.kind == BPE and len(s) < 20_000 and self._by_place(s) for s in texts]
+    def _joins(self, column: pa.Array) -> np.ndarray:
+        """Segments of one marker and a word, in which no tie can matter."""
+        if not (self.model.byte_fallback and self.model.kind == BPE):
+            return np.zeros(len(column), bool)
+        out = pc.match_substring_regex(column, rf"^{MARK}[^{MARK}\n]+$").to_numpy(zero_copy_only=False).copy()
+        ends = np.cumsum(pc.utf8_length(column).to_numpy() + 1)
+        for m in re.finditer(r"(.)\1\1", "\n".join(column.to_pylist())):
+            out[np.searchsorted(ends, m.start(), "right")] = False
+        return out
+
+    def _encode(self, joint: list[str], alone: list[str]) -> list[list[int]]:
+        texts = joint + alone
+        hard = [False] * len(joint) + [self.model.kind == BPE and len(s) < 20_000 and self._by_place(s) for s in alone]
         quick = iter(self._batch([s for s, h in zip(texts, hard, strict=True) if not h], add_special_tokens=False))
         out = [self.model.merge_by_place(s) if h else next(quick).ids for s, h in zip(texts, hard, strict=True)]
         if self.checked is not None and self.model.dummy_prefix and self.model.escapes:
@@ -209,6 +227,13 @@ class Codec:
         """All ids and the number of each text's."""
         return self._segments.encode(map(self.model.normalise, texts))
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for an Arrow column without nulls."""
+        if not self._segments._quick:
+            return self.encode(column.to_pylist())
+        prefixed = pc.if_else(pc.equal(column, ""), column, pc.binary_join_element_wise(" ", column, ""))
+        return self._segments.encode_column(prefixed, lambda texts: self.encode([t[1:] for t in texts]))
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of the ids, the dummy prefix taken off."""
         out = self._bytes[ragged(self._start[ids], self._length[ids])].tobytes()
@@ -228,16 +253,6 @@ def _codec(data: bytes, verify: bool) -> Codec:
     return _codecs[key]
 
 
-def _slices(batch: pa.RecordBatch, at: int, size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
-    """First row and texts of short slices of a batch."""
-    column, row = batch.column(at), 0
-    ends = np.cumsum(np.fromiter((x or 0 for x in pc.binary_length(column).to_pylist()), np.int64, len(column)))
-    while row < len(column):
-        to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + size)))
-        yield row, [x or "" for x in column.slice(row, to - row).to_pylist()]
-        row = to
-
-
 def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = True, verify: bool = True) -> DataFrame:
     """``docs`` with n_pieces, piece_crc32 (of the ids as little-endian 32-bit integers), round_trip, parity and, if asked, piece_ids.
 
@@ -254,8 +269,9 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value, verify)
         for batch in batches:
-            for row, texts in _slices(batch, at):
-                ids, counts = codec.encode(texts)
+            for row, column in slices(batch.column(at)):
+                ids, counts = codec.encode_column(column)
+                texts = column.to_pylist()
                 ends = np.cumsum(counts)
                 own = [ids[e - n : e] for e, n in zip(ends, counts, strict=True)]
                 plain = [codec.model.normalise(t).replace(MARK, " ").encode()[int(codec.model.dummy_prefix and t != "") :] for t in texts]

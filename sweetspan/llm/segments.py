@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct segments remembered by a worker; beyond, it starts anew.  Segments looked up at a time, and joined in one string.
-MOST_SEGMENTS, AT_A_TIME, TOGETHER = 1_000_000, 300_000, 1_000
+MOST_SEGMENTS, AT_A_TIME, TOGETHER, LEARN = 700_000, 300_000, 64, 20_000
+_CUT = "\x1f"
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -26,64 +29,93 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - lengths), lengths)
 
 
-class _Memo(dict):
-    """Numbers segments in the order they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.new.append(key)
-        return n
-
-
 class SegmentEncoder:
-    """``pattern`` cuts segments; ``encode`` gives a list of ids for each string.
+    """``pattern`` cuts segments; ``encode`` gives a list of ids for each string
+    of two lists: segments joined, and segments that stand alone.
 
-    Segments for which ``joins`` holds may stand side by side in one string and
+    Segments that ``joins`` marks may stand side by side in one string and
     get the same ids; ``widths`` has the UTF-8 bytes of each id, by which such a
     string's ids are dealt out again.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], joins: Callable[[str], bool], widths: np.ndarray, most: int = MOST_SEGMENTS):
+    def __init__(self, pattern: str, encode: Callable[[list[str], list[str]], list[list[int]]], joins: Callable[[pa.Array], np.ndarray], widths: np.ndarray, quick: tuple[tuple[str, ...], tuple[str, ...], str] | None = None, final: Callable[[str], str] | None = None, most: int = MOST_SEGMENTS):
+        """``quick``: characters before which plain texts are cut, those that are cut out, and what plain texts don't match.
+
+        ``final`` makes a segment of the quick way one of the pattern's.
+        """
         self._find, self._iter = re.compile(pattern).findall, re.compile(pattern).finditer
-        self._encode, self._joins, self._widths, self._most = encode, joins, widths, most
+        self._encode, self._joins, self._widths, self._most, self._quick, self._final = encode, joins, widths, most, quick, final
         self._reset()
 
     def _reset(self) -> None:
-        self._memo = _Memo()
+        self._memo: dict[str, int] = {}
         self._pool, self._used = np.empty(1 << 16, np.uint32), 0
         self._start, self._length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self) -> None:
-        new, self._memo.new = self._memo.new, []
-        if not new:
-            return
-        first, n = len(self._memo) - len(new), len(self._memo)
-        while n > len(self._start):
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct segments; new ones are encoded."""
+        memo = self._memo
+        out = np.fromiter(map(memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
+        new, first = [words[k] for k in missing], len(memo)
+        memo.update(zip(new, range(first, first + len(new)), strict=True))
+        out[missing] = np.arange(first, first + len(new))
+        while len(memo) > len(self._start):
             self._start, self._length = (np.concatenate([x, np.empty_like(x)]) for x in (self._start, self._length))
-        joint = [k for k, s in enumerate(new) if self._joins(s)]
-        groups = [joint[k : k + TOGETHER] for k in range(0, len(joint), TOGETHER)] + [[k] for k, s in enumerate(new) if not self._joins(s)]
-        for group, ids in zip(groups, self._encode(["".join(new[k] for k in group) for group in groups]), strict=True):
-            ids = np.fromiter(ids, np.uint32, len(ids))
+        for k in range(0, len(new), LEARN):
+            self._learn(first + k, [self._final(x) for x in new[k : k + LEARN]] if self._final else new[k : k + LEARN])
+        return out
+
+    def _learn(self, first: int, new: list[str]) -> None:
+        column = pa.array(new, pa.string())
+        flags, sizes = self._joins(column), pc.binary_length(column).to_numpy()
+        joint, alone = np.flatnonzero(flags), np.flatnonzero(~flags)
+        groups = [joint[k : k + TOGETHER] for k in range(0, len(joint), TOGETHER)]
+        for group, ids in zip([*groups, *alone[:, None]], self._encode(["".join([new[k] for k in group]) for group in groups], [new[k] for k in alone]), strict=True):
+            ids = np.array(ids, np.uint32)
             if len(group) == 1:
                 ends = np.array([len(ids)])
             else:
-                bounds = np.cumsum([len(new[k].encode()) for k in group])
-                reached = np.cumsum(self._widths[ids])
+                bounds, reached = np.cumsum(sizes[group]), np.cumsum(self._widths[ids])
                 ends = np.searchsorted(reached, bounds) + 1
-                if not np.array_equal(reached[ends - 1], bounds):
+                if not np.array_equal(reached[np.minimum(ends, len(reached)) - 1], bounds):
                     raise ValueError("a token crosses the edge of a segment")
             while self._used + len(ids) > len(self._pool):
                 self._pool = np.concatenate([self._pool, np.empty_like(self._pool)])
             self._pool[self._used : self._used + len(ids)] = ids
             lengths = np.diff(ends, prepend=0)
-            at = first + np.array(group)
-            self._length[at], self._start[at] = lengths, self._used + ends - lengths
+            self._length[first + group], self._start[first + group] = lengths, self._used + ends - lengths
             self._used += len(ids)
 
+    def encode_column(self, column: pa.Array, slow: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for an Arrow column without nulls; texts that aren't plain go to ``slow``."""
+        cut, alone, odd = self._quick
+        other = pc.match_substring_regex(column, odd).to_numpy(zero_copy_only=False)
+        plain = column.filter(pa.array(~other)) if other.any() else column
+        if len(self._memo) > self._most:
+            self._reset()
+        for c in cut:
+            plain = pc.replace_substring(plain, c, _CUT + c)
+        for c in alone:
+            plain = pc.replace_substring(plain, c, _CUT + c + _CUT)
+        lists = pc.split_pattern(plain, _CUT)
+        coded = lists.flatten().dictionary_encode()
+        index = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        lengths = self._length[index]
+        ids = self._pool[ragged(self._start[index], lengths)]
+        offsets = lists.offsets.to_numpy()
+        counts = np.diff(np.concatenate([[0], np.cumsum(lengths)])[offsets - offsets[0]])
+        if not other.any():
+            return ids, counts
+        more, sizes = (slow or self.encode)(column.filter(pa.array(other)).to_pylist())
+        every = np.empty(len(column), np.int64)
+        every[~other], every[other] = counts, sizes
+        starts = np.empty(len(column), np.int64)
+        starts[~other], starts[other] = np.cumsum(counts) - counts, len(ids) + np.cumsum(sizes) - sizes
+        return np.concatenate([ids, more])[ragged(starts, every)], every
+
     def _pieces(self, texts: Iterable[str]) -> Iterator[tuple[list[str], list[int], bool]]:
         """Segments of some texts, their number in each, and whether the last of these goes on."""
         segments, counts = [], []
@@ -112,8 +144,10 @@ class SegmentEncoder:
         for segments, sizes, goes_on in self._pieces(texts):
             if len(self._memo) > self._most:
                 self._reset()
-            index = np.fromiter(map(self._memo.__getitem__, segments), np.int64, len(segments))
-            self._learn()
+            coded = pa.array(segments, pa.string()).dictionary_encode()
+            final, self._final = self._final, None  # the pattern's segments are final
+            index = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            self._final = final
             lengths = self._length[index]
             ids.append(self._pool[ragged(self._start[index], lengths)])
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *sizes])]
@@ -125,3 +159,13 @@ class SegmentEncoder:
             else:
                 counts.append(n)
         return np.concatenate([np.empty(0, np.uint32), *ids]), np.concatenate([np.empty(0, np.int64), *counts])
+
+
+def slices(column: pa.Array, size: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """First row and texts (nulls as empty ones) of slices of about ``size`` bytes."""
+    column = pc.fill_null(column.cast(pa.large_string()) if column.nbytes > 1 << 28 else column, "")
+    ends, row = np.cumsum(pc.binary_length(column).to_numpy()), 0
+    while row < len(column):
+        to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + size)))
+        yield row, column.slice(row, to - row)
+        row = to

@@ -1,9 +1,10 @@
 """Token ids in binary blocks under a canonical length-limited Huffman code.
 
-Two passes: the first counts all ids (one row for each id reaches the driver,
-as many as the vocabulary has), from which code lengths of at most ``LIMIT``
-bits come by package-merge; the second writes documents in ascending id order
-as rows of independent blocks.  A block holds its documents' ids and token
+Documents are dealt by ranges of their ids and tokenised once, in order, to
+plain blocks in the shared folder, with counts of all ids (one row for each id
+reaches the driver, as many as the vocabulary has).  From these, code lengths of
+at most ``LIMIT`` bits come by package-merge, and the blocks are written again
+under the code, each on its own, without a shuffle.  A block holds its documents' ids and token
 counts, the bit stream, and the bit offset of every ``CHECKPOINT``-th token;
 its decoder follows all checkpoints at once through one lookup table.  The code
 lengths, which make up the whole code, lie beside the blocks.
@@ -17,6 +18,7 @@ first; repeated rows are documents of their own; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,13 +31,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .segments import SegmentEncoder
+from .segments import SegmentEncoder, slices
 
 #: Longest code; tokens between checkpoints; tokens after which a block ends; text bytes in an output partition.
 LIMIT, CHECKPOINT, BLOCK_TOKENS, PART_BYTES = 16, 1024, 1 << 19, 24 << 20
 #: Byte-level BPE cuts before white space that follows anything else.
 BYTE_LEVEL = r"\s*\S+|\s+"
 _UNSAFE = tuple("\x1c\x1d\x1e\x1f")
+#: Runs of white space, white space at either end, and any but space and line feed.
+_NOT_PLAIN = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+IDS = "kind int, part int, block int, docs array<long>, counts array<int>, n_tokens long, wide boolean, ids binary, id long, n long"
 BLOCKS = "part int, block int, docs array<long>, counts array<int>, n_tokens long, checkpoints binary, payload binary"
 
 
@@ -119,26 +124,27 @@ class Decoder:
         return out.T.reshape(-1)[:n]
 
 
-def byte_level_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Ids of whole texts by the tokenizers library (no special tokens added)."""
+def byte_level_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Ids of a column of whole texts by the tokenizers library (no special tokens added)."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")
     own = Tokenizer.from_file(path)
     batch = getattr(own, "encode_batch_fast", own.encode_batch)
     vocabulary = own.get_vocab(with_added_tokens=True)
     widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for piece, k in vocabulary.items():
         widths[k] = len(piece)  # one character a byte
-    by_segment = SegmentEncoder(BYTE_LEVEL, lambda texts: [x.ids for x in batch(texts, add_special_tokens=False)], lambda s: s[0].isspace() and not s[-1].isspace(), widths)
+    by_segment = SegmentEncoder(
+        BYTE_LEVEL, lambda joint, alone: [x.ids for x in batch(joint + alone, add_special_tokens=False)], lambda c: pc.match_substring_regex(c, r"^[ \n][!-~\pL]").to_numpy(zero_copy_only=False), widths, quick=((" ", "\n"), (), _NOT_PLAIN)
+    )
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [k for k, t in enumerate(texts) if any(c in t for c in _UNSAFE)]  # white space here, but not for the library
-        if not odd:
-            return by_segment.encode(texts)
-        parts = [np.array(own.encode(t, add_special_tokens=False).ids, np.uint32) if k in set(odd) else by_segment.encode([t])[0] for k, t in enumerate(texts)]
-        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+    def slow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Some control characters are white space to Python, but not to the library.
+        parts = [np.array(own.encode(t, add_special_tokens=False).ids, np.uint32) if any(c in t for c in _UNSAFE) else by_segment.encode([t])[0] for t in texts]
+        return np.concatenate([np.empty(0, np.uint32), *parts]), np.array([len(x) for x in parts], np.int64)
 
-    return encode
+    return lambda column: by_segment.encode_column(column, slow)
 
 
 _encoders: dict[str, Callable] = {}
@@ -150,17 +156,6 @@ def _encoder(path: str) -> Callable:
     return _encoders[path]
 
 
-def _texts(batch: pa.RecordBatch, at: int, size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
-    """First row and texts of short slices of a batch."""
-    column, row = batch.column(at), 0
-    ends = np.cumsum(np.fromiter((x or 0 for x in pc.binary_length(column).to_pylist()), np.int64, len(column)))
-    while row < len(column):
-        before = ends[row - 1] if row else 0
-        to = max(row + 1, int(np.searchsorted(ends, before + size)))
-        yield row, [x or "" for x in column.slice(row, to - row).to_pylist()]
-        row = to
-
-
 class TokenFiles:
     """A folder of token blocks and the code they are written in."""
 
@@ -168,60 +163,37 @@ class TokenFiles:
         self.spark, self.root, self.tokenizer, self.end_id = spark, root.rstrip("/"), tokenizer, end_id
         C.ship(spark)
 
-    def _count(self, docs: DataFrame) -> tuple[np.ndarray, int]:
-        """Count of each id, and the bytes of all texts."""
+    def _tokenised(self, docs: DataFrame) -> DataFrame:
+        """Blocks of ids in ascending order of documents (kind 0), and counts of ids (kind 1)."""
         path, end_id = self.tokenizer, self.end_id
+        size = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # files hold texts compressed
+        if size > 1 << 60:  # Spark can't tell
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode, total, size = _encoder(path), np.zeros(1, np.int64), 0
-            for batch in batches:
-                for _, texts in _texts(batch, 0):
-                    ids, counts = encode(texts)
-                    found = np.bincount(ids, minlength=max(len(total), end_id + 1))
-                    found[: len(total)] += total
-                    total = found
-                    total[end_id] += len(counts)
-                    size += sum(map(len, texts))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([size, *total[some]], pa.int64())], names=["id", "n"])
-
-        rows = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-        by = {r["id"]: r["n"] for r in rows}
-        size = by.pop(-1, 0)
-        counts = np.zeros(max(by, default=0) + 1, np.int64)
-        for k, v in by.items():
-            counts[k] = v
-        return counts, size
-
-    def write(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
-        """Writes all documents, in ascending order of ids."""
-        docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-        counts, size = self._count(docs)
-        lengths = code_lengths(counts)
-        codes = canonical(lengths)
-        path, end_id = self.tokenizer, self.end_id
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode, part, block = _encoder(path), TaskContext.get().partitionId(), 0
+            encode, part, block, total = _encoder(path), TaskContext.get().partitionId(), 0, np.zeros(1, np.int64)
             ids: list[np.ndarray] = []
             docs: list[int | None] = []
             sizes: list[np.ndarray] = []
 
             def flush() -> pa.RecordBatch:
                 flat, n = np.concatenate(ids), np.concatenate(sizes)
-                payload, checkpoints = pack(flat, lengths, codes)
-                row = {"part": part, "block": block, "docs": docs, "counts": n.tolist(), "n_tokens": len(flat), "checkpoints": checkpoints.tobytes(), "payload": payload}
-                return pa.RecordBatch.from_pylist([row], _ARROW)
+                wide = int(flat.max()) > 0xFFFF
+                row = {"kind": 0, "part": part, "block": block, "docs": docs, "counts": n.tolist(), "n_tokens": len(flat), "wide": wide, "ids": flat.astype("<u4" if wide else "<u2").tobytes()}
+                return pa.RecordBatch.from_pylist([row], _IDS)
 
             for batch in batches:
                 own = batch.column(0).to_pylist()
-                for row, texts in _texts(batch, 1):
+                for row, texts in slices(batch.column(1)):
                     found, n = encode(texts)
                     n = n + 1
                     with_end = np.full(int(n.sum()), end_id, np.uint32)
                     keep = np.ones(len(with_end), bool)
                     keep[np.cumsum(n) - 1] = False
                     with_end[keep] = found
+                    counted = np.bincount(with_end, minlength=len(total))
+                    counted[: len(total)] += total
+                    total = counted
                     ids.append(with_end)
                     sizes.append(n)
                     docs += own[row : row + len(texts)]
@@ -231,11 +203,32 @@ class TokenFiles:
                         ids, docs, sizes = [], [], []
             if docs:
                 yield flush()
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pylist([{"kind": 1, "id": int(k), "n": int(total[k])} for k in some], _IDS)
 
         ordered = docs.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id").sortWithinPartitions("doc_id")
-        ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{self.root}/blocks")
+        return C.stage(ordered.mapInArrow(run, IDS), "ids")
+
+    def write(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
+        """Writes all documents, in ascending order of ids."""
+        ids = self._tokenised(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+        found = {r["id"]: r["n"] for r in ids.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # one row an id of the vocabulary
+        counts = np.zeros(max(found, default=0) + 1, np.int64)
+        counts[list(found)] = list(found.values())
+        lengths = code_lengths(counts)
+        codes = canonical(lengths)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    flat = np.frombuffer(row["ids"], "<u4" if row["wide"] else "<u2").astype(np.int64)
+                    payload, checkpoints = pack(flat, lengths, codes)
+                    yield pa.RecordBatch.from_pylist([{n: row[n] for n in ("part", "block", "docs", "counts", "n_tokens")} | {"checkpoints": checkpoints.tobytes(), "payload": payload}], _ARROW)
+
+        ids.where("kind = 0").select("part", "block", "docs", "counts", "n_tokens", "wide", "ids").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{self.root}/blocks")
         code = self.spark.range(1).select(F.lit(bytearray(lengths.astype("u1").tobytes())).alias("lengths"))
         code.write.parquet(f"{self.root}/code")
+        C.discard(ids)
 
     def documents(self) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
@@ -265,6 +258,7 @@ class TokenFiles:
         return rows.join(starts, ["part", "block"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+_IDS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("checkpoints", pa.binary()), ("payload", pa.binary())])
 
 
