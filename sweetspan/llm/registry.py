@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import line_templates, mixing, pieces, quality_rules, shards, shingle_join, token_files, tree_weighting, url_filter
+from . import lattice, line_templates, mixing, pieces, quality_rules, shards, shingle_join, token_files, tree_weighting, url_filter
 
 #: The rules that the URL query judges by: (host, path prefix, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -79,6 +79,11 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.clean(docs).select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector: equal labels, cosine of 0.98 or more."""
+    return lattice.links(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents as token blocks and reads them back."""
     import public_tokenizers
@@ -88,7 +93,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.documents()
 
 
-OPERATORS = [op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op6_ngram_jaccard, op7_tree_weighting, op8_line_templates, op10_token_files]
+OPERATORS = [op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op6_ngram_jaccard, op7_tree_weighting, op8_line_templates, op9_lattice, op10_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
