@@ -46,7 +46,7 @@ from ..operators.graph import connected_components
 from . import common as C
 
 #: Finest coordinates in a segment; shingles for each coordinate of the bounding points; rows and shingles in a tile.
-FINE, PER_GROUP, TILE, TILE_SHINGLES = 64, 4, 2000, 4_000_000
+FINE, PER_GROUP, TILE, TILE_SHINGLES = 64, 1, 2000, 4_000_000
 _WORDS_KEPT = 500_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -132,7 +132,7 @@ def cells(h: np.ndarray, levels: Levels) -> list[np.ndarray]:
 def point(h: np.ndarray, level: int, levels: Levels) -> np.ndarray:
     """The counts of the level's groups."""
     n = levels.groups(level)
-    return np.bincount(_group(h, n).astype(np.int64), minlength=n).astype(np.uint16)
+    return np.bincount(_group(h, n).astype(np.int64), minlength=n).clip(max=255).astype(np.uint8)
 
 
 class CountRTree:
@@ -208,6 +208,21 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, set binary")
 
 
+def _points(sets: DataFrame, levels: Levels) -> DataFrame:
+    """(p_id, p_level, point): the bounding point of each document in each of its levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, n, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                h = np.frombuffer(x, np.uint64)
+                rows += [(i, level, point(h, level, levels).tobytes()) for level in levels.of(n)]
+            ids, own, data = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array(data, pa.binary())], names=["p_id", "p_level", "point"])
+
+    return sets.select("id", "n", "set").mapInArrow(run, "p_id long, p_level int, point binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
@@ -235,8 +250,10 @@ def _tiles(rows: DataFrame) -> DataFrame:
     Pairs inside the cell's largest component aren't needed, so its rows meet
     only the others' tiles; the others' tiles also meet each other.
     """
-    comps = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("largest"))
-    stats = comps.groupBy("cell").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c_main"), F.sum("c").alias("c_all"), F.count(F.lit(1)).alias("k"), F.max("largest").alias("largest")).where("k > 1")
+    comps = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("largest"), F.min("level").alias("lv"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    stats = comps.groupBy("cell").agg(F.min("lv").alias("lv"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c_main"), F.sum("c").alias("c_all"), F.count(F.lit(1)).alias("k"), F.max("largest").alias("largest")).where("k > 1")
+    # Near copies share most of their cells; cells with the same members give the same pairs, so one of them is enough.
+    stats = stats.groupBy("lv", "x", "y", "c_all").agg(F.min_by(F.struct("cell", "main", "c_main", "largest"), "cell").alias("s")).select("s.*", "c_all")
     rows = rows.join(stats, "cell")
     count = lambda c: F.ceil(F.greatest(c / TILE, c * F.col("largest") / TILE_SHINGLES)).cast("int")
     rows = rows.withColumn("km", count(F.col("c_main"))).withColumn("kn", count(F.col("c_all") - F.col("c_main"))).withColumn("is_main", F.col("comp") == F.col("main"))
@@ -258,8 +275,8 @@ def _candidates(rows: DataFrame, sets: DataFrame, levels: Levels) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         ids, n, comp, side = (table.column(c).to_numpy() for c in ("id", "n", "comp", "side"))
-        level, kind, i, j = (table.column(c)[0].as_py() for c in ("level", "kind", "i", "j"))
-        points = np.stack([point(np.frombuffer(x.as_py(), np.uint64), level, levels) for x in table.column("set")])
+        kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
+        points = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in table.column("point")])
         left = np.flatnonzero(side == 0)
         right = left if kind == 1 and i == j else np.flatnonzero(side == 1)
         found = []
@@ -270,7 +287,9 @@ def _candidates(rows: DataFrame, sets: DataFrame, levels: Levels) -> DataFrame:
         out = np.unique(np.concatenate([np.empty((2, 0), np.int64), *found], axis=1), axis=1)
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    dealt = _tiles(rows).join(sets.select("id", "set"), "id")
+    dealt = _tiles(rows)
+    points = _points(sets, levels)
+    dealt = dealt.join(points, (F.col("id") == F.col("p_id")) & (F.col("level") == F.col("p_level"))).drop("p_id", "p_level")
     return dealt.groupBy("cell", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -300,3 +319,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     of_set = same.join(near, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = index.join(of_set, ["digest", "n"], "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row of ``docs`` for each component, that with the smallest id; rows with null ids stay."""
+    found = join(docs, doc_id, text, size, num, den)
+    first = found.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("r_id")).distinct()
+    hidden, names = C.hide(docs)
+    own = F.col(names[doc_id])
+    kept = hidden.where(own.isNotNull()).join(first, own.cast("long") == F.col("r_id"), "left_semi").dropDuplicates([names[doc_id]])
+    return kept.unionByName(hidden.where(own.isNull())).select(*C.shown(names))
