@@ -18,8 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _table(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/edges-{uuid.uuid4().hex}"
+def staged(df: DataFrame, name: str = "edges") -> DataFrame:
+    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -33,14 +34,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     gathered: its minimum comes from a partial aggregation.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = _table(e), None
+    e, seen = staged(e), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
-        e = _table(small)
+        e = staged(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
