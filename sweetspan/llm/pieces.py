@@ -207,10 +207,11 @@ class Codec:
         quick = iter(self._batch([s for s, h in zip(texts, hard, strict=True) if not h], add_special_tokens=False))
         out = [self.model.merge_by_place(s) if h else next(quick).ids for s, h in zip(texts, hard, strict=True)]
         if self.checked is not None and self.model.dummy_prefix and self.model.escapes:
-            # The library adds a marker itself, so one is taken off; a segment without one is looked at behind a line feed.
-            asked = [s[1:] if s.startswith(MARK) else "\n" + s for s in texts]
+            # The library adds a marker itself, so one is taken off; a segment without one, or of one alone, is looked at behind a line feed.
+            led = [s.startswith(MARK) and len(s) > 1 for s in texts]
+            asked = [s[1:] if x else "\n" + s for s, x in zip(texts, led, strict=True)]
             for k, (s, theirs) in enumerate(zip(texts, self.checked.encode(asked, num_threads=1), strict=True)):
-                if not s.startswith(MARK):
+                if not led[k]:
                     theirs = theirs[len(self._feed()) :]
                 if theirs != out[k]:
                     self.odd.add(s)
