@@ -7,11 +7,14 @@ coordinates' minima bounds their overlap, and a Jaccard similarity of at least
 
 One tree over such points can't prune: the allowed difference of a pair grows
 with its size, the spread of a coordinate only with the square root.  So the
-coordinates are cut into more segments than a pair may differ in shingles.  Two
-linked documents then agree exactly in the coordinates of one segment at least,
-which makes the cell (size level, segment, sub-point) the leaf in which both
-are found, whatever their number.  Then, per level of sizes that differ by a
-tenth at most:
+coordinates are cut into three segments more than a pair may differ in shingles.
+Two linked documents then agree exactly in the coordinates of three segments at
+least.  A segment that isn't empty makes a cell (size level, segment, sub-point),
+the leaf in which both are found; three empty segments make one too, for pairs
+that agree in no others.  (From ``MANY`` segments on, at the limit of difference
+a third of all segments agree, and that all of these are empty has a chance far
+below that of equal 64-bit hashes, so empty ones are left out.)  Then, per level
+of sizes between which links are possible:
 
 1. documents of equal shingle sets are one representative;
 2. each representative is held against the one it shares most cells with
@@ -35,6 +38,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,9 @@ from ..operators.graph import connected_components
 from . import common as C
 
 #: Finest coordinates in a segment; shingles for each coordinate of the bounding points; rows and shingles in a tile.
-FINE, PER_GROUP, TILE, TILE_SHINGLES = 64, 1, 2000, 4_000_000
+FINE, PER_GROUP, TILE, TILE_SHINGLES = 1 << 16, 1, 2000, 4_000_000
+#: Segments that agree at least, and from how many on empty ones don't matter.
+SURE, MANY = 3, 64
 _WORDS_KEPT = 500_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -99,9 +105,10 @@ class Levels:
         return [k, k - 1] if k > 1 else [k]
 
     def segments(self, level: int) -> int:
-        """One more than the shingles in which a linked pair of the level can differ."""
+        """``SURE`` more than the shingles in which a linked pair of the level can differ; 0 if it can't differ."""
         a = self.last[level]
-        return (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1
+        apart = (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+        return apart + SURE if apart else 0
 
     def groups(self, level: int) -> int:
         """Coordinates of the bounding points of a level."""
@@ -118,14 +125,21 @@ def cells(h: np.ndarray, levels: Levels) -> list[np.ndarray]:
     out = []
     for level in levels.of(len(h)):
         m = levels.segments(level)
-        if m < 2:
+        if not m:
             continue  # only equal sets can be linked
         fine = _group(h, m * FINE)
         segment = (fine // np.uint64(FINE)).astype(np.int64)
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(fine + np.uint64(1)))])
         edges = np.searchsorted(segment, np.arange(m + 1))
         sums = running[edges[1:]] - running[edges[:-1]]  # depends on the counts of the fine groups alone
-        out.append(_mix(sums + _mix(np.arange(m, dtype=np.uint64) + np.uint64(level << 40))))
+        seed = np.uint64(level << 40)
+        keys = _mix(sums + _mix(np.arange(m, dtype=np.uint64) + seed))
+        empty = edges[1:] == edges[:-1]
+        own = keys[~empty]
+        if m < MANY and empty.sum() >= SURE:
+            threes = np.array(list(combinations(np.flatnonzero(empty).tolist(), SURE)), np.uint64)
+            own = np.concatenate([own, _mix(threes @ np.array([1, 64, 4096], np.uint64) + seed + np.uint64(1 << 39))])
+        out.append(own)
     return out
 
 
@@ -174,27 +188,30 @@ class CountRTree:
 
 
 def _index(docs: DataFrame, size: int, levels: Levels) -> DataFrame:
-    """(id, n, digest, level, first, cells) of every document.
+    """(id, n, digest, level, first, cells, point, point_below) of every document.
 
-    cells: the keys of ``first`` segments of ``level``, then those of the level below.
+    cells: the keys of ``first`` segments of ``level``, then those of the level
+    below; the bounding points are of these two levels (mostly zeros and ones,
+    so they take little room).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, digests, keys, level, first = [], [], [], [], []
+            ns, digests, keys, level, first, points = [], [], [], [], [], []
             for t in batch.column(1):
                 h = shingles(t.as_py(), size)
                 own = cells(h, levels)
                 ns.append(len(h))
                 level.append(levels.of(len(h))[0])
+                points.append([point(h, x, levels).tobytes() for x in levels.of(len(h))] + [b""])
                 first.append(len(own[0]) if own else 0)
                 digests.append(xxhash.xxh128_digest(h.tobytes()))
                 keys.append(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(level, pa.int32()), pa.array(first, pa.int32()), lists], names=["id", "n", "digest", "level", "first", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(level, pa.int32()), pa.array(first, pa.int32()), lists, pa.array([x[0] for x in points], pa.binary()), pa.array([x[1] for x in points], pa.binary())], names=["id", "n", "digest", "level", "first", "cells", "point", "point_below"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, level int, first int, cells array<long>")
+    return docs.mapInArrow(run, "id long, n long, digest binary, level int, first int, cells array<long>, point binary, point_below binary")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -208,19 +225,28 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, set binary")
 
 
-def _points(sets: DataFrame, levels: Levels) -> DataFrame:
-    """(p_id, p_level, point): the bounding point of each document in each of its levels."""
+def _points(index: DataFrame) -> DataFrame:
+    """(p_id, p_level, p_n, point) of each document in each of its levels."""
+    two = F.array(F.struct("level", "point"), F.struct((F.col("level") - 1).alias("level"), F.col("point_below").alias("point")))
+    return index.where("n > 1").select(F.col("id").alias("p_id"), F.col("n").alias("p_n"), F.explode(two).alias("p")).select("p_id", F.col("p.level").alias("p_level"), "p_n", "p.point")
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b, level) whose summed minima allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, n, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h = np.frombuffer(x, np.uint64)
-                rows += [(i, level, point(h, level, levels).tobytes()) for level in levels.of(n)]
-            ids, own, data = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array(data, pa.binary())], names=["p_id", "p_level", "point"])
+            keep = []
+            for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                both = int(np.minimum(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)).sum(dtype=np.int64))
+                keep.append((num + den) * both >= num * n)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return sets.select("id", "n", "set").mapInArrow(run, "p_id long, p_level int, point binary")
+    left = points.select(F.col("p_id").alias("a"), F.col("p_level").alias("level"), F.col("point").alias("point_a"), F.col("p_n").alias("n_a"))
+    right = points.select(F.col("p_id").alias("b"), F.col("p_level").alias("level"), F.col("point").alias("point_b"), F.col("p_n").alias("n_b"))
+    both = pairs.join(right, ["b", "level"]).join(left, ["a", "level"])
+    return both.select("a", "b", "point_a", "point_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -244,6 +270,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _linked(pairs: DataFrame, base: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Those of the staged pairs that are linked, by the shingles of their texts, which are read again."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = C.join_lookup(base, asked, "id", "left_semi", row_bytes=16, spread=F.col("id"))
+    sets = C.stage(_sets(texts, size).dropDuplicates(["id"]), "sets")
+    return _verified(pairs, sets, num, den)
+
+
 def _tiles(rows: DataFrame) -> DataFrame:
     """Deals the rows (cell, id, n, comp) of each cell to groups of at most two tiles; ``side`` tells which.
 
@@ -269,7 +303,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.explode(F.when(F.col("is_main"), main).otherwise(other))).select("cell", "at.kind", "at.i", "at.j", "at.side", "id", "n", "comp", "level")
 
 
-def _candidates(rows: DataFrame, sets: DataFrame, levels: Levels) -> DataFrame:
+def _candidates(rows: DataFrame, points: DataFrame, levels: Levels) -> DataFrame:
     """Pairs of different components that share a cell and pass the R-tree's bound."""
     num, den = levels.num, levels.den
 
@@ -288,8 +322,7 @@ def _candidates(rows: DataFrame, sets: DataFrame, levels: Levels) -> DataFrame:
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     dealt = _tiles(rows)
-    points = _points(sets, levels)
-    dealt = dealt.join(points, (F.col("id") == F.col("p_id")) & (F.col("level") == F.col("p_level"))).drop("p_id", "p_level")
+    dealt = dealt.join(points.drop("p_n"), (F.col("id") == F.col("p_id")) & (F.col("level") == F.col("p_level"))).drop("p_id", "p_level")
     return dealt.groupBy("cell", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -300,21 +333,24 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     index = C.stage(_index(base, size, levels), "index")
     same = index.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    reps = index.join(same.select(F.col("rep").alias("id"), F.col("digest").alias("d")), "id", "left_semi").where("n > 1").dropDuplicates(["id"])
-    rows = reps.select("id", "n", "level", "first", F.posexplode("cells").alias("pos", "cell"))
-    rows = rows.select("id", "n", F.when(F.col("pos") < F.col("first"), F.col("level")).otherwise(F.col("level") - 1).alias("level"), "cell")
+    copies = index.where("n > 0").select("digest", "n", "id").join(same, ["digest", "n"]).where("id <> rep").select("id").distinct()
+    reps = C.join_lookup(index.where("n > 1"), copies, "id", "left_anti", row_bytes=16, spread=F.col("id"))
+    # The shuffled rows are two numbers: the key, and the id with the level's place as its last bit.
+    rows = reps.select("id", "first", F.posexplode("cells").alias("pos", "cell"))
+    rows = rows.select("cell", F.shiftleft("id", 1).bitwiseOR((F.col("pos") >= F.col("first")).cast("long")).alias("x"))
     w = Window.partitionBy("cell")
-    rows = rows.withColumn("a", F.min("id").over(w)).withColumn("b", F.max("id").over(w)).where("a <> b").drop("b")
+    rows = rows.withColumn("a", F.min("x").over(w)).withColumn("b", F.max("x").over(w)).where("a <> b")
+    rows = rows.select("cell", F.shiftright("x", 1).alias("id"), F.col("x").bitwiseAND(1).cast("int").alias("below"), F.shiftright("a", 1).alias("a")).distinct()
     rows = C.stage(rows, "cells")
-    stars = rows.where("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("c")).groupBy("id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-    stars = C.stage(stars.select("a", F.col("id").alias("b")), "stars")
-    asked = rows.select("id").distinct()
-    sets = C.stage(_sets(base.join(asked, "id", "left_semi"), size).dropDuplicates(["id"]), "sets")
-    links = C.stage(_verified(stars, sets, num, den), "links")
+    sizes = index.where("n > 1").select("id", "n", F.col("level").alias("top")).distinct()
+    points = _points(index)
+    stars = rows.where("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("c"), F.min("below").alias("below")).groupBy("id").agg(F.max_by(F.struct("a", "below"), F.struct("c", -F.col("a"))).alias("s"))
+    stars = stars.select("id", "s.a", "s.below").join(sizes, "id").select("a", F.col("id").alias("b"), (F.col("top") - F.col("below")).alias("level"))
+    links = C.stage(_linked(C.stage(_bounded(stars, points, num, den), "stars"), base, size, num, den), "links")
     near = connected_components(links)
     in_cell = rows.join(near.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    in_cell = in_cell.select("cell", "id", "n", "comp", "level")
-    more = C.stage(_verified(C.stage(_candidates(in_cell, sets, levels), "pairs"), sets, num, den), "more")
+    in_cell = in_cell.select("cell", "id", "comp", "below").join(sizes, "id").select("cell", "id", "n", "comp", (F.col("top") - F.col("below")).alias("level"))
+    more = C.stage(_linked(C.stage(_candidates(in_cell, points, levels), "pairs"), base, size, num, den), "more")
     near = connected_components(links.unionByName(more))
     of_set = same.join(near, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = index.join(of_set, ["digest", "n"], "left")
