@@ -47,8 +47,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores all documents as arrivals, compacts them, and tells where each one lies."""
-    store = shards.ShardStore(spark, f"{C.shared_dir(spark)}/store-{uuid.uuid4().hex}", target_bytes=32 << 20)
-    store.append(_table(spark, sf_dir, "documents"), rows_per_shard=2048)
+    store = shards.ShardStore(spark, f"{C.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.append(_table(spark, sf_dir, "documents"))
     version = store.compact()
     store.vacuum()
     rows = store.read(version).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("_metadata.file_name").alias("file"))
