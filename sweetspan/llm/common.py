@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
+
 #: Separators of the words ``[^\x20\x09-\x0D]+``.
 WS = r"[\x20\x09-\x0D]+"
 #: A side is broadcast only while its counted rows times its widest row stay below this.
@@ -37,15 +39,6 @@ def ship(spark: SparkSession) -> None:
     sc._shipped_package = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one only where none is set (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
