@@ -38,6 +38,8 @@ from . import common as C
 from .segments import SegmentEncoder, ragged, slices
 
 MARK = "▁"
+#: Distinct segments that an idle worker holds at most.
+MOST_SEGMENTS = 300_000
 #: Piece types and model kinds of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -177,7 +179,7 @@ class Codec:
             self.checked = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.odd: set[str] = set()
         self._batch = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
-        self._segments = SegmentEncoder(self.model.segment_pattern(), self._encode, self._joins, self.model.widths, quick=self._quick_way(), final=lambda s: s.replace(" ", MARK))
+        self._segments = SegmentEncoder(self.model.segment_pattern(), self._encode, self._joins, self.model.widths, quick=self._quick_way(), final=lambda s: s.replace(" ", MARK), most=MOST_SEGMENTS)
         lengths = np.array(list(map(len, self.model.surface)), np.int64)
         self._bytes, self._length, self._start = np.frombuffer(b"".join(self.model.surface), np.uint8), lengths, np.cumsum(lengths) - lengths
 
