@@ -2,10 +2,10 @@
 
 A line is parsed to a leaf of a tree of fixed depth: its number of words, then
 its first ``DEPTH`` words, with words that hold a digit generalised to ``<*>``.
-Within a leaf of several variants, a position keeps a word that most variants
-have there and is generalised otherwise; if at least half of all positions stay
-constant, the lines that agree with most of the constants share the leaf's
-template.  Every other line is its own template (digits generalised).  A
+Within a leaf of several variants, a position behind those first words keeps a
+word that most variants have there and is generalised otherwise; if at least
+half of these positions stay constant, the lines that agree with most of the
+constants share the leaf's template; the leaf's own words count for nothing.  Every other line is its own template (digits generalised).  A
 template found in ``min_docs`` documents or more is boilerplate: its lines are
 dropped, but for those of the document with the smallest id.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH, MIN_WORDS, MIN_DOCS = 3, 3, 3
-#: Share of positions that must stay constant, and of constants a line must have.
+#: Share of positions behind the leaf's words that must stay constant, and of these constants a line must have.
 CONSTANT, AGREE = 0.5, 0.8
 
 
@@ -55,9 +55,9 @@ def dropped_lines(docs: DataFrame, doc_id: str, text: str, min_words: int = MIN_
     found = C.stage(found.withColumn("own", F.xxhash64("w")), "lines")
     variants = found.groupBy("leaf", "own").agg(F.min_by("w", "doc").alias("w"))
     many = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.min(F.size("w")).alias("n")).where("variants > 1")
-    places = variants.join(many, "leaf").select("leaf", "variants", "n", F.posexplode("w").alias("p", "word"))
+    places = variants.join(many, "leaf").select("leaf", "variants", "n", F.posexplode("w").alias("p", "word")).where(F.col("p") >= DEPTH)
     kept = places.groupBy("leaf", "p", "word").agg(F.count(F.lit(1)).alias("c"), F.min("variants").alias("variants"), F.min("n").alias("n")).where(2 * F.col("c") > F.col("variants"))
-    trees = kept.groupBy("leaf").agg(F.collect_list(F.struct("p", "word")).alias("constant"), F.min("n").alias("m")).where(F.size("constant") >= CONSTANT * F.col("m")).select("leaf", "constant")
+    trees = kept.groupBy("leaf").agg(F.collect_list(F.struct("p", "word")).alias("constant"), F.min("n").alias("m")).where(F.size("constant") >= CONSTANT * (F.col("m") - DEPTH)).select("leaf", "constant")
     same = F.size(F.filter("constant", lambda x: F.get("w", x["p"]) == x["word"]))
     fits = F.coalesce(same >= AGREE * F.size("constant"), F.lit(False))
     lines = found.join(trees, "leaf", "left").select("doc", "key", "pos", F.when(fits, F.struct(F.lit(1).alias("kind"), F.col("leaf").alias("id"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("own").alias("id"))).alias("template"))

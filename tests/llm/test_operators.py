@@ -224,6 +224,13 @@ def test_template_with_a_varying_word(spark):
     assert out == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_short_lines_of_equal_start_stay(spark):
+    texts = [f"{b}\nThe house was {x}" for b, x in zip(prose(5, 9, 20), ["sold.", "old.", "empty that year.", "cold that night.", "burnt."], strict=True)]
+    out = {r["doc_id"]: r for r in line_templates.clean(docs(spark, texts)).collect()}
+    assert all(out[k]["n_dropped"] == 0 and out[k]["text"] == t for k, t in enumerate(texts))
+    assert line_templates.dedup(docs(spark, ["We met at noon", "We met at dawn", "We met at sea"])).count() == 3
+
+
 def test_lattice(spark):
     random = np.random.default_rng(6)
     base = random.normal(size=(40, 16))
