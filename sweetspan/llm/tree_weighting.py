@@ -2,8 +2,9 @@
 
 A token (a lower-cased word, or the end of the text) is coded byte by byte, each
 byte as eight binary decisions.  The contexts of a decision are the bits of its
-byte decided so far and the last 0 to ``DEPTH`` bytes of the token, its start
-included; each context keeps a Krichevsky-Trofimov estimator, and a node's
+byte decided so far and the last 0 to ``DEPTH`` bytes before it: of the text
+(tokens parted by single spaces) if ``across``, of the token, its start included,
+otherwise; each context keeps a Krichevsky-Trofimov estimator, and a node's
 probability is the even mixture of its own estimate with the product of its
 children's, so all depths are weighted by how well they coded the training
 tokens (Willems, Shtarkov and Tjalkens, 1995).  Scores are the predictive
@@ -14,8 +15,9 @@ Documents may be grouped by a column, such as their language.  Each of the
 a document's code begins with its group, at the cost of the group's share of
 training documents, so scores stay probabilities of the text (a two-part code).
 
-As contexts begin with the token, a token's code doesn't depend on its
-neighbours, and everything is worked out once for each distinct word of a group:
+A token's code depends on the token and the ``DEPTH`` bytes before it alone (a
+constant start unless ``across``), so everything is worked out once for each
+distinct pair of these in a group.  Such a pair is called a word below:
 
 1. documents become lists of word numbers in buckets of about ``BUCKET_BYTES``,
    with the bucket's words and their counts (one pass over the texts);
@@ -33,25 +35,28 @@ own; without training tokens every estimate is even.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .segments import ragged
+from .segments import ragged, slices
 
 #: Context bytes; text bytes and distinct words in a bucket; words in a chunk.
 DEPTH, BUCKET_BYTES, BUCKET_WORDS, CHUNK_WORDS = 6, 64 << 20, 700_000, 400_000
+#: Text bytes looked at before a bucket is closed.
+BATCH_BYTES = 4 << 20
 #: Buckets' words in a partition of all words.
 PART_WORDS = 1_500_000
 #: Trees; groups beyond share the last.
 GROUPS = 8
 END = b""
-_START, _STOP = 0x20, 0x0A
+#: The bytes before the first token, and before any unless ``across``.
+PAD = bytes(DEPTH - 1) + b" "
 
 
 def _log_gamma_table(n: int, shift: float) -> np.ndarray:
@@ -81,10 +86,9 @@ def _own_weight(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def contexts(words: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (group, DEPTH context bytes, the latest highest, then the coded byte) of all bytes of all words, and their number in each."""
-    pad = bytes(DEPTH - 1) + bytes([_START])
-    text = np.frombuffer(b"".join(pad + w + (b" " if w else b"\n") for w in words), np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    """Keys (group, DEPTH context bytes, the latest highest, then the coded byte) of all bytes of all words behind their first DEPTH, and their number in each."""
+    text = np.frombuffer(b"".join(w + (b" " if len(w) > DEPTH else b"\n") for w in words), np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1 - DEPTH
     starts = np.cumsum(sizes + DEPTH) - sizes
     at = ragged(starts, sizes)
     key = text[at] | np.repeat(group.astype(np.int64) << (8 * DEPTH + 8), sizes)
@@ -93,6 +97,15 @@ def contexts(words: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key, sizes
 
 
+def preceded(words: list[bytes], across: bool) -> list[bytes]:
+    """Each word behind the DEPTH bytes before it."""
+    if not across:
+        return [PAD + w for w in words]
+    text = PAD + b" ".join(words)
+    ends = list(accumulate((len(w) + 1 for w in words), initial=DEPTH))
+    return [text[a - DEPTH : b - 1] for a, b in pairwise(ends)]
+
+
 class Subtree:
     """The contexts of a group that share their last two bytes."""
 
@@ -134,7 +147,7 @@ class _Numbers(dict):
         return n
 
 
-def _number(docs: DataFrame) -> DataFrame:
+def _number(docs: DataFrame, across: bool) -> DataFrame:
     """Documents as word numbers, and the words of each bucket, in one table.
 
     Rows of kind 0 are documents (numbers as two planes of bytes), rows of kind
@@ -155,24 +168,26 @@ def _number(docs: DataFrame) -> DataFrame:
                 m = len(part)
                 yield rows(m, kind=np.ones(m, np.int32), bucket=np.full(m, bucket), grp=[g for g, _ in part], number=np.arange(k, k + m, dtype=np.int32), word=[w for _, w in part], n_train=train[k : k + m])
 
-        for batch in batches:
-            planes, sizes, lists = [], [], []
-            held = batch.column(1).to_pylist()
-            for t, h, g in zip(batch.column(2), held, batch.column(3).to_pylist(), strict=True):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                words.append(END)
-                own = np.fromiter(map(numbers.__getitem__, zip(repeat(g), words)), np.int64, len(words))
-                lists.append(own[:0] if h else own)
-                planes.append(own.astype("<u2").tobytes() + (own >> 16).astype("u1").tobytes())
-                sizes.append(sum(map(len, words)) + len(words))
-            m = len(held)
-            yield rows(m, kind=np.zeros(m, np.int32), bucket=np.full(m, bucket), grp=batch.column(3), doc_id=batch.column(0), held_out=batch.column(1), numbers=planes, n_bytes=sizes)
-            found = np.bincount(np.concatenate(lists), minlength=len(numbers))
-            found[: len(train)] += train
-            train, size = found, size + sum(sizes)
-            if size >= BUCKET_BYTES or len(numbers) >= BUCKET_WORDS:
-                yield from flush()
-                bucket, numbers, train, size = bucket + 1, _Numbers(), np.zeros(0, np.int64), 0
+        for whole in batches:
+            for row, column in slices(whole.column(2), BATCH_BYTES):
+                batch = whole.slice(row, len(column))
+                planes, sizes, lists = [], [], []
+                held = batch.column(1).to_pylist()
+                for t, h, g in zip(column, held, batch.column(3).to_pylist(), strict=True):
+                    words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                    words.append(END)
+                    own = np.fromiter(map(numbers.__getitem__, zip(repeat(g), preceded(words, across))), np.int64, len(words))
+                    lists.append(own[:0] if h else own)
+                    planes.append(own.astype("<u2").tobytes() + (own >> 16).astype("u1").tobytes())
+                    sizes.append(sum(map(len, words)) + len(words))
+                m = len(held)
+                yield rows(m, kind=np.zeros(m, np.int32), bucket=np.full(m, bucket), grp=batch.column(3), doc_id=batch.column(0), held_out=batch.column(1), numbers=planes, n_bytes=sizes)
+                found = np.bincount(np.concatenate(lists), minlength=len(numbers))
+                found[: len(train)] += train
+                train, size = found, size + sum(sizes)
+                if size >= BUCKET_BYTES or len(numbers) >= BUCKET_WORDS:
+                    yield from flush()
+                    bucket, numbers, train, size = bucket + 1, _Numbers(), np.zeros(0, np.int64), 0
         if numbers:
             yield from flush()
 
@@ -180,8 +195,8 @@ def _number(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(words: DataFrame) -> DataFrame:
-    """Words in chunks (kind 0: grp, word, own, c, head) and each chunk's distinct contexts (kind 1: key, n)."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("grp", pa.int32()), ("word", pa.binary()), ("own", pa.int64()), ("c", pa.int64()), ("head", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+    """Words in chunks (kind 0: grp, word, own, c) and each chunk's distinct contexts (kind 1: key, n)."""
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("grp", pa.int32()), ("word", pa.binary()), ("own", pa.int64()), ("c", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, words, keys, counts = TaskContext.get().partitionId() << 24, 0, [], []
@@ -191,7 +206,7 @@ def _chunks(words: DataFrame) -> DataFrame:
             n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
             for k in range(0, len(key), 100_000):
                 m = len(key[k : k + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.full(m, chunk)), *(pa.nulls(m, f.type) for f in list(schema)[2:7]), pa.array(key[k : k + m]), pa.array(n[k : k + m])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.full(m, chunk)), *(pa.nulls(m, f.type) for f in list(schema)[2:6]), pa.array(key[k : k + m]), pa.array(n[k : k + m])], schema=schema)
 
         for batch in batches:
             m = len(batch)
@@ -207,7 +222,7 @@ def _chunks(words: DataFrame) -> DataFrame:
         if words:
             yield from flush()
 
-    return words.mapInArrow(run, "kind int, chunk long, grp int, word binary, own long, c long, head boolean, key long, n long")
+    return words.mapInArrow(run, "kind int, chunk long, grp int, word binary, own long, c long, key long, n long")
 
 
 class _Top:
@@ -278,9 +293,10 @@ def _word_scores(chunks: DataFrame, contexts_: DataFrame) -> DataFrame:
     return words.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(run, "grp int, word binary, c long, score float")
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", group: str | None = None, across: bool = False) -> DataFrame:
     """Scores of all documents by trees trained on those for which ``held_out`` is false, one for each group.
 
+    ``across`` lets contexts run over the token's edge into the tokens before it.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words
     drawn independently, counts plus one), score, and bits_per_byte.
     """
@@ -297,14 +313,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     docs_of[: len(own)] = [r["n"] for r in own]
     docs_of[-1] += every - docs_of.sum()
     prior = np.log10((docs_of + 1) / (every + GROUPS))
-    numbered = C.stage(_number(base.select("doc_id", "held_out", "text", index.cast("int").alias("grp"))), "numbered")
+    numbered = C.stage(_number(base.select("doc_id", "held_out", "text", index.cast("int").alias("grp")), across), "numbered")
     of_bucket = numbered.where("kind = 1").select("bucket", "number", "grp", "word", "n_train")
     parts = max(1, -(-of_bucket.count() // PART_WORDS))  # large chunks share more of their contexts
-    words = of_bucket.select("grp", "word", "n_train").repartition(parts, "word").groupBy("word", "grp").agg(F.sum("n_train").alias("own"))
-    same = Window.partitionBy("word")
-    words = words.select("grp", "word", "own", F.sum("own").over(same).alias("c"), (F.col("grp") == F.min("grp").over(same)).alias("head"))
-    chunks = C.stage(_chunks(words), "chunks")
-    total = chunks.where("kind = 0").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("head") & (F.col("c") > 0)).cast("long")), F.lit(0)).alias("v")).first()
+    words = of_bucket.select("grp", "word", "n_train").groupBy("word", "grp").agg(F.sum("n_train").alias("own"))
+    bare = F.substring("word", DEPTH + 1, 1 << 30)
+    plain_words = C.stage(of_bucket.select(bare.alias("bare"), "n_train").groupBy("bare").agg(F.sum("n_train").alias("c")), "plain")
+    chunks = C.stage(_chunks(words.join(plain_words, bare == F.col("bare")).select("grp", "word", "own", "c").repartition(parts, "word")), "chunks")
+    total = plain_words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
     scores = _word_scores(chunks, _context_scores(chunks)).select(F.col("grp").alias("s_grp"), F.col("word").alias("s_word"), "c", "score")
     found = of_bucket.select(F.col("bucket").alias("of_bucket"), "number", "grp", "word").join(scores, (F.col("word") == F.col("s_word")) & (F.col("grp") == F.col("s_grp"))).select("of_bucket", "number", "c", "score")

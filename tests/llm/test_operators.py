@@ -207,6 +207,46 @@ def test_tree_weighting_follows_its_definition(spark):
     assert tree_weighting.score(df.limit(0), F.lit(False)).count() == 0
 
 
+def test_tree_weighting_across_tokens(spark):
+    texts = ["ab cd ab  cd", "Ab cd\nef", None, "cd ab", "ab cd", "x"]
+    out = {r["doc_id"]: r["score"] for r in tree_weighting.score(docs(spark, texts, 2), F.col("doc_id") > 2, across=True).collect()}
+    counts = {}
+
+    def events(text):
+        data = b"\0" * 5 + b" " + b"".join(w + b" " for w in (text or "").lower().encode().split()) + b"\n"
+        for p in range(6, len(data)):
+            for k in range(8):
+                yield data[p - 6 : p], (1 << k) | (data[p] >> (8 - k)), (data[p] >> (7 - k)) & 1
+
+    for text in texts[:3]:
+        for c, node, bit in events(text):
+            for d in range(7):
+                counts.setdefault((c[6 - d :], node), [0, 0])[bit] += 1
+
+    def below(key):
+        return sum(mixed(k) for k in counts if len(k[0]) == len(key[0]) + 1 and k[0][1:] == key[0] and k[1] == key[1])
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+
+    def mixed(key):
+        own = kt(*counts[key])
+        return own if len(key[0]) == 6 else np.logaddexp(own, below(key)) - math.log(2)
+
+    def predict(c, node, bit, d=0):
+        key = (c[6 - d :], node)
+        n = counts.get(key, [0, 0])
+        own = (n[bit] + 0.5) / (sum(n) + 1)
+        if d == 6:
+            return own
+        w = 1 / (1 + math.exp(below(key) - kt(*n)))
+        return w * own + (1 - w) * predict(c, node, bit, d + 1)
+
+    for k, text in enumerate(texts):
+        assert out[k] == pytest.approx(sum(math.log10(predict(*e)) for e in events(text)) + math.log10(4 / 11), rel=1e-5)
+    assert out[4] > out[3] + 0.1  # the same words in an order met in training, and in another
+
+
 def test_lines(spark):
     body = prose(8, 3, 30)
     license_ = "Licensed under the example license version"
