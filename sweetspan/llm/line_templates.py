@@ -2,10 +2,14 @@
 
 A line is parsed to a leaf of a tree of fixed depth: its number of words, then
 its first ``DEPTH`` words, with words that hold a digit generalised to ``<*>``.
-Within a leaf of several variants, a position behind those first words keeps a
-word that most variants have there and is generalised otherwise; if at least
-half of these positions stay constant, the lines that agree with most of the
-constants share the leaf's template; the leaf's own words count for nothing.  Every other line is its own template (digits generalised).  A
+A leaf of several variants holds templates.  Only positions behind those first
+words count, and at least half of them must be constant.  One template has the
+words that most of the leaf's variants have in a place.  Others are met by the
+variants themselves: where a variant has words that several share, the most
+frequent half of its places tells how many variants its family has, and its
+words that more than half as many share are the constants; two variants with
+equal constants make a template.  A line belongs to the template with the most
+variants among those with most of whose constants it agrees.  Every other line is its own template (digits generalised).  A
 template found in ``min_docs`` documents or more is boilerplate: its lines are
 dropped, but for those of the document with the smallest id.
 
@@ -43,6 +47,31 @@ def _head(line: Column) -> Column:
     return C.let(C.words(line), lambda w: F.struct(F.size(w).alias("n"), F.transform(F.slice(w, 1, DEPTH), lambda x: F.when(x.rlike("[0-9]"), "<*>").otherwise(x)).alias("first")))
 
 
+def _fits(variants: DataFrame, places: DataFrame) -> DataFrame:
+    """(leaf, own, id): the template of each variant that has one, from the words behind the leaf's."""
+    counts = places.groupBy("leaf", "p", "word").agg(F.count(F.lit(1)).alias("c"), F.min("variants").alias("variants"), F.min("n").alias("n")).where("c > 1")
+    counts = C.stage(counts, "counts")
+    listed = F.sort_array(F.collect_list(F.struct("p", "word", "c"))).alias("constant")
+    half = F.ceil(CONSTANT * (F.col("n") - DEPTH)).cast("int")
+    most = counts.where(2 * F.col("c") > F.col("variants")).groupBy("leaf").agg(listed, F.min("n").alias("n")).where(F.size("constant") >= half).select("leaf", "constant")
+    shared = places.join(counts.select("leaf", "p", "word", "c"), ["leaf", "p", "word"]).groupBy("leaf", "own").agg(listed, F.min("n").alias("n")).where(F.size("constant") >= half)
+    family = F.get(F.sort_array(F.transform("constant", lambda x: x["c"]), asc=False), half - 1)
+    shared = shared.withColumn("family", family).select("leaf", F.expr("filter(constant, x -> 2 * x.c > family)").alias("constant"))
+    shared = shared.groupBy("leaf", "constant").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("leaf", "constant")
+    trees = most.unionByName(shared).distinct().select("leaf", "constant", F.xxhash64("leaf", "constant").alias("id"))
+    trees = C.stage(trees, "trees")
+    # A line that agrees has one at least of any so many constants; the rarest ones name the fewest lines.
+    rarest = F.array_sort(F.transform("constant", lambda x: F.struct(x["c"].alias("c"), x["p"].alias("p"), x["word"].alias("word"))))
+    few = F.size("constant") - F.ceil(AGREE * F.size("constant")).cast("int") + 1
+    pivots = trees.select("leaf", "id", F.explode(F.slice(rarest, F.lit(1), few)).alias("x")).select("leaf", "id", F.col("x.p").alias("p"), F.col("x.word").alias("word"))
+    near = places.join(pivots, ["leaf", "p", "word"]).select("leaf", "own", "id").distinct()
+    same = F.size(F.filter("constant", lambda x: F.get("w", x["p"]) == x["word"]))
+    agreed = near.join(trees, ["leaf", "id"]).join(variants, ["leaf", "own"]).where(same >= AGREE * F.size("constant")).select("leaf", "own", "id", F.size("constant").alias("k"))
+    agreed = C.stage(agreed, "agreed")
+    sizes = agreed.groupBy("leaf", "id").agg(F.count(F.lit(1)).alias("v"))
+    return agreed.join(sizes, ["leaf", "id"]).groupBy("leaf", "own").agg(F.max_by("id", F.struct("v", "k", "id")).alias("id"))
+
+
 def dropped_lines(docs: DataFrame, doc_id: str, text: str, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, doc, drop): of each document with lines to drop, their positions."""
     t, i = F.col(text), F.col(doc_id).cast("long")
@@ -55,12 +84,9 @@ def dropped_lines(docs: DataFrame, doc_id: str, text: str, min_words: int = MIN_
     found = C.stage(found.withColumn("own", F.xxhash64("w")), "lines")
     variants = found.groupBy("leaf", "own").agg(F.min_by("w", "doc").alias("w"))
     many = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.min(F.size("w")).alias("n")).where("variants > 1")
-    places = variants.join(many, "leaf").select("leaf", "variants", "n", F.posexplode("w").alias("p", "word")).where(F.col("p") >= DEPTH)
-    kept = places.groupBy("leaf", "p", "word").agg(F.count(F.lit(1)).alias("c"), F.min("variants").alias("variants"), F.min("n").alias("n")).where(2 * F.col("c") > F.col("variants"))
-    trees = kept.groupBy("leaf").agg(F.collect_list(F.struct("p", "word")).alias("constant"), F.min("n").alias("m")).where(F.size("constant") >= CONSTANT * (F.col("m") - DEPTH)).select("leaf", "constant")
-    same = F.size(F.filter("constant", lambda x: F.get("w", x["p"]) == x["word"]))
-    fits = F.coalesce(same >= AGREE * F.size("constant"), F.lit(False))
-    lines = found.join(trees, "leaf", "left").select("doc", "key", "pos", F.when(fits, F.struct(F.lit(1).alias("kind"), F.col("leaf").alias("id"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("own").alias("id"))).alias("template"))
+    places = variants.join(many.where(F.col("n") > DEPTH), "leaf").select("leaf", "own", "variants", "n", F.posexplode("w").alias("p", "word")).where(F.col("p") >= DEPTH)
+    fits = _fits(variants, C.stage(places, "places"))
+    lines = found.join(fits, ["leaf", "own"], "left").select("doc", "key", "pos", F.when(F.col("id").isNotNull(), F.struct(F.lit(1).alias("kind"), "id")).otherwise(F.struct(F.lit(0).alias("kind"), F.col("own").alias("id"))).alias("template"))
     lines = C.stage(lines, "templates")
     C.discard(found)
     recurring = lines.groupBy("template").agg(F.count_distinct("doc").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= min_docs)

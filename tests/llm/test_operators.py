@@ -271,6 +271,15 @@ def test_short_lines_of_equal_start_stay(spark):
     assert line_templates.dedup(docs(spark, ["We met at noon", "We met at dawn", "We met at sea"])).count() == 3
 
 
+def test_a_leaf_holds_several_templates(spark):
+    names = ["ann", "bob", "cy", "dee"]
+    families = [[f"see the page of {x} for more" for x in names], [f"see the page about {x} in detail" for x in names]]
+    clean = [f"see the page {t}" for t in ("xa xb xc xd", "ya yb yc yd", "za zb zc zd", "ua ub uc ud", "va vb vc vd", "ra rb rc rd", "sa sb sc sd", "ta tb tc td", "of qb qc qd")]
+    texts = [f"{b}\n{line}" for b, line in zip(prose(17, 10, 20), [*families[0], *families[1], *clean], strict=True)]
+    out = {r["doc_id"]: r["n_dropped"] for r in line_templates.clean(docs(spark, texts)).collect()}
+    assert out == {k: int(k in (1, 2, 3, 5, 6, 7)) for k in range(17)}
+
+
 def test_lattice(spark):
     random = np.random.default_rng(6)
     base = random.normal(size=(40, 16))
