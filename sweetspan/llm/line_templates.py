@@ -11,13 +11,19 @@ words that more than half as many share are the constants; two variants with
 equal constants make a template.  A line belongs to the template with the most
 variants among those with most of whose constants it agrees.  Every other line is its own template (digits generalised).  A
 template found in ``min_docs`` documents or more is boilerplate: its lines are
-dropped, but for those of the document with the smallest id.
+dropped, but for those of the document with the smallest id.  Two counts differ:
+a line of fewer than ``min_words`` words, which may be equal by chance, must be
+found in ``short_docs`` documents, and a line of ``LONG_WORDS`` words or more,
+which can't, goes from ``long_docs`` documents on if it is equal word by word,
+digits too.  Where drops by the latter count would leave a document without
+words, it is a copy rather than a document that quotes: these drops are left to
+the near-duplicate stage there.
 
 Only leaves met in two documents or more are looked at closely, so ordinary
 prose is grouped once by a 64-bit leaf id and then left alone.
 
-Defined results: a null text has no lines and stays null; lines of fewer than
-``min_words`` words are never dropped; a null id makes a document of its text;
+Defined results: a null text has no lines and stays null; lines without
+words are never dropped; a null id makes a document of its text;
 repeated rows of one id are one document; empty tables give empty results; all
 columns pass through.
 """
@@ -30,6 +36,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH, MIN_WORDS, MIN_DOCS = 3, 3, 3
+#: Documents of a line below MIN_WORDS; words of a long line and documents of an equal one.
+SHORT_DOCS, LONG_WORDS, LONG_DOCS = 10, 50, 2
+WORDY = r"[^\x20\x09-\x0D]"
 #: Share of positions behind the leaf's words that must stay constant, and of these constants a line must have.
 CONSTANT, AGREE = 0.5, 0.8
 
@@ -38,6 +47,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _left(text: str, drop: str) -> Column:
+    """The lines whose positions aren't in ``drop``."""
+    return F.filter(_lines(F.col(text)), lambda _, k: ~F.array_contains(drop, k))
+
+
 def _masked(line: Column) -> Column:
     """The line's words, those with a digit as ``<*>``."""
     return F.transform(C.words(line), lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))
@@ -72,36 +86,41 @@ def _fits(variants: DataFrame, places: DataFrame) -> DataFrame:
     return agreed.join(sizes, ["leaf", "id"]).groupBy("leaf", "own").agg(F.max_by("id", F.struct("v", "k", "id")).alias("id"))
 
 
-def dropped_lines(docs: DataFrame, doc_id: str, text: str, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, doc, drop): of each document with lines to drop, their positions."""
+def dropped_lines(docs: DataFrame, doc_id: str, text: str, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """(key, doc, drop, sure): of each document with lines to drop, their positions, and those not owed to ``long_docs`` alone."""
+    least = lambda n: F.when(n < min_words, short_docs).otherwise(min_docs)
     t, i = F.col(text), F.col(doc_id).cast("long")
     key = F.xxhash64(i, t)
     lines = docs.where(t.isNotNull()).select(F.coalesce(i, F.xxhash64(t)).alias("doc"), key.alias("key"), F.posexplode(_lines(t)).alias("pos", "line"))
-    lines = lines.withColumn("h", _head(F.col("line"))).where(F.col("h.n") >= min_words)
+    lines = lines.withColumn("h", _head(F.col("line"))).where(F.col("h.n") > 0)
     lines = lines.select("doc", "key", "pos", "line", F.col("h.n").alias("n"), F.xxhash64("h.n", "h.first").alias("leaf"))
-    leaves = lines.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("c")).where((F.col("a") != F.col("b")) & (F.col("c") >= min_docs)).select("leaf")
-    found = lines.join(leaves, "leaf", "left_semi").withColumn("w", _masked(F.col("line"))).drop("line")
+    leaves = lines.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where((F.col("a") != F.col("b")) & (F.col("c") >= F.when(F.col("n") >= LONG_WORDS, F.least(F.lit(long_docs), F.lit(min_docs))).otherwise(least(F.col("n"))))).select("leaf")
+    found = lines.join(leaves, "leaf", "left_semi").withColumn("w", _masked(F.col("line"))).withColumn("raw", F.when(F.col("n") >= LONG_WORDS, F.xxhash64(C.words(F.col("line"))))).drop("line")
     found = C.stage(found.withColumn("own", F.xxhash64("w")), "lines")
     variants = found.groupBy("leaf", "own").agg(F.min_by("w", "doc").alias("w"))
     many = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.min(F.size("w")).alias("n")).where("variants > 1")
     places = variants.join(many.where(F.col("n") > DEPTH), "leaf").select("leaf", "own", "variants", "n", F.posexplode("w").alias("p", "word")).where(F.col("p") >= DEPTH)
     fits = _fits(variants, C.stage(places, "places"))
-    lines = found.join(fits, ["leaf", "own"], "left").select("doc", "key", "pos", F.when(F.col("id").isNotNull(), F.struct(F.lit(1).alias("kind"), "id")).otherwise(F.struct(F.lit(0).alias("kind"), F.col("own").alias("id"))).alias("template"))
+    lines = found.join(fits, ["leaf", "own"], "left").select("doc", "key", "pos", "n", "raw", F.when(F.col("id").isNotNull(), F.struct(F.lit(1).alias("kind"), "id")).otherwise(F.struct(F.lit(0).alias("kind"), F.col("own").alias("id"))).alias("template"))
     lines = C.stage(lines, "templates")
     C.discard(found)
-    recurring = lines.groupBy("template").agg(F.count_distinct("doc").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= min_docs)
-    gone = lines.join(recurring, "template").where("doc <> first")
-    return gone.groupBy("doc", "key").agg(F.collect_set("pos").alias("drop"))
+    of = [F.count_distinct("doc").alias("docs"), F.min("doc").alias("first"), F.min("n").alias("words")]
+    recurring = lines.groupBy("template").agg(*of).where(F.col("docs") >= least(F.col("words"))).select("template", "first")
+    quoted = lines.where(F.col("raw").isNotNull()).groupBy("raw").agg(*of).where(F.col("docs") >= long_docs).select("raw", "first")
+    gone = lines.join(recurring, "template").where("doc <> first").select("doc", "key", "pos", F.lit(True).alias("is_sure"))
+    also = lines.where(F.col("raw").isNotNull()).join(quoted, "raw").where("doc <> first").select("doc", "key", "pos", F.lit(False).alias("is_sure"))
+    return gone.unionByName(also).groupBy("doc", "key").agg(F.collect_set("pos").alias("drop"), F.collect_set(F.when(F.col("is_sure"), F.col("pos"))).alias("sure"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """``docs`` with the text freed of dropped lines, and n_lines and n_dropped."""
     extra = {c: C.free_name(docs, c) for c in ("n_lines", "n_dropped")}
     hidden, names = C.hide(docs)
     i, t = names[doc_id], names[text]
-    drops = dropped_lines(hidden, i, t, min_words, min_docs).select(F.col("key").alias("d_key"), "drop")
+    drops = dropped_lines(hidden, i, t, min_words, min_docs, short_docs, long_docs).select(F.col("key").alias("d_key"), "drop", "sure")
     out = hidden.withColumn("key", F.xxhash64(F.col(i).cast("long"), F.col(t))).join(drops, F.col("key") == F.col("d_key"), "left")
-    rest = F.filter(_lines(F.col(t)), lambda _, k: ~F.array_contains("drop", k))
+    out = out.withColumn("drop", F.when(F.size("drop") > F.size("sure"), F.when(F.exists(_left(t, "drop"), lambda x: x.rlike(WORDY)), F.col("drop")).when(F.size("sure") > 0, F.col("sure"))).otherwise(F.col("drop")))
+    rest = _left(t, "drop")
     cleaned = F.when(F.col("drop").isNull(), F.col(t)).otherwise(F.concat_ws("\n", rest))
     return out.select(
         *(cleaned.alias(old) if old == text else F.col(new).alias(old) for old, new in names.items()),
@@ -114,4 +133,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """The cleaned documents under the columns of ``docs``; one left without words by the drops goes."""
     extra = C.free_name(docs, "n_dropped")
     out = clean(docs, doc_id, text)
-    return out.where((F.col(extra) == 0) | F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.where((F.col(extra) == 0) | F.col(f"`{text}`").rlike(WORDY)).select(*(F.col(f"`{c}`") for c in docs.columns))

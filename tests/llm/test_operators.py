@@ -280,6 +280,17 @@ def test_a_leaf_holds_several_templates(spark):
     assert out == {k: int(k in (1, 2, 3, 5, 6, 7)) for k in range(17)}
 
 
+def test_counts_of_long_and_short_lines(spark):
+    body, passage = prose(14, 11, 20), prose(1, 12, 60)[0]
+    texts = [f"{b}\nLes.\nTwo words" if k < 12 else f"{b}\nTwo words" for k, b in enumerate(body)]
+    texts[2] += f"\n{passage}"
+    texts[5] = f"{passage}\n{texts[5]}"
+    texts += [f"{body[0]}\nRare line", f"{body[1]}\nRare line", f"{prose(1, 13, 60)[0]}\n\n", prose(1, 13, 60)[0]]
+    out = {r["doc_id"]: r for r in line_templates.clean(docs(spark, texts)).collect()}
+    assert [out[k]["n_dropped"] for k in range(18)] == [0, 2, 2, 2, 2, 3, *[2] * 6, 1, 1, 0, 0, 0, 0]
+    assert passage in out[2]["text"] and out[5]["text"] == body[5] and out[17]["text"] == texts[17]
+
+
 def test_lattice(spark):
     random = np.random.default_rng(6)
     base = random.normal(size=(40, 16))
