@@ -3,13 +3,12 @@
 A line is parsed to a leaf of a tree of fixed depth: its number of words, then
 its first ``DEPTH`` words, with words that hold a digit generalised to ``<*>``.
 A leaf of several variants holds templates.  Only positions behind those first
-words count, and at least half of them must be constant.  One template has the
-words that most of the leaf's variants have in a place.  Others are met by the
-variants themselves: where a variant has words that several share, the most
-frequent half of its places tells how many variants its family has, and its
-words that more than half as many share are the constants; two variants with
-equal constants make a template.  A line belongs to the template with the most
-variants among those with most of whose constants it agrees.  Every other line is its own template (digits generalised).  A
+words count, and at least half of them must be constant.  One has the words that
+most of the leaf's variants have in a place.  The variants that don't fit it are
+split by the words they share: the most frequent half of a variant's places tells
+how many variants its family has, and its ``PIVOTS`` rarest words that as many
+share name the groups it joins.  Each group has a template of its own by the same
+rule, and a variant takes the one with the most variants.  Every other line is its own template (digits generalised).  A
 template found in ``min_docs`` documents or more is boilerplate: its lines are
 dropped, but for those of the document with the smallest id.  Two counts differ:
 a line of fewer than ``min_words`` words, which may be equal by chance, must be
@@ -38,6 +37,8 @@ from . import common as C
 DEPTH, MIN_WORDS, MIN_DOCS = 3, 3, 3
 #: Documents of a line below MIN_WORDS; words of a long line and documents of an equal one.
 SHORT_DOCS, LONG_WORDS, LONG_DOCS = 10, 50, 2
+#: Groups that a variant joins.
+PIVOTS = 3
 WORDY = r"[^\x20\x09-\x0D]"
 #: Share of positions behind the leaf's words that must stay constant, and of these constants a line must have.
 CONSTANT, AGREE = 0.5, 0.8
@@ -61,29 +62,31 @@ def _head(line: Column) -> Column:
     return C.let(C.words(line), lambda w: F.struct(F.size(w).alias("n"), F.transform(F.slice(w, 1, DEPTH), lambda x: F.when(x.rlike("[0-9]"), "<*>").otherwise(x)).alias("first")))
 
 
-def _fits(variants: DataFrame, places: DataFrame) -> DataFrame:
-    """(leaf, own, id): the template of each variant that has one, from the words behind the leaf's."""
-    counts = places.groupBy("leaf", "p", "word").agg(F.count(F.lit(1)).alias("c"), F.min("variants").alias("variants"), F.min("n").alias("n")).where("c > 1")
-    counts = C.stage(counts, "counts")
-    listed = F.sort_array(F.collect_list(F.struct("p", "word", "c"))).alias("constant")
-    half = F.ceil(CONSTANT * (F.col("n") - DEPTH)).cast("int")
-    most = counts.where(2 * F.col("c") > F.col("variants")).groupBy("leaf").agg(listed, F.min("n").alias("n")).where(F.size("constant") >= half).select("leaf", "constant")
-    shared = places.join(counts.select("leaf", "p", "word", "c"), ["leaf", "p", "word"]).groupBy("leaf", "own").agg(listed, F.min("n").alias("n")).where(F.size("constant") >= half)
-    family = F.get(F.sort_array(F.transform("constant", lambda x: x["c"]), asc=False), half - 1)
-    shared = shared.withColumn("family", family).select("leaf", F.expr("filter(constant, x -> 2 * x.c > family)").alias("constant"))
-    shared = shared.groupBy("leaf", "constant").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("leaf", "constant")
-    trees = most.unionByName(shared).distinct().select("leaf", "constant", F.xxhash64("leaf", "constant").alias("id"))
-    trees = C.stage(trees, "trees")
-    # A line that agrees has one at least of any so many constants; the rarest ones name the fewest lines.
-    rarest = F.array_sort(F.transform("constant", lambda x: F.struct(x["c"].alias("c"), x["p"].alias("p"), x["word"].alias("word"))))
-    few = F.size("constant") - F.ceil(AGREE * F.size("constant")).cast("int") + 1
-    pivots = trees.select("leaf", "id", F.explode(F.slice(rarest, F.lit(1), few)).alias("x")).select("leaf", "id", F.col("x.p").alias("p"), F.col("x.word").alias("word"))
-    near = places.join(pivots, ["leaf", "p", "word"]).select("leaf", "own", "id").distinct()
-    same = F.size(F.filter("constant", lambda x: F.get("w", x["p"]) == x["word"]))
-    agreed = near.join(trees, ["leaf", "id"]).join(variants, ["leaf", "own"]).where(same >= AGREE * F.size("constant")).select("leaf", "own", "id", F.size("constant").alias("k"))
-    agreed = C.stage(agreed, "agreed")
+def _majority(members: DataFrame, by: list[str]) -> DataFrame:
+    """(leaf, own, id, k): the members (by, own, w) that agree with the words most of their group have, if these are enough."""
+    sizes = members.groupBy(*by).agg(F.count(F.lit(1)).alias("members"), F.min(F.size("w")).alias("n")).where("members > 1")
+    places = members.join(sizes, by).select(*by, "members", "n", F.posexplode("w").alias("q", "x")).where(F.col("q") >= DEPTH)
+    kept = places.groupBy(*by, "q", "x").agg(F.count(F.lit(1)).alias("c"), F.min("members").alias("members"), F.min("n").alias("n")).where(2 * F.col("c") > F.col("members"))
+    trees = kept.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("q", "x"))).alias("constant"), F.min("n").alias("n")).where(F.size("constant") >= CONSTANT * (F.col("n") - DEPTH)).select(*by, "constant")
+    same = F.size(F.filter("constant", lambda y: F.get("w", y["q"]) == y["x"]))
+    return members.join(trees, by).where(same >= AGREE * F.size("constant")).select("leaf", "own", F.xxhash64("leaf", "constant").alias("id"), F.size("constant").alias("k"))
+
+
+def _fits(variants: DataFrame) -> DataFrame:
+    """(leaf, own, id): the template of each variant (of more than ``DEPTH`` words, in a leaf of several) that has one."""
+    most = C.stage(_majority(variants, ["leaf"]), "most")
+    rest = C.stage(variants.join(most, ["leaf", "own"], "left_anti"), "rest")
+    half = F.ceil(CONSTANT * (F.size("w") - DEPTH)).cast("int")
+    places = rest.select("leaf", "own", half.alias("half"), F.posexplode("w").alias("p", "word")).where(F.col("p") >= DEPTH)
+    counts = places.groupBy("leaf", "p", "word").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = places.join(counts, ["leaf", "p", "word"]).groupBy("leaf", "own").agg(F.sort_array(F.collect_list(F.struct("c", "p", "word"))).alias("shared"), F.min("half").alias("half")).where(F.size("shared") >= F.col("half"))
+    family = F.get("shared", F.size("shared") - F.col("half"))["c"]
+    shared = shared.withColumn("family", family).select("leaf", "own", F.explode(F.expr(f"slice(filter(shared, y -> y.c >= family), 1, {PIVOTS})")).alias("y"))
+    members = shared.select("leaf", "own", F.col("y.p").alias("p"), F.col("y.word").alias("word")).join(rest, ["leaf", "own"])
+    agreed = C.stage(_majority(C.stage(members, "members"), ["leaf", "p", "word"]).distinct(), "agreed")
     sizes = agreed.groupBy("leaf", "id").agg(F.count(F.lit(1)).alias("v"))
-    return agreed.join(sizes, ["leaf", "id"]).groupBy("leaf", "own").agg(F.max_by("id", F.struct("v", "k", "id")).alias("id"))
+    best = agreed.join(sizes, ["leaf", "id"]).groupBy("leaf", "own").agg(F.max_by("id", F.struct("v", "k", "id")).alias("id"))
+    return most.select("leaf", "own", "id").unionByName(best)
 
 
 def dropped_lines(docs: DataFrame, doc_id: str, text: str, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
@@ -98,9 +101,8 @@ def dropped_lines(docs: DataFrame, doc_id: str, text: str, min_words: int = MIN_
     found = lines.join(leaves, "leaf", "left_semi").withColumn("w", _masked(F.col("line"))).withColumn("raw", F.when(F.col("n") >= LONG_WORDS, F.xxhash64(C.words(F.col("line"))))).drop("line")
     found = C.stage(found.withColumn("own", F.xxhash64("w")), "lines")
     variants = found.groupBy("leaf", "own").agg(F.min_by("w", "doc").alias("w"))
-    many = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.min(F.size("w")).alias("n")).where("variants > 1")
-    places = variants.join(many.where(F.col("n") > DEPTH), "leaf").select("leaf", "own", "variants", "n", F.posexplode("w").alias("p", "word")).where(F.col("p") >= DEPTH)
-    fits = _fits(variants, C.stage(places, "places"))
+    many = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    fits = _fits(C.stage(variants.where(F.size("w") > DEPTH).join(many, "leaf", "left_semi"), "variants"))
     lines = found.join(fits, ["leaf", "own"], "left").select("doc", "key", "pos", "n", "raw", F.when(F.col("id").isNotNull(), F.struct(F.lit(1).alias("kind"), "id")).otherwise(F.struct(F.lit(0).alias("kind"), F.col("own").alias("id"))).alias("template"))
     lines = C.stage(lines, "templates")
     C.discard(found)
