@@ -406,7 +406,8 @@ def q_eps_neighbors(spark, d):
 
 @query(sql("fv", f"SELECT a AS wid, round(max(dist), 6) AS dist FROM (SELECT a.wid AS a, {_DIST} AS dist, row_number() OVER (PARTITION BY a.wid ORDER BY round({_DIST}, 9), a.wid <> b.wid, b.wid) AS k FROM nm a JOIN nm b ON {_DIST} <= 1.7) WHERE k <= 2 GROUP BY a", _NORM))
 def q_knn2(spark, d):
-    near = neighbors.two_nearest(neighbors.eps_neighbors(_points(spark, d), _AXES, 1.7))
+    names = [*features.NAMES, *features.EXTRA]
+    near = neighbors.nearest(features.scaled(features.on_missing(X.feature_rows(spark, d)), names=tuple(names)).select("wid", *names), names)
     return near.groupBy(F.col("a").alias("wid")).agg(F.round(F.max("dist"), 6).alias("dist"))
 
 

@@ -93,3 +93,13 @@ def test_bisect_reaches_the_number_and_components_whiten(spark):
     assert ml.bisect_to(df, 3, ["a", "b", "c"]).select("cluster").distinct().count() == 3
     model, k = ml.pca(df, 0.9999)
     assert 1 <= k <= 3 and "pc" in model.transform(df).columns
+
+
+def test_two_nearest_have_no_radius(spark):
+    points = [(0, 0.0, 0.0), (1, 0.5, 0.0), (2, 40.0, 30.0), (3, -9.0, 0.0), (4, -9.0, 100.0)]
+    df = spark.createDataFrame(points, "wid long, x double, y double")
+    out = {r["a"]: (r["b"], r["dist"]) for r in neighbors.nearest(df, ["x", "y"]).collect() if r["rank"] == 2}
+    for k, x, y in points:
+        d, b = min((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, u, v in points if j != k)
+        assert out[k][0] == b and abs(out[k][1] - d) < 1e-9
+    assert [r["dist"] for r in neighbors.nearest(df.where("wid = 2"), ["x", "y"]).collect()] == [0.0]
