@@ -120,6 +120,13 @@ def _group(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
+def _fine(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fine group of each hash, of FINE in each of m segments, and its segment; no product exceeds 64 bits."""
+    scaled = (h >> np.uint64(32)) * np.uint64(m)  # the segment above 32 bits, the place within it below
+    segment, within = scaled >> np.uint64(32), scaled & np.uint64(0xFFFFFFFF)
+    return segment * np.uint64(FINE) + (within * np.uint64(FINE) >> np.uint64(32)), segment.astype(np.int64)
+
+
 def cells(h: np.ndarray, levels: Levels) -> list[np.ndarray]:
     """For each level of a set of shingles, the keys of its segments' sub-points."""
     out = []
@@ -127,8 +134,7 @@ def cells(h: np.ndarray, levels: Levels) -> list[np.ndarray]:
         m = levels.segments(level)
         if not m:
             continue  # only equal sets can be linked
-        fine = _group(h, m * FINE)
-        segment = (fine // np.uint64(FINE)).astype(np.int64)
+        fine, segment = _fine(h, m)
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(fine + np.uint64(1)))])
         edges = np.searchsorted(segment, np.arange(m + 1))
         sums = running[edges[1:]] - running[edges[:-1]]  # depends on the counts of the fine groups alone

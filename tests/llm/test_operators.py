@@ -290,6 +290,13 @@ def test_counts_of_long_and_short_lines(spark):
     assert [out[k]["n_dropped"] for k in range(18)] == [0, 2, 2, 2, 2, 3, *[2] * 6, 1, 1, 0, 0, 0, 0]
     assert passage in out[2]["text"] and out[5]["text"] == body[5] and out[17]["text"] == texts[17]
 
+def test_fine_groups_of_many_segments_stay_in_order():
+    h = np.sort(np.random.default_rng(14).integers(0, 1 << 64, 50_000, dtype=np.uint64))
+    for m in (5, 70_000, 3_000_000):
+        fine, segment = shingle_join._fine(h, m)
+        exact = [(int(x) >> 32) * m * shingle_join.FINE >> 32 for x in h]
+        assert fine.tolist() == exact and segment.tolist() == [x // shingle_join.FINE for x in exact]
+
 
 def test_lattice(spark):
     random = np.random.default_rng(6)
