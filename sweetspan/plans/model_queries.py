@@ -15,6 +15,8 @@ from ..sources import files
 from . import fixtures as X
 
 NAMES = list(features.NAMES)
+COSTS = [1.1, 1.25, 1.5, 2.0, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0]
+GAMMAS = [1.0, 0.1, 0.01, 0.001, 0.0001, 0.00001, "scale", "auto"]
 ALL = [*features.NAMES, *features.EXTRA]
 
 
@@ -59,9 +61,10 @@ def q_svm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_svm_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The measures of the best of all costs, kernels and gammas on the held-out share."""
     rows = ml.split(_both(spark, d), "is_meal").cache()
-    model = ml.svm_grid(rows.where("is_train"), [0.1, 10.0], folds=2)
-    return validation.binary_metrics(model.transform(rows.where("NOT is_train")), "is_meal", "prediction")
+    frame, model, _, _ = ml.kernel_grid(rows.where("is_train"), NAMES, COSTS, GAMMAS, folds=3)
+    return validation.binary_metrics(model.transform(frame(rows.where("NOT is_train"))), "is_meal", "prediction")
 
 
 def q_svm_rbf(spark: SparkSession, d: str) -> DataFrame:
