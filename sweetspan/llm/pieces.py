@@ -208,7 +208,7 @@ class Codec:
         hard = [False] * len(joint) + [self.model.kind == BPE and len(s) < 20_000 and self._by_place(s) for s in alone]
         quick = iter(self._batch([s for s, h in zip(texts, hard, strict=True) if not h], add_special_tokens=False))
         out = [self.model.merge_by_place(s) if h else next(quick).ids for s, h in zip(texts, hard, strict=True)]
-        if self.checked is not None and self.model.dummy_prefix and self.model.escapes:
+        if self.compares:
             # The library adds a marker itself, so one is taken off; a segment without one, or of one alone, is looked at behind a line feed.
             led = [s.startswith(MARK) and len(s) > 1 for s in texts]
             asked = [s[1:] if x else "\n" + s for s, x in zip(texts, led, strict=True)]
@@ -220,6 +220,11 @@ class Codec:
                     out[k] = theirs
         return out
 
+    @property
+    def compares(self) -> bool:
+        """Whether segments are held against the sentencepiece library."""
+        return self.checked is not None and self.model.dummy_prefix and self.model.escapes
+
     def _feed(self) -> list[int]:
         """What the sentencepiece library makes of a line feed alone."""
         if not hasattr(self, "_feed_ids"):
@@ -260,7 +265,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = T
     """``docs`` with n_pieces, piece_crc32 (of the ids as little-endian 32-bit integers), round_trip, parity and, if asked, piece_ids.
 
     round_trip: decoding gives the normalised text back; parity: all segments
-    agree with the sentencepiece library.
+    agree with the sentencepiece library, null where none is held against it.
     """
     C.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the model, a few MB whatever the data
@@ -279,12 +284,12 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = T
                 own = [ids[e - n : e] for e, n in zip(ends, counts, strict=True)]
                 plain = [codec.model.normalise(t).replace(MARK, " ").encode()[int(codec.model.dummy_prefix and t != "") :] for t in texts]
                 odd = codec.odd
-                parity = [True] * len(texts) if not odd else [not any(s in codec.model.normalise(t) for s in odd) for t in texts]
+                parity = [None] * len(texts) if not codec.compares else [True] * len(texts) if not odd else [not any(s in codec.model.normalise(t) for s in odd) for t in texts]
                 new = [
                     pa.array(counts, pa.int64()),
                     pa.array([zlib.crc32(x) for x in own], pa.int64()),
                     pa.array([codec.decode_bytes(x.astype(np.int64)) == p for x, p in zip(own, plain, strict=True)]),
-                    pa.array(parity),
+                    pa.array(parity, pa.bool_()),
                 ]
                 if with_ids:
                     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))

@@ -375,6 +375,12 @@ def _message(number, value):
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
+def test_parity_is_null_where_nothing_is_checked(spark):
+    from sweetspan.llm import registry
+
+    assert [r["parity"] for r in pieces.encode(docs(spark, ["a b"]), registry.piece_model(), verify=False).collect()] == [None]
+
+
 def test_unigram_model_by_hand():
     import sentencepiece
 
