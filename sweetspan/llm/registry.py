@@ -69,8 +69,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of all texts, learnt from those whose crc32(doc_id as text) mod 7 is not 2."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return tree_weighting.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, group="lang", across=True)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tree_weighting.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, across=True)
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

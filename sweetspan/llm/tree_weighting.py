@@ -1,62 +1,73 @@
 """LM scoring by context-tree weighting.
 
-A token (a lower-cased word, or the end of the text) is coded byte by byte, each
-byte as eight binary decisions.  The contexts of a decision are the bits of its
-byte decided so far and the last 0 to ``DEPTH`` bytes before it: of the text
-(tokens parted by single spaces) if ``across``, of the token, its start included,
-otherwise; each context keeps a Krichevsky-Trofimov estimator, and a node's
+A text is its tokens (lower-cased words), each followed by a space, and an end.
+It is coded byte by byte, each byte as eight binary decisions.  The contexts of a
+decision are the bits of its byte decided so far and the last 0 to ``DEPTH`` bytes
+before it: of the text if ``across``, of the token (its start included)
+otherwise.  Each context keeps a Krichevsky-Trofimov estimator, and a node's
 probability is the even mixture of its own estimate with the product of its
-children's, so all depths are weighted by how well they coded the training
-tokens (Willems, Shtarkov and Tjalkens, 1995).  Scores are the predictive
-log10 probabilities under the trained tree, whose counts stay fixed.
-
-Documents may be grouped by a column, such as their language.  Each of the
-``GROUPS`` commonest groups of the training documents has a tree of its own, and
-a document's code begins with its group, at the cost of the group's share of
-training documents, so scores stay probabilities of the text (a two-part code).
-
-A token's code depends on the token and the ``DEPTH`` bytes before it alone (a
-constant start unless ``across``), so everything is worked out once for each
-distinct pair of these in a group.  Such a pair is called a word below:
-
-1. documents become lists of word numbers in buckets of about ``BUCKET_BYTES``,
-   with the bucket's words and their counts (one pass over the texts);
-2. word counts are summed over the corpus, and words become counted contexts;
-3. subtrees below the last two bytes are weighted in tasks of their own, the
-   two levels above (at most 65,536 rows, by the size of the alphabet) on the
-   driver;
-4. context scores go back to words, word scores to buckets and documents.
+children's, so all depths are weighted by how well they coded the training texts
+(Willems, Shtarkov and Tjalkens, 1995).  There is one tree for the whole corpus.
+Scores are the predictive log10 probabilities under it; its counts stay fixed.
+
+A byte's code depends on it and the ``DEPTH`` bytes before it alone, together
+called a key (an integer), so everything is worked out once for each distinct key:
+
+1. texts are kept in compressed blocks, in buckets of about ``BUCKET_BYTES``,
+   with the bucket's distinct keys and words and their counts in training texts,
+   dealt to slices (one pass over the texts);
+2. a slice holds all keys that share their last ``MIDDLE`` context bytes, so it
+   sums up the buckets' counts and weights the tree from ``DEPTH`` to ``MIDDLE``;
+3. the nodes at depth ``MIDDLE`` are dealt by their last ``HIGH`` bytes, and
+   weighted up to these; the two levels above (256 x 255 nodes at most, by the
+   size of the alphabet) are summed natively and weighted on the driver;
+4. the way down is linear: a node's predictions reach the root as a + b * p, so
+   each level hands two numbers a node to the next, and slices score their keys;
+5. scores go back to the buckets that hold a key, and texts are scored by probing
+   a hash table of their bucket's keys.
+
+A slice and a range of nodes are worked off in runs of bounded length; keys are
+moved as packed arrays, never as single rows.  The slices of a corpus grow in
+number with its bytes.
 
 All counts cover the whole training corpus.  Defined results: a null text is an
-empty one (only the end); null ids train; repeated rows are documents of their
-own; without training tokens every estimate is even.
+empty one (only the end); null ids train; a null ``held_out`` is false; repeated
+rows are documents of their own; without training texts every estimate is even;
+other columns of the input aren't returned, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, pairwise, repeat
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .segments import ragged, slices
-
-#: Context bytes; text bytes and distinct words in a bucket; words in a chunk.
-DEPTH, BUCKET_BYTES, BUCKET_WORDS, CHUNK_WORDS = 6, 64 << 20, 700_000, 400_000
-#: Text bytes looked at before a bucket is closed.
-BATCH_BYTES = 4 << 20
-#: Buckets' words in a partition of all words.
-PART_WORDS = 1_500_000
-#: Trees; groups beyond share the last.
-GROUPS = 8
+from .segments import slices
+
+#: Context bytes: all, and at the two depths where the tree is handed on.
+DEPTH, MIDDLE, HIGH = 6, 4, 2
+#: Text bytes, distinct keys and distinct words from which on a bucket is closed.
+BUCKET_BYTES, BUCKET_KEYS, BUCKET_WORDS = 64 << 20, 4_000_000, 1_500_000
+#: Text bytes looked at together; keys made, summed up and weighted at a time.
+BATCH_BYTES, STEP, PENDING, RUN = 4 << 20, 8 << 20, 6_000_000, 250_000
+#: Fewest and most slices.
+SLICES = (256, 8192)
 END = b""
 #: The bytes before the first token, and before any unless ``across``.
 PAD = bytes(DEPTH - 1) + b" "
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of a bucket: its texts, its keys and its words; rows of a slice beside these: nodes at depth MIDDLE.
+TEXTS, KEYS, WORDS, NODES = 0, 1, 2, 3
 
 
 def _log_gamma_table(n: int, shift: float) -> np.ndarray:
@@ -85,263 +96,418 @@ def _own_weight(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.logaddexp(own, below) - np.log(2), 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
-def contexts(words: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (group, DEPTH context bytes, the latest highest, then the coded byte) of all bytes of all words behind their first DEPTH, and their number in each."""
-    text = np.frombuffer(b"".join(w + (b" " if len(w) > DEPTH else b"\n") for w in words), np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1 - DEPTH
-    starts = np.cumsum(sizes + DEPTH) - sizes
-    at = ragged(starts, sizes)
-    key = text[at] | np.repeat(group.astype(np.int64) << (8 * DEPTH + 8), sizes)
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1.0)
+
+
+def units(text: str | None, across: bool) -> list[bytes]:
+    """What is coded of a text, in parts that begin with DEPTH bytes of context."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if across:
+        return [PAD + b" ".join([*words, b"\n"])]
+    return [*(PAD + w + b" " for w in words), PAD + b"\n"]
+
+
+def keys(text: np.ndarray) -> np.ndarray:
+    """The key of each byte behind the first DEPTH: DEPTH bytes of context, the latest highest, then the byte."""
+    wide = text.astype(np.int64)
+    key = wide[DEPTH:].copy()
     for d in range(1, DEPTH + 1):
-        key |= text[at - d] << (8 * (DEPTH + 1 - d))
-    return key, sizes
+        key |= wide[DEPTH - d : len(wide) - d] << (8 * (DEPTH + 1 - d))
+    return key
+
+
+def stretches(text: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, keys, whether coded) of a text of several units, in stretches of at most STEP."""
+    coded = np.ones(len(text), bool)
+    coded[((np.cumsum(sizes) - sizes)[:, None] + np.arange(DEPTH)).ravel()] = False
+    for k in range(DEPTH, len(text), STEP):
+        part = text[k - DEPTH : k + STEP]
+        yield k, keys(part), coded[k : k + STEP]
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their numbers."""
+    if not len(key):
+        return key, n
+    by = np.argsort(key, kind="stable")
+    key, n = key[by], n[by]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
+
+
+class _Sums:
+    """Counts of keys, summed up whenever PENDING have gathered."""
+
+    def __init__(self):
+        self.parts, self.waiting, self.known = [], 0, 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((key, n))
+        self.waiting += len(key)
+        if self.waiting > PENDING + self.known:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) != 1:
+            self.parts = [summed(*(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*self.parts, strict=True) if self.parts else ((), ()))))]
+        self.waiting, self.known = 0, len(self.parts[0][0])
+        return self.parts[0]
+
+
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit integers, by their differences if ``rising``, as compressed planes of bytes."""
+    x = np.diff(x, prepend=0) if rising else x
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
 
+def unpack(data: bytes, rising: bool = False) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return np.cumsum(x) if rising else x
 
-def preceded(words: list[bytes], across: bool) -> list[bytes]:
-    """Each word behind the DEPTH bytes before it."""
-    if not across:
-        return [PAD + w for w in words]
-    text = PAD + b" ".join(words)
-    ends = list(accumulate((len(w) + 1 for w in words), initial=DEPTH))
-    return [text[a - DEPTH : b - 1] for a, b in pairwise(ends)]
 
+def _dealt(x: np.ndarray, n: int) -> np.ndarray:
+    """A number below n for each integer, by its hash."""
+    h = x.astype(np.uint64) * _MULT
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
-class Subtree:
-    """The contexts of a group that share their last two bytes."""
+
+def _by(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place below 65,536 that occurs, and the rows that are there, in order."""
+    order = np.argsort(place.astype(np.uint16), kind="stable")
+    found, first = np.unique(place[order], return_index=True)
+    for k, own in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+        yield k, own
+
+
+def _runs(group: np.ndarray, most: int) -> Iterator[slice]:
+    """Ranges of about ``most`` rows that never part equal neighbours."""
+    edges, start = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)), 0
+    while start < len(group):
+        k = int(np.searchsorted(edges, start + most, "right")) - 1
+        end = int(edges[k]) if k >= 0 and edges[k] > start else int(edges[np.searchsorted(edges, start, "right")])
+        yield slice(start, end)
+        start = end
+
+
+class Tier:
+    """Some levels of the tree: from nodes (context and bits) with their counts and mixtures ``steps`` levels up."""
+
+    def __init__(self, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixed: np.ndarray, steps: int):
+        self.levels = []
+        for _ in range(steps):
+            nodes, up = np.unique((nodes >> 16 << 8) | (nodes & 255), return_inverse=True)
+            zeros, ones = (np.bincount(up, x, len(nodes)).astype(np.int64) for x in (zeros, ones))
+            mixed, weight = _own_weight(log_kt(zeros, ones), np.bincount(up, mixed, len(nodes)))
+            self.levels.append((up, weight, _estimate(zeros, ones)))
+        self.nodes, self.zeros, self.ones, self.mixed = nodes, zeros, ones, mixed
+
+    def down(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From how the top nodes' predictions reach the root (as a + b * p), how the lowest nodes' do."""
+        for up, weight, own in reversed(self.levels):
+            a, b = (a + b * weight * own)[up], (b * (1 - weight))[up]
+        return a, b
+
+
+class Leaves:
+    """The lowest nodes of a run of keys and the tier above them."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
-        symbol, context = key & 255, key >> 8
-        step = np.arange(8)
-        node = (1 << step) | (symbol[:, None] >> (8 - step))
+        symbol, step = key & 255, np.arange(8)
+        nodes = (key >> 8 << 8)[:, None] | (1 << step) | (symbol[:, None] >> (8 - step))
         self.bit = (symbol[:, None] >> (7 - step)) & 1
-        nodes, at = np.unique((context[:, None] << 8 | node).ravel(), return_inverse=True)
-        self.at = at.reshape(len(key), 8)
+        nodes, at = np.unique(nodes.ravel(), return_inverse=True)
         weight = np.repeat(n, 8)
         ones = np.bincount(at, weight * self.bit.ravel(), len(nodes)).astype(np.int64)
         zeros = np.bincount(at, weight, len(nodes)).astype(np.int64) - ones
-        self.levels = [(nodes, zeros, ones, None, None)]  # from the deepest up: node, counts, parent, own weight
-        mixed = log_kt(zeros, ones)
-        for _ in range(DEPTH - 2):
-            nodes, up = np.unique((nodes >> 16 << 8) | (nodes & 255), return_inverse=True)
-            zeros, ones = (np.bincount(up, x, len(nodes)).astype(np.int64) for x in (zeros, ones))
-            mixed, weight = _own_weight(log_kt(zeros, ones), np.bincount(up, mixed, len(nodes)))
-            self.levels.append((nodes, zeros, ones, up, weight))
-        self.mixed = mixed
+        self.at, self.one = at.reshape(len(key), 8), _estimate(zeros, ones)
+        self.tier = Tier(nodes, zeros, ones, log_kt(zeros, ones), DEPTH - MIDDLE)
 
-    def predict(self) -> np.ndarray:
-        """Probability of each key's eight bits, mixed from all depths of the subtree."""
-        _, zeros, ones, _, _ = self.levels[0]
-        one = (ones + 0.5) / (zeros + ones + 1.0)
-        where = np.arange(len(one))
-        for _, zeros, ones, up, weight in self.levels[1:]:
-            where = up[where]
-            own = (ones + 0.5) / (zeros + ones + 1.0)
-            one = weight[where] * own[where] + (1 - weight[where]) * one
-        p = one[self.at]
-        return np.where(self.bit == 1, p, 1 - p)
+    def log10(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log10 probability of each key's byte, given how the tier's top nodes reach the root."""
+        a, b = self.tier.down(a, b)
+        p = (a + b * self.one)[self.at]
+        return np.log10(np.where(self.bit == 1, p, 1 - p)).sum(1)
 
 
-class _Numbers(dict):
-    def __missing__(self, word: tuple[int, bytes]) -> int:
-        n = self[word] = len(self)
-        return n
+class Top:
+    """How nodes at depth HIGH = 2 reach the root, from the summed nodes of one byte of context."""
 
+    def __init__(self, rows: list):
+        zeros, ones, below = (np.zeros((256, 256), t) for t in (np.int64, np.int64, np.float64))
+        for r in rows:
+            at = r["byte"], r["node"]
+            zeros[at], ones[at], below[at] = r["zeros"], r["ones"], r["mixed"]
+        mixed, weight = _own_weight(log_kt(zeros, ones), below)
+        first = zeros.sum(0), ones.sum(0)
+        _, root = _own_weight(log_kt(*first), mixed.sum(0))
+        self.a = root * _estimate(*first) + (1 - root) * weight * _estimate(zeros, ones)
+        self.b = (1 - root) * (1 - weight)
 
-def _number(docs: DataFrame, across: bool) -> DataFrame:
-    """Documents as word numbers, and the words of each bucket, in one table.
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = nodes >> 16, nodes & 255
+        return self.a[at], self.b[at]
 
-    Rows of kind 0 are documents (numbers as two planes of bytes), rows of kind
-    1 are words with their occurrences in training documents.
-    """
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("grp", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("numbers", pa.binary()), ("n_bytes", pa.int64()), ("number", pa.int32()), ("word", pa.binary()), ("n_train", pa.int64())])
 
-    def rows(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+class KeyTable:
+    """Scores by key, in a hash table with linear probing."""
+
+    def __init__(self, key: np.ndarray, score: np.ndarray):
+        self.bits = max(4, int(2 * len(key)).bit_length())
+        self.key, self.score = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        todo, at = np.arange(len(key)), self._slot(key)
+        while len(todo):
+            free = self.key[at] == -1
+            self.key[at[free]] = key[todo[free]]
+            here = self.key[at] == key[todo]
+            self.score[at[here]] = score[todo[here]]
+            todo, at = todo[~here], (at[~here] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _MULT) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Scores of keys that are all in the table."""
+        at = self._slot(key)
+        off = np.flatnonzero(self.key[at] != key)
+        while len(off):
+            at[off] = (at[off] + 1) & ((1 << self.bits) - 1)
+            off = off[self.key[at[off]] != key[off]]
+        return self.score[at]
+
+
+_PACKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("slice", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("tokens", pa.int64()), ("known", pa.int64())])
+_SQL = "kind int, bucket long, slice int, a binary, b binary, c binary, d binary, tokens long, known long"
+
+
+def _row(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([columns], schema=_PACKED)
+
+
+def _buckets(docs: DataFrame, across: bool, n_slices: int) -> DataFrame:
+    """The rows of all buckets, from (doc_id, held_out, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, numbers, train, size = TaskContext.get().partitionId() << 24, _Numbers(), np.zeros(0, np.int64), 0
+        bucket, found, words, size = TaskContext.get().partitionId() << 24, _Sums(), Counter(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = list(numbers)
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                m = len(part)
-                yield rows(m, kind=np.ones(m, np.int32), bucket=np.full(m, bucket), grp=[g for g, _ in part], number=np.arange(k, k + m, dtype=np.int32), word=[w for _, w in part], n_train=train[k : k + m])
+            key, n = found.total()
+            for k, own in _by(_dealt(key >> (8 * (DEPTH + 1 - MIDDLE)), n_slices)):
+                yield _row(kind=KEYS, bucket=bucket, slice=k, a=pack(key[own], True), b=pack(n[own]))
+            order = sorted(words)
+            count = np.fromiter(map(words.__getitem__, order), np.int64, len(order))
+            place = np.fromiter(map(crc32, order), np.int64, len(order)) % n_slices
+            for k, own in _by(place):
+                yield _row(kind=WORDS, bucket=bucket, slice=k, a=zstandard.ZstdCompressor(level=1).compress(b"\n".join([order[j] for j in own.tolist()])), b=pack(count[own]))
 
         for whole in batches:
             for row, column in slices(whole.column(2), BATCH_BYTES):
                 batch = whole.slice(row, len(column))
-                planes, sizes, lists = [], [], []
                 held = batch.column(1).to_pylist()
-                for t, h, g in zip(column, held, batch.column(3).to_pylist(), strict=True):
-                    words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                    words.append(END)
-                    own = np.fromiter(map(numbers.__getitem__, zip(repeat(g), preceded(words, across))), np.int64, len(words))
-                    lists.append(own[:0] if h else own)
-                    planes.append(own.astype("<u2").tobytes() + (own >> 16).astype("u1").tobytes())
-                    sizes.append(sum(map(len, words)) + len(words))
-                m = len(held)
-                yield rows(m, kind=np.zeros(m, np.int32), bucket=np.full(m, bucket), grp=batch.column(3), doc_id=batch.column(0), held_out=batch.column(1), numbers=planes, n_bytes=sizes)
-                found = np.bincount(np.concatenate(lists), minlength=len(numbers))
-                found[: len(train)] += train
-                train, size = found, size + sum(sizes)
-                if size >= BUCKET_BYTES or len(numbers) >= BUCKET_WORDS:
+                parts = [units(t.as_py(), across) for t in column]
+                per = np.fromiter(map(len, parts), np.int64, len(parts))
+                flat = [x for own in parts for x in own]
+                sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+                joined = b"".join(flat)
+                text = np.frombuffer(joined, np.uint8)
+                is_held = np.repeat(np.repeat(np.array(held, bool), per), sizes)
+                for at, key, coded in stretches(text, sizes):
+                    marked, n = np.unique(((key << 1) | is_held[at : at + STEP])[coded], return_counts=True)  # held-out texts need keys, but don't count
+                    found.add(marked >> 1, np.where(marked & 1, 0, n))
+                ids, none = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(0).is_null())
+                ids = np.where(none, 0, np.nan_to_num(ids)).astype(np.int64) if none.any() else ids
+                yield _row(kind=TEXTS, bucket=bucket, a=zstandard.ZstdCompressor(level=3).compress(joined), b=pack(sizes), c=pack(np.stack([per, ids, np.array(held, np.int64), none.astype(np.int64)]).ravel()))
+                for own, h in zip(parts, held, strict=True):
+                    tokens = b"".join([x[DEPTH:] for x in own]).split()
+                    if h:
+                        words.update(dict.fromkeys([*tokens, END], 0))
+                    else:
+                        words.update(tokens)
+                        words[END] += 1
+                size += len(joined)
+                if size >= BUCKET_BYTES or found.known >= BUCKET_KEYS or len(words) >= BUCKET_WORDS:
                     yield from flush()
-                    bucket, numbers, train, size = bucket + 1, _Numbers(), np.zeros(0, np.int64), 0
-        if numbers:
+                    bucket, found, words, size = bucket + 1, _Sums(), Counter(), 0
+        if size:
             yield from flush()
 
-    return docs.mapInArrow(run, "kind int, bucket long, grp int, doc_id long, held_out boolean, numbers binary, n_bytes long, number int, word binary, n_train long")
+    return docs.mapInArrow(run, _SQL)
+
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(len(batch)):  # one at a time: the packed arrays are large
+            yield {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
 
-def _chunks(words: DataFrame) -> DataFrame:
-    """Words in chunks (kind 0: grp, word, own, c) and each chunk's distinct contexts (kind 1: key, n)."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("grp", pa.int32()), ("word", pa.binary()), ("own", pa.int64()), ("c", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+
+def _in_slices(rows: DataFrame, parts: int, *order: str) -> DataFrame:
+    return rows.repartition(parts, order[0]).sortWithinPartitions(*order)
+
+
+def _merged(buckets: DataFrame, parts: int) -> DataFrame:
+    """Each slice's keys and words with their counts in the corpus, and its nodes at depth MIDDLE (``bucket``: where these are dealt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, words, keys, counts = TaskContext.get().partitionId() << 24, 0, [], []
+        at, found, words = None, _Sums(), Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
-            for k in range(0, len(key), 100_000):
-                m = len(key[k : k + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.full(m, chunk)), *(pa.nulls(m, f.type) for f in list(schema)[2:6]), pa.array(key[k : k + m]), pa.array(n[k : k + m])], schema=schema)
-
-        for batch in batches:
-            m = len(batch)
-            key, sizes = contexts(batch.column(1).to_pylist(), batch.column(0).to_numpy())
-            key, at = np.unique(key, return_inverse=True)
-            keys.append(key)
-            counts.append(np.bincount(at, np.repeat(batch.column(2).to_numpy(), sizes), len(key)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, chunk)), *batch.columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
-            words += m
-            if words >= CHUNK_WORDS:
+            key, n = found.total()
+            for own in _runs(key >> (8 * (DEPTH + 1 - MIDDLE)), RUN):
+                yield _row(kind=KEYS, slice=at, a=pack(key[own], True), b=pack(n[own]))
+                tier = Leaves(key[own], n[own]).tier
+                for k, rows in _by(_dealt(tier.nodes >> (8 * (MIDDLE + 1 - HIGH)), SLICES[0])):
+                    yield _row(kind=NODES, slice=at, bucket=k, a=pack(tier.nodes[rows], True), b=pack(tier.zeros[rows]), c=pack(tier.ones[rows]), d=tier.mixed[rows].tobytes())
+            if words:
+                order = sorted(words)
+                count = np.fromiter(map(words.__getitem__, order), np.int64, len(order))
+                yield _row(kind=WORDS, slice=at, a=zstandard.ZstdCompressor(level=1).compress(b"\n".join(order)), b=pack(count), tokens=int(count.sum()), known=int((count > 0).sum()))
+
+        for r in _rows(batches):
+            if r["slice"] != at:
                 yield from flush()
-                chunk, words, keys, counts = chunk + 1, 0, [], []
-        if words:
-            yield from flush()
+                at, found, words = r["slice"], _Sums(), Counter()
+            if r["kind"] == KEYS:
+                found.add(unpack(r["a"], True), unpack(r["b"]))
+            else:
+                for w, n in zip(zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), unpack(r["b"]).tolist(), strict=True):
+                    words[w] += n
+        yield from flush()
 
-    return words.mapInArrow(run, "kind int, chunk long, grp int, word binary, own long, c long, key long, n long")
+    return _in_slices(buckets.where(f"kind <> {TEXTS}"), parts, "slice", "kind").mapInArrow(run, _SQL)
 
 
-class _Top:
-    """Each group's root and contexts of one byte: estimates and weights by (group and byte, bits decided)."""
+def _upper(rows: list[dict]) -> tuple[Tier, list[slice]]:
+    """The tier between depths HIGH and MIDDLE of some rows of nodes, and where the tier has each row's."""
+    parts = [(unpack(r["a"], True), unpack(r["b"]), unpack(r["c"]), np.frombuffer(r["d"])) for r in rows]
+    ends = np.cumsum([0, *(len(x[0]) for x in parts)])
+    tier = Tier(*(np.concatenate(x) for x in zip(*parts, strict=True)), MIDDLE - HIGH)
+    return tier, [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def __init__(self, rows: list):
-        zeros, ones, below = (np.zeros((GROUPS * 256, 256), t) for t in (np.int64, np.int64, np.float64))
-        for r in rows:
-            at = r["byte"], r["node"]
-            zeros[at], ones[at], below[at] = r["zeros"], r["ones"], r["mixed"]
-        mixed, self.weight1 = _own_weight(log_kt(zeros, ones), below)
-        mixed[(zeros + ones) == 0] = 0.0
-        self.one1 = (ones + 0.5) / (zeros + ones + 1.0)
-        zeros, ones, mixed = (x.reshape(GROUPS, 256, 256).sum(1) for x in (zeros, ones, mixed))
-        _, self.weight0 = _own_weight(log_kt(zeros, ones), mixed)
-        self.one0 = (ones + 0.5) / (zeros + ones + 1.0)
-
-    def log10(self, key: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's byte, from its bits' probabilities in the subtrees."""
-        symbol, byte = key & 255, key >> (8 * DEPTH)
-        step = np.arange(8)
-        node, bit = (1 << step) | (symbol[:, None] >> (8 - step)), (symbol[:, None] >> (7 - step)) & 1
-        of = lambda one: np.where(bit == 1, one, 1 - one)
-        group = (byte >> 8)[:, None]
-        w1, w0 = self.weight1[byte[:, None], node], self.weight0[group, node]
-        p = w1 * of(self.one1[byte[:, None], node]) + (1 - w1) * p
-        p = w0 * of(self.one0[group, node]) + (1 - w0) * p
-        return np.log10(p).sum(1)
-
-
-def _context_scores(chunks: DataFrame) -> DataFrame:
-    """(key, score) of every context and byte met."""
-    keys = chunks.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-    keys = C.stage(keys.withColumn("subtree", F.shiftright("key", 8 * (DEPTH - 1))), "contexts")
-
-    def summary(table: pa.Table) -> pa.Table:
-        tree = Subtree(table.column("key").to_numpy(), table.column("n").to_numpy())
-        nodes, zeros, ones, _, _ = tree.levels[-1]
-        return pa.table({"byte": pa.array((nodes >> 16).astype(np.int32)), "node": pa.array((nodes & 255).astype(np.int32)), "zeros": pa.array(zeros), "ones": pa.array(ones), "mixed": pa.array(tree.mixed)})
-
-    parts = keys.groupBy("subtree").applyInArrow(summary, "byte int, node int, zeros long, ones long, mixed double")
-    rows = parts.groupBy("byte", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("mixed")).collect()  # at most GROUPS x 256 x 255
-    top = _Top(rows)
-
-    def score(table: pa.Table) -> pa.Table:
-        key = table.column("key").to_numpy()
-        return pa.table({"key": pa.array(key), "score": pa.array(top.log10(key, Subtree(key, table.column("n").to_numpy()).predict()))})
-
-    return keys.groupBy("subtree").applyInArrow(score, "key long, score double")
-
-
-def _word_scores(chunks: DataFrame, contexts_: DataFrame) -> DataFrame:
-    """(grp, word, c, score) of every word of a group."""
-    known = chunks.where("kind = 1").select(F.col("chunk").alias("of_chunk"), "key").join(contexts_, "key").select("of_chunk", "key", "score")
-    words = chunks.where("kind = 0").select("chunk", "grp", "word", "c")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, value = right.column("key").to_numpy(), right.column("score").to_numpy()
-        by = np.argsort(key)
-        key, value = key[by], value[by]
-        out, group = [], left.column("grp").to_numpy()
-        column = left.column("word").combine_chunks() if left.num_rows else left.column("word")
-        for k in range(0, left.num_rows, 50_000):
-            own, sizes = contexts(column.slice(k, 50_000).to_pylist(), group[k : k + 50_000])
-            out.append(np.add.reduceat(value[np.searchsorted(key, own)], np.cumsum(sizes) - sizes))
-        return pa.table({"grp": left.column("grp"), "word": left.column("word"), "c": left.column("c"), "score": pa.array(np.concatenate([np.empty(0), *out]).astype(np.float32))})
+def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[list[dict]]:
+    own: list[dict] = []
+    for r in _rows(batches):
+        if own and own[0][name] != r[name]:
+            yield own
+            own = []
+        own.append(r)
+    if own:
+        yield own
+
+
+def _top(nodes: DataFrame, parts: int) -> Top:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "bucket"):
+            tier, _ = _upper(rows)
+            yield pa.RecordBatch.from_arrays([pa.array((tier.nodes >> 16).astype(np.int32)), pa.array((tier.nodes & 255).astype(np.int32)), pa.array(tier.zeros), pa.array(tier.ones), pa.array(tier.mixed)], names=["byte", "node", "zeros", "ones", "mixed"])
 
-    return words.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(run, "grp int, word binary, c long, score float")
+    found = _in_slices(nodes, parts, "bucket", "slice").mapInArrow(run, "byte int, node int, zeros long, ones long, mixed double")
+    return Top(found.groupBy("byte", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("mixed")).collect())  # at most 256 x 255
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", group: str | None = None, across: bool = False) -> DataFrame:
-    """Scores of all documents by trees trained on those for which ``held_out`` is false, one for each group.
+def _scored(buckets: DataFrame, merged: DataFrame, parts: int) -> DataFrame:
+    """(bucket, kind, a, b): the keys of every bucket with their scores, and its words with their counts."""
+    nodes = merged.where(f"kind = {NODES}")
+    top = _top(nodes, parts)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "bucket"):
+            tier, places = _upper(rows)
+            a, b = tier.down(*top.of(tier.nodes))
+            for r, own in zip(rows, places, strict=True):
+                yield _row(kind=NODES, slice=r["slice"], a=r["a"], c=a[own].tobytes(), d=b[own].tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, reaches, rows, table, words = None, [], [], None, {}
+        for r in _rows(batches):
+            if r["slice"] != at:
+                at, reaches, rows, table, words = r["slice"], [], [], None, {}
+            if r["kind"] == NODES:
+                reaches.append((unpack(r["a"], True), np.frombuffer(r["c"]), np.frombuffer(r["d"])))
+            elif r["bucket"] is None and r["kind"] == KEYS:
+                rows.append((unpack(r["a"], True), unpack(r["b"])))
+            elif r["bucket"] is None:
+                words = dict(zip(zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), unpack(r["b"]).tolist(), strict=True))
+            elif r["kind"] == KEYS:
+                if table is None:
+                    node, a, b = (np.concatenate(x) for x in zip(*reaches, strict=True))
+                    by = np.argsort(node)
+                    node, a, b = node[by], a[by], b[by]
+                    scores = []
+                    for key, n in rows:
+                        leaves = Leaves(key, n)
+                        here = np.searchsorted(node, leaves.tier.nodes)
+                        scores.append(leaves.log10(a[here], b[here]))
+                    key, score = np.concatenate([x[0] for x in rows]), np.concatenate(scores).astype(np.float32)
+                    by = np.argsort(key)
+                    table, reaches, rows = (key[by], score[by]), [], []
+                own = np.searchsorted(table[0], unpack(r["a"], True))
+                yield _row(kind=KEYS, bucket=r["bucket"], a=r["a"], b=table[1][own].tobytes())
+            else:
+                count = map(words.__getitem__, zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"))
+                yield _row(kind=WORDS, bucket=r["bucket"], a=r["a"], b=pack(np.fromiter(count, np.int64)))
+
+    down = _in_slices(nodes, parts, "bucket", "slice").mapInArrow(reach, _SQL)
+    every = merged.where(f"kind <> {NODES}").unionByName(down).unionByName(buckets.where(f"kind <> {TEXTS}"))
+    every = every.withColumn("late", F.when(F.col("bucket").isNotNull(), 2).when(F.col("kind") == NODES, 0).otherwise(1))
+    return _in_slices(every, parts, "slice", "late", "kind").drop("late").mapInArrow(run, _SQL).select("bucket", "kind", "a", "b")
+
+
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", across: bool = False) -> DataFrame:
+    """Scores of all documents by a tree trained on those for which ``held_out`` is false.
 
     ``across`` lets contexts run over the token's edge into the tokens before it.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words
     drawn independently, counts plus one), score, and bits_per_byte.
     """
-    C.ship(docs.sparkSession)
-    named = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("")) if group else F.lit("")
-    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("text"), named.alias("name"))
-    groups = base.where("NOT held_out").groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(GROUPS + 1).collect()
-    every = base.where("NOT held_out").count()
-    own = groups if len(groups) <= GROUPS else groups[: GROUPS - 1]
-    index = F.lit(0 if len(groups) <= GROUPS else GROUPS - 1)  # an unknown name takes the commonest group's tree, or the shared one
-    for k, r in enumerate(own):
-        index = F.when(F.col("name") == r["name"], k).otherwise(index)
-    docs_of = np.zeros(GROUPS)
-    docs_of[: len(own)] = [r["n"] for r in own]
-    docs_of[-1] += every - docs_of.sum()
-    prior = np.log10((docs_of + 1) / (every + GROUPS))
-    numbered = C.stage(_number(base.select("doc_id", "held_out", "text", index.cast("int").alias("grp")), across), "numbered")
-    of_bucket = numbered.where("kind = 1").select("bucket", "number", "grp", "word", "n_train")
-    parts = max(1, -(-of_bucket.count() // PART_WORDS))  # large chunks share more of their contexts
-    words = of_bucket.select("grp", "word", "n_train").groupBy("word", "grp").agg(F.sum("n_train").alias("own"))
-    bare = F.substring("word", DEPTH + 1, 1 << 30)
-    plain_words = C.stage(of_bucket.select(bare.alias("bare"), "n_train").groupBy("bare").agg(F.sum("n_train").alias("c")), "plain")
-    chunks = C.stage(_chunks(words.join(plain_words, bare == F.col("bare")).select("grp", "word", "own", "c").repartition(parts, "word")), "chunks")
-    total = plain_words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
+    spark = docs.sparkSession
+    C.ship(spark)
+    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("text"))
+    n_buckets = -(-(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    n_slices = min(max(SLICES[0], n_buckets), SLICES[1])
+    least = 2 * spark.sparkContext.defaultParallelism
+    parts = min(n_slices, max(2 * least, n_buckets))
+    buckets = C.stage(_buckets(base.coalesce(max(least, n_buckets)), across, n_slices), "buckets")  # fewer buckets share more of their keys
+    merged = C.stage(_merged(buckets, parts), "merged")
+    total = merged.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
-    scores = _word_scores(chunks, _context_scores(chunks)).select(F.col("grp").alias("s_grp"), F.col("word").alias("s_word"), "c", "score")
-    found = of_bucket.select(F.col("bucket").alias("of_bucket"), "number", "grp", "word").join(scores, (F.col("word") == F.col("s_word")) & (F.col("grp") == F.col("s_grp"))).select("of_bucket", "number", "c", "score")
-    texts = numbered.where("kind = 0").select("bucket", "grp", "doc_id", "held_out", "numbers", "n_bytes")
+    found = _scored(buckets, merged, parts).withColumnRenamed("bucket", "of_bucket")
+    texts = buckets.where(f"kind = {TEXTS}").select("bucket", "a", "b", "c")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = right.num_rows
-        c, s = np.zeros(m, np.int64), np.zeros(m)
-        at = right.column("number").to_numpy()
-        c[at], s[at] = right.column("c").to_numpy(), right.column("score").to_numpy()
-        plain = np.log10((c + 1) / (n + v + 1))
-        tokens, known, simple, mixed = [], [], [], []
-        for x, g in zip(left.column("numbers"), left.column("grp").to_pylist(), strict=True):
-            data = x.as_py()
-            k = len(data) // 3
-            own = np.frombuffer(data, "<u2", k).astype(np.int64) | np.frombuffer(data, "u1", k, 2 * k).astype(np.int64) << 16
-            tokens.append(k)
-            known.append(int((c[own] > 0).sum()))
-            simple.append(float(plain[own].sum()))
-            mixed.append(float(s[own].sum() + prior[g]))
-        bits = -np.array(mixed) / np.log10(2) / left.column("n_bytes").to_numpy()
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * len(tokens), pa.int64()), "base_score": pa.array(simple, pa.float64()), "score": pa.array(mixed, pa.float64()), "bits_per_byte": pa.array(bits, pa.float64())})
+        known, plain, parts = {}, {}, []
+        for r in _rows(right.to_batches()):
+            if r["kind"] == KEYS:
+                parts.append((unpack(r["a"], True), np.frombuffer(r["b"], np.float32)))
+                continue
+            own, c = zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), unpack(r["b"])
+            known.update(zip(own, repeat(1)) if c.all() else ((w, int(x > 0)) for w, x in zip(own, c.tolist(), strict=True)))
+            plain.update(zip(own, np.log10((c + 1) / (n + v + 1)).tolist(), strict=True))
+        table = KeyTable(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else None
+        parts, out = [], []
+        for r in _rows(left.to_batches()):
+            joined, sizes = zstandard.ZstdDecompressor().decompress(r["a"]), unpack(r["b"])
+            per, ids, held, none = unpack(r["c"]).reshape(4, -1)
+            data = np.frombuffer(joined, np.uint8)
+            value = np.zeros(len(data), np.float32)
+            for k, key, coded in stretches(data, sizes):
+                where = np.flatnonzero(coded)
+                value[k + where] = table.find(key[where])
+            ends = np.cumsum(sizes)
+            last = np.cumsum(per)
+            first = np.concatenate([[0], last[:-1]])
+            starts = (ends - sizes)[first]
+            mixed = np.add.reduceat(value, starts, dtype=np.float64)
+            tokens, n_known, simple = [], [], []
+            for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                own = b"".join([joined[ends[j] - sizes[j] + DEPTH : ends[j]] for j in range(a, b)]).split()
+                own.append(END)
+                tokens.append(len(own))
+                n_known.append(sum(map(known.__getitem__, own)))
+                simple.append(sum(map(plain.__getitem__, own)))
+            coded_bytes = np.add.reduceat(sizes - DEPTH, first)
+            out.append((pa.array(ids, mask=none.astype(bool)), pa.array(held.astype(bool)), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(tokens), n)), pa.array(simple, pa.float64()), pa.array(mixed), pa.array(-mixed / np.log10(2) / coded_bytes)))
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+        return pa.concat_tables([pa.table(list(x), names=names) for x in out])
 
     return texts.groupBy("bucket").cogroup(found.groupBy("of_bucket")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
