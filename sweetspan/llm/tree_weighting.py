@@ -41,7 +41,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -58,8 +57,8 @@ from .segments import slices
 DEPTH, MIDDLE, HIGH = 6, 4, 2
 #: Text bytes, distinct keys and distinct words from which on a bucket is closed.
 BUCKET_BYTES, BUCKET_KEYS, BUCKET_WORDS = 64 << 20, 4_000_000, 1_500_000
-#: Text bytes looked at together; keys made, summed up and weighted at a time.
-BATCH_BYTES, STEP, PENDING, RUN = 4 << 20, 8 << 20, 6_000_000, 250_000
+#: Text bytes looked at together; keys made when they are counted and when they are scored; keys summed up and weighted at a time.
+BATCH_BYTES, STEP, SCORED, PENDING, RUN = 4 << 20, 8 << 20, 1 << 20, 6_000_000, 250_000
 #: Fewest and most slices.
 SLICES = (256, 8192)
 END = b""
@@ -117,13 +116,12 @@ def keys(text: np.ndarray) -> np.ndarray:
     return key
 
 
-def stretches(text: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place, keys, whether coded) of a text of several units, in stretches of at most STEP."""
+def stretches(text: np.ndarray, sizes: np.ndarray, step: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, keys, whether coded) of a text of several units, in stretches of at most ``step``."""
     coded = np.ones(len(text), bool)
     coded[((np.cumsum(sizes) - sizes)[:, None] + np.arange(DEPTH)).ravel()] = False
-    for k in range(DEPTH, len(text), STEP):
-        part = text[k - DEPTH : k + STEP]
-        yield k, keys(part), coded[k : k + STEP]
+    for k in range(DEPTH, len(text), step):
+        yield k, keys(text[k - DEPTH : k + step]), coded[k : k + step]
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +309,7 @@ def _buckets(docs: DataFrame, across: bool, n_slices: int) -> DataFrame:
                 joined = b"".join(flat)
                 text = np.frombuffer(joined, np.uint8)
                 is_held = np.repeat(np.repeat(np.array(held, bool), per), sizes)
-                for at, key, coded in stretches(text, sizes):
+                for at, key, coded in stretches(text, sizes, STEP):
                     marked, n = np.unique(((key << 1) | is_held[at : at + STEP])[coded], return_counts=True)  # held-out texts need keys, but don't count
                     found.add(marked >> 1, np.where(marked & 1, 0, n))
                 ids, none = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(0).is_null())
@@ -475,14 +473,16 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     texts = buckets.where(f"kind = {TEXTS}").select("bucket", "a", "b", "c")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, plain, parts = {}, {}, []
+        number, counts, parts = {}, [], []
         for r in _rows(right.to_batches()):
             if r["kind"] == KEYS:
                 parts.append((unpack(r["a"], True), np.frombuffer(r["b"], np.float32)))
                 continue
             own, c = zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), unpack(r["b"])
-            known.update(zip(own, repeat(1)) if c.all() else ((w, int(x > 0)) for w, x in zip(own, c.tolist(), strict=True)))
-            plain.update(zip(own, np.log10((c + 1) / (n + v + 1)).tolist(), strict=True))
+            number.update(zip(own, range(len(number), len(number) + len(own)), strict=True))
+            counts.append(c)
+        count = np.concatenate([np.empty(0, np.int64), *counts])
+        plain = np.log10((count + 1) / (n + v + 1))
         table = KeyTable(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else None
         parts, out = [], []
         for r in _rows(left.to_batches()):
@@ -490,7 +490,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
             per, ids, held, none = unpack(r["c"]).reshape(4, -1)
             data = np.frombuffer(joined, np.uint8)
             value = np.zeros(len(data), np.float32)
-            for k, key, coded in stretches(data, sizes):
+            for k, key, coded in stretches(data, sizes, SCORED):
                 where = np.flatnonzero(coded)
                 value[k + where] = table.find(key[where])
             ends = np.cumsum(sizes)
@@ -498,15 +498,16 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
             first = np.concatenate([[0], last[:-1]])
             starts = (ends - sizes)[first]
             mixed = np.add.reduceat(value, starts, dtype=np.float64)
-            tokens, n_known, simple = [], [], []
+            tokens, at = [], []
             for a, b in zip(first.tolist(), last.tolist(), strict=True):
                 own = b"".join([joined[ends[j] - sizes[j] + DEPTH : ends[j]] for j in range(a, b)]).split()
                 own.append(END)
                 tokens.append(len(own))
-                n_known.append(sum(map(known.__getitem__, own)))
-                simple.append(sum(map(plain.__getitem__, own)))
+                at.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+            at, begin = np.concatenate(at), np.cumsum([0, *tokens[:-1]])
+            n_known, simple = np.add.reduceat((count[at] > 0).astype(np.int64), begin), np.add.reduceat(plain[at], begin)
             coded_bytes = np.add.reduceat(sizes - DEPTH, first)
-            out.append((pa.array(ids, mask=none.astype(bool)), pa.array(held.astype(bool)), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(tokens), n)), pa.array(simple, pa.float64()), pa.array(mixed), pa.array(-mixed / np.log10(2) / coded_bytes)))
+            out.append((pa.array(ids, mask=none.astype(bool)), pa.array(held.astype(bool)), pa.array(tokens, pa.int64()), pa.array(n_known), pa.array(np.full(len(tokens), n)), pa.array(simple), pa.array(mixed), pa.array(-mixed / np.log10(2) / coded_bytes)))
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         return pa.concat_tables([pa.table(list(x), names=names) for x in out])
 
