@@ -45,6 +45,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -251,7 +252,7 @@ class KeyTable:
     """Scores by key, in a hash table with linear probing."""
 
     def __init__(self, key: np.ndarray, score: np.ndarray):
-        self.bits = max(4, int(2 * len(key)).bit_length())
+        self.bits = max(4, int(1.4 * len(key)).bit_length())
         self.key, self.score = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
         todo, at = np.arange(len(key)), self._slot(key)
         while len(todo):
@@ -469,46 +470,46 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     merged = C.stage(_merged(buckets, parts), "merged")
     total = merged.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
-    found = _scored(buckets, merged, parts).withColumnRenamed("bucket", "of_bucket")
-    texts = buckets.where(f"kind = {TEXTS}").select("bucket", "a", "b", "c")
+    every = _scored(buckets, merged, parts).unionByName(buckets.where(f"kind = {TEXTS}").select("bucket", "kind", "a", "b", "c"), allowMissingColumns=True)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+
+    def scores(r: dict, table: KeyTable, words: pa.Array, count: np.ndarray, plain: np.ndarray) -> pa.RecordBatch:
+        joined, sizes = zstandard.ZstdDecompressor().decompress(r["a"]), unpack(r["b"])
+        per, ids, held, none = unpack(r["c"]).reshape(4, -1)
+        data, last, ends = np.frombuffer(joined, np.uint8), np.cumsum(per), np.cumsum(sizes)
+        value = np.zeros(len(data), np.float32)
+        for k, key, coded in stretches(data, sizes, SCORED):
+            where = np.flatnonzero(coded)
+            value[k + where] = table.find(key[where])
+        first = last - per
+        mixed = np.add.reduceat(value, (ends - sizes)[first], dtype=np.float64)
+        tokens, n_tokens = [], []
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            own = b"".join([joined[ends[j] - sizes[j] + DEPTH : ends[j]] for j in range(a, b)]).split()
+            tokens += own
+            tokens.append(END)
+            n_tokens.append(len(own) + 1)
+        at, begin = pc.index_in(pa.array(tokens, pa.binary()), value_set=words).to_numpy(), np.cumsum([0, *n_tokens[:-1]])
+        n_known, simple = np.add.reduceat((count[at] > 0).astype(np.int64), begin), np.add.reduceat(plain[at], begin)
+        bits = -mixed / np.log10(2) / np.add.reduceat(sizes - DEPTH, first)
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=none.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens, pa.int64()), pa.array(n_known), pa.array(np.full(len(ids), n)), pa.array(simple), pa.array(mixed), pa.array(bits)], names=names)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        number, counts, parts = {}, [], []
-        for r in _rows(right.to_batches()):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, words, counts, found = None, [], [], [], None
+        for r in _rows(batches):
+            if r["bucket"] != at:
+                at, own, words, counts, found = r["bucket"], [], [], [], None
             if r["kind"] == KEYS:
-                parts.append((unpack(r["a"], True), np.frombuffer(r["b"], np.float32)))
-                continue
-            own, c = zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), unpack(r["b"])
-            number.update(zip(own, range(len(number), len(number) + len(own)), strict=True))
-            counts.append(c)
-        count = np.concatenate([np.empty(0, np.int64), *counts])
-        plain = np.log10((count + 1) / (n + v + 1))
-        table = KeyTable(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else None
-        parts, out = [], []
-        for r in _rows(left.to_batches()):
-            joined, sizes = zstandard.ZstdDecompressor().decompress(r["a"]), unpack(r["b"])
-            per, ids, held, none = unpack(r["c"]).reshape(4, -1)
-            data = np.frombuffer(joined, np.uint8)
-            value = np.zeros(len(data), np.float32)
-            for k, key, coded in stretches(data, sizes, SCORED):
-                where = np.flatnonzero(coded)
-                value[k + where] = table.find(key[where])
-            ends = np.cumsum(sizes)
-            last = np.cumsum(per)
-            first = np.concatenate([[0], last[:-1]])
-            starts = (ends - sizes)[first]
-            mixed = np.add.reduceat(value, starts, dtype=np.float64)
-            tokens, at = [], []
-            for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                own = b"".join([joined[ends[j] - sizes[j] + DEPTH : ends[j]] for j in range(a, b)]).split()
-                own.append(END)
-                tokens.append(len(own))
-                at.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
-            at, begin = np.concatenate(at), np.cumsum([0, *tokens[:-1]])
-            n_known, simple = np.add.reduceat((count[at] > 0).astype(np.int64), begin), np.add.reduceat(plain[at], begin)
-            coded_bytes = np.add.reduceat(sizes - DEPTH, first)
-            out.append((pa.array(ids, mask=none.astype(bool)), pa.array(held.astype(bool)), pa.array(tokens, pa.int64()), pa.array(n_known), pa.array(np.full(len(tokens), n)), pa.array(simple), pa.array(mixed), pa.array(-mixed / np.log10(2) / coded_bytes)))
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-        return pa.concat_tables([pa.table(list(x), names=names) for x in out])
-
-    return texts.groupBy("bucket").cogroup(found.groupBy("of_bucket")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+                own.append((unpack(r["a"], True), np.frombuffer(r["b"], np.float32)))
+            elif r["kind"] == WORDS:
+                words.append(pa.array(zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), pa.binary()))
+                counts.append(unpack(r["b"]))
+            else:
+                if found is None:
+                    count = np.concatenate(counts)
+                    found = KeyTable(*(np.concatenate(x) for x in zip(*own, strict=True))), pa.concat_arrays(words), count, np.log10((count + 1) / (n + v + 1))
+                    own, words, counts = [], [], []
+                yield scores(r, *found)
+
+    every = every.withColumn("late", (F.col("kind") == TEXTS).cast("int"))
+    return _in_slices(every, max(2 * least, 4 * n_buckets), "bucket", "late").drop("late").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
