@@ -39,9 +39,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +57,11 @@ DEPTH, MIDDLE, HIGH = 6, 4, 2
 #: Text bytes, distinct keys and distinct words from which on a bucket is closed.
 BUCKET_BYTES, BUCKET_KEYS, BUCKET_WORDS = 64 << 20, 4_000_000, 1_500_000
 #: Text bytes looked at together; keys made when they are counted and when they are scored; keys summed up and weighted at a time.
-BATCH_BYTES, STEP, SCORED, PENDING, RUN = 4 << 20, 8 << 20, 1 << 20, 6_000_000, 250_000
+BATCH_BYTES, STEP, SCORED, PENDING, RUN = 4 << 20, 2 << 20, 1 << 20, 2_000_000, 250_000
 #: Fewest and most slices.
 SLICES = (256, 8192)
-END = b""
+#: The end of a text, as it is coded and as a token.
+END = b"\n"
 #: The bytes before the first token, and before any unless ``across``.
 PAD = bytes(DEPTH - 1) + b" "
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -104,8 +103,13 @@ def units(text: str | None, across: bool) -> list[bytes]:
     """What is coded of a text, in parts that begin with DEPTH bytes of context."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if across:
-        return [PAD + b" ".join([*words, b"\n"])]
-    return [*(PAD + w + b" " for w in words), PAD + b"\n"]
+        return [PAD + b" ".join([*words, END])]
+    return [*(PAD + w + b" " for w in words), PAD + END]
+
+
+def tokens(coded: list[bytes]) -> pa.ListArray:
+    """The tokens, the end included, of each coded text."""
+    return pc.split_pattern(pa.array(coded, pa.binary()), " ")
 
 
 def keys(text: np.ndarray) -> np.ndarray:
@@ -154,6 +158,45 @@ class _Sums:
         return self.parts[0]
 
 
+class _WordSums:
+    """Counts of words, summed up whenever PENDING have gathered."""
+
+    def __init__(self):
+        self.parts, self.waiting, self.known = [], 0, 0
+
+    def add(self, words: pa.Array, n: np.ndarray) -> None:
+        self.parts.append(pa.table({"w": words, "n": pa.array(n, pa.int64())}))
+        self.waiting += len(words)
+        if self.waiting > PENDING + self.known:
+            self.total()
+
+    def total(self) -> tuple[pa.Array, np.ndarray]:
+        """Distinct words in order, and their counts."""
+        if self.parts:
+            found = pa.concat_tables(self.parts).group_by("w").aggregate([("n", "sum")]).sort_by("w")
+            self.parts = [pa.table({"w": found["w"], "n": found["n_sum"]}).combine_chunks()]
+            self.waiting, self.known = 0, found.num_rows
+            return self.parts[0]["w"].chunk(0) if found.num_rows else pa.array([], pa.binary()), self.parts[0]["n"].to_numpy()
+        return pa.array([], pa.binary()), np.empty(0, np.int64)
+
+
+def _word_places(words: pa.Array, n: int) -> np.ndarray:
+    """A number below n for each word (none is empty), by a hash of its bytes and their places."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    starts = offsets[:-1] - offsets[0]
+    place = (np.arange(len(data)) - np.repeat(starts, np.diff(offsets))).astype(np.uint64)
+    return _dealt(np.add.reduceat(data * (place * np.uint64(2) + np.uint64(1)) * _MULT, starts).astype(np.uint64), n) if len(words) else np.empty(0, np.int64)
+
+
+def pack_words(words: pa.Array) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words.to_pylist()))
+
+
+def unpack_words(data: bytes) -> pa.Array:
+    return tokens([zstandard.ZstdDecompressor().decompress(data)]).values
+
+
 def pack(x: np.ndarray, rising: bool = False) -> bytes:
     """64-bit integers, by their differences if ``rising``, as compressed planes of bytes."""
     x = np.diff(x, prepend=0) if rising else x
@@ -287,17 +330,15 @@ def _buckets(docs: DataFrame, across: bool, n_slices: int) -> DataFrame:
     """The rows of all buckets, from (doc_id, held_out, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, found, words, size = TaskContext.get().partitionId() << 24, _Sums(), Counter(), 0
+        bucket, found, words, size = TaskContext.get().partitionId() << 24, _Sums(), _WordSums(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, n = found.total()
             for k, own in _by(_dealt(key >> (8 * (DEPTH + 1 - MIDDLE)), n_slices)):
                 yield _row(kind=KEYS, bucket=bucket, slice=k, a=pack(key[own], True), b=pack(n[own]))
-            order = sorted(words)
-            count = np.fromiter(map(words.__getitem__, order), np.int64, len(order))
-            place = np.fromiter(map(crc32, order), np.int64, len(order)) % n_slices
-            for k, own in _by(place):
-                yield _row(kind=WORDS, bucket=bucket, slice=k, a=zstandard.ZstdCompressor(level=1).compress(b"\n".join([order[j] for j in own.tolist()])), b=pack(count[own]))
+            word, n = words.total()
+            for k, own in _by(_word_places(word, n_slices)):
+                yield _row(kind=WORDS, bucket=bucket, slice=k, a=pack_words(word.take(pa.array(own))), b=pack(n[own]))
 
         for whole in batches:
             for row, column in slices(whole.column(2), BATCH_BYTES):
@@ -316,19 +357,20 @@ def _buckets(docs: DataFrame, across: bool, n_slices: int) -> DataFrame:
                 ids, none = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(0).is_null())
                 ids = np.where(none, 0, np.nan_to_num(ids)).astype(np.int64) if none.any() else ids
                 yield _row(kind=TEXTS, bucket=bucket, a=zstandard.ZstdCompressor(level=3).compress(joined), b=pack(sizes), c=pack(np.stack([per, ids, np.array(held, np.int64), none.astype(np.int64)]).ravel()))
-                for own, h in zip(parts, held, strict=True):
-                    tokens = b"".join([x[DEPTH:] for x in own]).split()
-                    if h:
-                        words.update(dict.fromkeys([*tokens, END], 0))
-                    else:
-                        words.update(tokens)
-                        words[END] += 1
+                for is_out in (False, True):
+                    own = tokens([b"".join([y[DEPTH:] for y in x]) for x, h in zip(parts, held, strict=True) if h == is_out]).values
+                    if len(own):
+                        n = own.value_counts()
+                        words.add(n.field("values"), n.field("counts").to_numpy() * (not is_out))
                 size += len(joined)
-                if size >= BUCKET_BYTES or found.known >= BUCKET_KEYS or len(words) >= BUCKET_WORDS:
+                if size >= BUCKET_BYTES or found.known >= BUCKET_KEYS or words.known >= BUCKET_WORDS:
                     yield from flush()
-                    bucket, found, words, size = bucket + 1, _Sums(), Counter(), 0
+                    bucket, found, words, size = bucket + 1, _Sums(), _WordSums(), 0
+                    C.give_back()
         if size:
             yield from flush()
+        del found, words
+        C.give_back()
 
     return docs.mapInArrow(run, _SQL)
 
@@ -347,7 +389,7 @@ def _merged(buckets: DataFrame, parts: int) -> DataFrame:
     """Each slice's keys and words with their counts in the corpus, and its nodes at depth MIDDLE (``bucket``: where these are dealt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, found, words = None, _Sums(), Counter()
+        at, found, words = None, _Sums(), _WordSums()
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, n = found.total()
@@ -356,20 +398,18 @@ def _merged(buckets: DataFrame, parts: int) -> DataFrame:
                 tier = Leaves(key[own], n[own]).tier
                 for k, rows in _by(_dealt(tier.nodes >> (8 * (MIDDLE + 1 - HIGH)), SLICES[0])):
                     yield _row(kind=NODES, slice=at, bucket=k, a=pack(tier.nodes[rows], True), b=pack(tier.zeros[rows]), c=pack(tier.ones[rows]), d=tier.mixed[rows].tobytes())
-            if words:
-                order = sorted(words)
-                count = np.fromiter(map(words.__getitem__, order), np.int64, len(order))
-                yield _row(kind=WORDS, slice=at, a=zstandard.ZstdCompressor(level=1).compress(b"\n".join(order)), b=pack(count), tokens=int(count.sum()), known=int((count > 0).sum()))
+            word, n = words.total()
+            if len(word):
+                yield _row(kind=WORDS, slice=at, a=pack_words(word), b=pack(n), tokens=int(n.sum()), known=int((n > 0).sum()))
 
         for r in _rows(batches):
             if r["slice"] != at:
                 yield from flush()
-                at, found, words = r["slice"], _Sums(), Counter()
+                at, found, words = r["slice"], _Sums(), _WordSums()
             if r["kind"] == KEYS:
                 found.add(unpack(r["a"], True), unpack(r["b"]))
             else:
-                for w, n in zip(zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), unpack(r["b"]).tolist(), strict=True):
-                    words[w] += n
+                words.add(unpack_words(r["a"]), unpack(r["b"]))
         yield from flush()
 
     return _in_slices(buckets.where(f"kind <> {TEXTS}"), parts, "slice", "kind").mapInArrow(run, _SQL)
@@ -417,16 +457,16 @@ def _scored(buckets: DataFrame, merged: DataFrame, parts: int) -> DataFrame:
                 yield _row(kind=NODES, slice=r["slice"], a=r["a"], c=a[own].tobytes(), d=b[own].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, reaches, rows, table, words = None, [], [], None, {}
+        at, reaches, rows, table, words = None, [], [], None, ()
         for r in _rows(batches):
             if r["slice"] != at:
-                at, reaches, rows, table, words = r["slice"], [], [], None, {}
+                at, reaches, rows, table, words = r["slice"], [], [], None, ()
             if r["kind"] == NODES:
                 reaches.append((unpack(r["a"], True), np.frombuffer(r["c"]), np.frombuffer(r["d"])))
             elif r["bucket"] is None and r["kind"] == KEYS:
                 rows.append((unpack(r["a"], True), unpack(r["b"])))
             elif r["bucket"] is None:
-                words = dict(zip(zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), unpack(r["b"]).tolist(), strict=True))
+                words = unpack_words(r["a"]), unpack(r["b"])
             elif r["kind"] == KEYS:
                 if table is None:
                     node, a, b = (np.concatenate(x) for x in zip(*reaches, strict=True))
@@ -443,8 +483,8 @@ def _scored(buckets: DataFrame, merged: DataFrame, parts: int) -> DataFrame:
                 own = np.searchsorted(table[0], unpack(r["a"], True))
                 yield _row(kind=KEYS, bucket=r["bucket"], a=r["a"], b=table[1][own].tobytes())
             else:
-                count = map(words.__getitem__, zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"))
-                yield _row(kind=WORDS, bucket=r["bucket"], a=r["a"], b=pack(np.fromiter(count, np.int64)))
+                own = pc.index_in(unpack_words(r["a"]), value_set=words[0]).to_numpy()
+                yield _row(kind=WORDS, bucket=r["bucket"], a=r["a"], b=pack(words[1][own]))
 
     down = _in_slices(nodes, parts, "bucket", "slice").mapInArrow(reach, _SQL)
     every = merged.where(f"kind <> {NODES}").unionByName(down).unionByName(buckets.where(f"kind <> {TEXTS}"))
@@ -483,13 +523,10 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
             value[k + where] = table.find(key[where])
         first = last - per
         mixed = np.add.reduceat(value, (ends - sizes)[first], dtype=np.float64)
-        tokens, n_tokens = [], []
-        for a, b in zip(first.tolist(), last.tolist(), strict=True):
-            own = b"".join([joined[ends[j] - sizes[j] + DEPTH : ends[j]] for j in range(a, b)]).split()
-            tokens += own
-            tokens.append(END)
-            n_tokens.append(len(own) + 1)
-        at, begin = pc.index_in(pa.array(tokens, pa.binary()), value_set=words).to_numpy(), np.cumsum([0, *n_tokens[:-1]])
+        lists = tokens([b"".join([joined[ends[j] - sizes[j] + DEPTH : ends[j]] for j in range(a, b)]) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        begin = lists.offsets.to_numpy()
+        n_tokens, begin = np.diff(begin), begin[:-1]
+        at = pc.index_in(lists.values, value_set=words).to_numpy()
         n_known, simple = np.add.reduceat((count[at] > 0).astype(np.int64), begin), np.add.reduceat(plain[at], begin)
         bits = -mixed / np.log10(2) / np.add.reduceat(sizes - DEPTH, first)
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=none.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens, pa.int64()), pa.array(n_known), pa.array(np.full(len(ids), n)), pa.array(simple), pa.array(mixed), pa.array(bits)], names=names)
@@ -502,14 +539,17 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
             if r["kind"] == KEYS:
                 own.append((unpack(r["a"], True), np.frombuffer(r["b"], np.float32)))
             elif r["kind"] == WORDS:
-                words.append(pa.array(zstandard.ZstdDecompressor().decompress(r["a"]).split(b"\n"), pa.binary()))
+                words.append(unpack_words(r["a"]))
                 counts.append(unpack(r["b"]))
             else:
                 if found is None:
                     count = np.concatenate(counts)
                     found = KeyTable(*(np.concatenate(x) for x in zip(*own, strict=True))), pa.concat_arrays(words), count, np.log10((count + 1) / (n + v + 1))
                     own, words, counts = [], [], []
+                    C.give_back()
                 yield scores(r, *found)
+        del own, words, counts, found
+        C.give_back()
 
     every = every.withColumn("late", (F.col("kind") == TEXTS).cast("int"))
     return _in_slices(every, max(2 * least, 4 * n_buckets), "bucket", "late").drop("late").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
