@@ -11,13 +11,18 @@ once, in multithreaded batches.
 
 The library breaks ties of equal BPE scores by the merged pair and SentencePiece
 by place, so segments in which that could matter (three or more markers in a
-run, or one character thrice in a row) are merged here by (score, place).
-``verify`` holds every distinct segment against the sentencepiece library as it
-is learnt; a segment that differs is counted, takes the ids of that library, and
-marks the documents that hold it in the column ``parity``.
-
-Defined results: null and empty texts have no ids; decoding gives the normalised
-text, which for models without normalisation is the text itself.
+run, or one character thrice in a row) are merged here by (score, place), at any
+length.  ``verify`` holds every distinct segment against the sentencepiece library
+as it is learnt; a segment that differs takes the ids of that library, and each
+document has the number of its distinct segments that do in ``n_odd``.
+
+Defined results: null and empty texts have no ids (no pieces, the crc32 of
+nothing, an empty list); decoding gives the normalised text, which for models
+without normalisation is the text itself; texts of any length are encoded whole;
+rows are encoded each on its own, so repeated rows give equal results, and the
+order of rows doesn't matter; all columns pass through, and results whose names
+clash with one of them get leading underscores; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -205,7 +210,7 @@ class Codec:
 
     def _encode(self, joint: list[str], alone: list[str]) -> list[list[int]]:
         texts = joint + alone
-        hard = [False] * len(joint) + [self.model.kind == BPE and len(s) < 20_000 and self._by_place(s) for s in alone]
+        hard = [False] * len(joint) + [self.model.kind == BPE and self._by_place(s) for s in alone]
         quick = iter(self._batch([s for s, h in zip(texts, hard, strict=True) if not h], add_special_tokens=False))
         out = [self.model.merge_by_place(s) if h else next(quick).ids for s, h in zip(texts, hard, strict=True)]
         if self.compares:
@@ -231,6 +236,10 @@ class Codec:
             self._feed_ids = self.checked.encode("\n")
         return self._feed_ids
 
+    def segments(self, text: str) -> set[str]:
+        """The distinct segments of a text."""
+        return set(re.findall(self.model.segment_pattern(), self.model.normalise(text)))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each text's."""
         return self._segments.encode(map(self.model.normalise, texts))
@@ -262,14 +271,15 @@ def _codec(data: bytes, verify: bool) -> Codec:
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = True, verify: bool = True) -> DataFrame:
-    """``docs`` with n_pieces, piece_crc32 (of the ids as little-endian 32-bit integers), round_trip, parity and, if asked, piece_ids.
+    """``docs`` with n_pieces, piece_crc32 (of the ids as little-endian 32-bit integers), round_trip, parity, n_odd and, if asked, piece_ids.
 
-    round_trip: decoding gives the normalised text back; parity: all segments
-    agree with the sentencepiece library, null where none is held against it.
+    round_trip: decoding gives the normalised text back; n_odd: distinct segments
+    that differ from the sentencepiece library's, parity: there are none; both
+    null where segments aren't held against it.
     """
     C.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the model, a few MB whatever the data
-    wanted = {"n_pieces": T.LongType(), "piece_crc32": T.LongType(), "round_trip": T.BooleanType(), "parity": T.BooleanType()}
+    wanted = {"n_pieces": T.LongType(), "piece_crc32": T.LongType(), "round_trip": T.BooleanType(), "parity": T.BooleanType(), "n_odd": T.LongType()}
     wanted |= {"piece_ids": T.ArrayType(T.IntegerType())} if with_ids else {}
     names = {c: C.free_name(docs, c) for c in wanted}
     at = docs.columns.index(text)
@@ -284,12 +294,13 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = T
                 own = [ids[e - n : e] for e, n in zip(ends, counts, strict=True)]
                 plain = [codec.model.normalise(t).replace(MARK, " ").encode()[int(codec.model.dummy_prefix and t != "") :] for t in texts]
                 odd = codec.odd
-                parity = [None] * len(texts) if not codec.compares else [True] * len(texts) if not odd else [not any(s in codec.model.normalise(t) for s in odd) for t in texts]
+                n_odd = [None] * len(texts) if not codec.compares else [0] * len(texts) if not odd else [len(odd & codec.segments(t)) for t in texts]
                 new = [
                     pa.array(counts, pa.int64()),
                     pa.array([zlib.crc32(x) for x in own], pa.int64()),
                     pa.array([codec.decode_bytes(x.astype(np.int64)) == p for x, p in zip(own, plain, strict=True)]),
-                    pa.array(parity, pa.bool_()),
+                    pa.array([None if x is None else x == 0 for x in n_odd], pa.bool_()),
+                    pa.array(n_odd, pa.int64()),
                 ]
                 if with_ids:
                     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
