@@ -7,12 +7,17 @@ its host with each prefix of its path that is as long as some rule's path),
 probe the digests by vectorised binary search and compare the stored strings,
 so a collision of digests can't decide.  The longest rule that fits wins.
 
-The store is sent to the executors only if it is smaller than ``STORE_BYTES``;
-a larger rule table is joined by digest and string instead (``judge_by_join``).
+A store smaller than ``STORE_BYTES`` is sent to the executors.  A larger rule table
+is cut by digest into stores of about ``PART_BYTES`` (``judge_in_parts``): the
+distinct strings asked for meet the store of their digests in one task, and what
+is found goes back to the urls, under the same ranking.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
-and fits no rule; all rows and columns pass through, repeated ones too; empty
-tables give empty results; of rules with equal host and path, block wins.
+and fits no rule; all rows and columns pass through, repeated ones too, under results
+whose names get leading underscores where they clash; urls of any length are read
+whole; a rule with an empty path fits its hosts whatever the path; empty tables give
+empty results, and without rules every verdict is the default; of rules with equal
+host and path, block wins; of equally long rules that fit, the one with the longer host.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 
-STORE_BYTES = 64 << 20
+#: Bytes of a store that is sent to all, and of one part of a larger one, about.
+STORE_BYTES, PART_BYTES = 64 << 20, 32 << 20
+#: Bytes of a rule in a store beside its string.
+RULE_BYTES = 17
 _URL = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
 
 
@@ -52,7 +60,7 @@ class DigestStore:
         at = 16 + 16 * n
         self.allow = np.frombuffer(buffer, "u1", n, at)
         self.text = memoryview(buffer)[at + n :]
-        self.path_lengths = sorted({len(s) - s.index(b"/") for s in map(self.string, range(n))})
+        self.path_lengths = sorted({len(s) - (s + b"/").index(b"/") for s in map(self.string, range(n))})
 
     def string(self, k: int) -> bytes:
         return bytes(self.text[int(self.offsets[k]) : int(self.offsets[k + 1])])
@@ -80,13 +88,14 @@ class DigestStore:
             out[k] = next((j for j in range(first[k], last[k]) if self.string(j) == keys[k]), -1)
         return out
 
-    def candidates(self, host: str, path: str) -> list[bytes]:
-        """Rule strings that would fit, the longest first; the longer host first among equals."""
-        h, p = host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass")
-        labels = h.split(b".")
-        hosts = [b".".join(labels[k:]) for k in range(len(labels))]
-        found = [(len(x) + n, len(x), x + p[:n]) for x in hosts for n in self.path_lengths if n <= len(p)]
-        return [x[2] for x in sorted(found, reverse=True)]
+
+def candidates(host: str, path: str, path_lengths: list[int]) -> list[bytes]:
+    """Rule strings that would fit, the longest first; the longer host first among equals."""
+    h, p = host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass")
+    labels = h.split(b".")
+    hosts = [b".".join(labels[k:]) for k in range(len(labels))]
+    found = [(len(x) + n, len(x), x + p[:n]) for x in hosts for n in path_lengths if n <= len(p)]
+    return [x[2] for x in sorted(found, reverse=True)]
 
 
 _mapped: dict[str, DigestStore] = {}
@@ -106,10 +115,9 @@ def _open(content: bytes) -> DigestStore:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule (null: none fits) and verdict."""
     content = DigestStore.build(rules)
-    if len(content) > STORE_BYTES:
-        spark = pages.sparkSession
-        return judge_by_join(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), url, default)
     C.ship(pages.sparkSession)
+    if len(content) > STORE_BYTES:
+        return judge_in_parts(pages, pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string"), url, default)
     store = pages.sparkSession.sparkContext.broadcast(content)
     names = {c: C.free_name(pages, c) for c in ("host", "path", "rule", "verdict")}
     at = pages.columns.index(url)
@@ -118,7 +126,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
         own = _open(store.value)
         for batch in batches:
             parts = [split_url(x) for x in batch.column(at).to_pylist()]
-            keys = [own.candidates(*x) for x in parts]
+            keys = [candidates(*x, own.path_lengths) for x in parts]
             hits = own.find([k for own_keys in keys for k in own_keys])
             rule, verdict, k = [], [], 0
             for own_keys in keys:
@@ -133,21 +141,43 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     return pages.mapInArrow(run, schema)
 
 
-def judge_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """As ``judge``, for rule tables of any size: candidates are joined to the rules by their strings."""
+def judge_in_parts(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", part_bytes: int = PART_BYTES) -> DataFrame:
+    """As ``judge``, for a table of rules (host, path, verdict) of any size."""
+    C.ship(pages.sparkSession)
     names = {c: C.free_name(pages, c) for c in ("host", "path", "rule", "verdict")}
     hidden, old = C.hide(pages)
-    u = F.col(old[url])
-    rest = F.when(u.contains("://"), F.regexp_replace(u, r"(?s)^.*?://", "")).otherwise(F.lit(""))
-    raw = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    df = C.stage(hidden.withColumn("m_row", F.monotonically_increasing_id()).withColumn("m_host", F.translate(raw, upper, lower)).withColumn("m_path", F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)), "urls")
-    lengths = rules.select(F.length("path").alias("m_len")).distinct()
-    labels = F.split("m_host", r"\.")
-    hosts = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
-    cand = df.select("m_row", "m_path", hosts.alias("m_h")).join(F.broadcast(lengths), F.col("m_len") <= F.length("m_path")).select("m_row", "m_h", F.concat("m_h", F.expr("left(m_path, m_len)")).alias("m_rule"))
-    keys = rules.groupBy(F.concat("host", "path").alias("r_rule")).agg(F.max("verdict").alias("r_verdict"))
-    best = Window.partitionBy("m_row").orderBy(F.length("m_rule").desc(), F.length("m_h").desc())
-    hit = cand.join(keys, F.col("m_rule") == F.col("r_rule")).withColumn("k", F.row_number().over(best)).where("k = 1").select(F.col("m_row").alias("r_row"), "r_rule", "r_verdict")
-    out = df.join(hit, F.col("m_row") == F.col("r_row"), "left")
-    return out.select(*C.shown(old), F.col("m_host").alias(names["host"]), F.col("m_path").alias(names["path"]), F.col("r_rule").alias(names["rule"]), F.coalesce("r_verdict", F.lit(default)).alias(names["verdict"]))
+    rules = rules.select("host", "path", "verdict", F.concat("host", "path").alias("s"))
+    size = rules.agg(F.sum(F.octet_length("s") + RULE_BYTES)).first()[0] or 0
+    lengths = sorted(r[0] for r in rules.select(F.octet_length("path")).distinct().collect())  # as many as the longest path has bytes
+    parts = max(1, -(-size // part_bytes))
+    part = F.pmod(F.shiftright(F.xxhash64("s"), 16), F.lit(parts)).alias("part")
+    df = C.stage(hidden.withColumn("m_row", F.monotonically_increasing_id()), "urls")
+    schema = pa.schema([("m_row", pa.int64()), ("m_host", pa.string()), ("m_path", pa.string()), ("rank", pa.int32()), ("s", pa.string())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                host, path = split_url(x)
+                out.append((row, host, path, None, None))
+                found = enumerate(candidates(host, path, lengths))
+                # A prefix that ends inside a character isn't a string; no rule's path does.
+                out += [(row, None, None, k, s) for k, s in ((k, s.decode("utf-8", "replace")) for k, s in found) if "\ufffd" not in s]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        store = _open(DigestStore.build(zip(*(left.column(c).to_pylist() for c in ("host", "path", "verdict")), strict=True)))
+        _mapped.clear()  # a part is met once
+        asked = right.column("s").to_pylist()
+        at = store.find([s.encode("utf-8", "surrogatepass") for s in asked])
+        hit = np.flatnonzero(at >= 0)
+        return pa.table({"s": pa.array([asked[k] for k in hit], pa.string()), "found": pa.array(["allow" if store.allow[at[k]] else "block" for k in hit], pa.string())})
+
+    asked = C.stage(df.select("m_row", F.col(old[url]).alias("url")).mapInArrow(ask, "m_row long, m_host string, m_path string, rank int, s string"), "asked")
+    strings = asked.where("s IS NOT NULL").select("s").distinct()
+    hits = C.stage(rules.select("*", part).groupBy("part").cogroup(strings.select("s", part).groupBy("part")).applyInArrow(probe, "s string, found string"), "hits")
+    own = C.join_lookup(asked.where("s IS NOT NULL"), hits, "s", "inner", row_bytes=4096, spread=F.col("m_row"))
+    best = own.groupBy("m_row").agg(F.min_by(F.struct("s", "found"), "rank").alias("best"))
+    split = asked.where("s IS NULL").select("m_row", "m_host", "m_path").join(best, "m_row", "left")
+    out = df.join(split, "m_row")
+    return out.select(*C.shown(old), F.col("m_host").alias(names["host"]), F.col("m_path").alias(names["path"]), F.col("best.s").alias(names["rule"]), F.coalesce("best.found", F.lit(default)).alias(names["verdict"]))
