@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweetspan.llm import lattice, line_templates, mixing, pieces, quality_rules, shards, shingle_join, token_files, tree_weighting, url_filter
+from sweetspan.llm import lattice, line_templates, mixing, pieces, quality_rules, registry, shards, shingle_join, token_files, tree_weighting, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [None, "", "  \n ", "one", "a b", "A b", "x y z " * 40, "The cat sat.\nThe cat sat.\nÜber ñ 🙂", "tab\tand\x0bvt " * 30, "word " * 5000, "a\n\nb  c\r\nd", "dup dup dup", "x y z " * 40]
@@ -51,37 +51,77 @@ def test_urls(spark):
     urls = [None, "no scheme", "http://A.Example.NET/en/x?q", "https://net/", "http://xnet/", "ftp://b.org#f", "http://c.org/fr/", "http://www.example.com/de/1", "http://example.com/den", "x://y://z"]
     df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, host string")
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-    for judge in (lambda: url_filter.judge(df, rules), lambda: url_filter.judge_by_join(df, spark.createDataFrame(rules, "host string, path string, verdict string"))):
+    for judge in (lambda: url_filter.judge(df, rules), lambda: url_filter.judge_in_parts(df, spark.createDataFrame(rules, "host string, path string, verdict string"), part_bytes=60)):
         out = [(r["_host"], r["path"], r["rule"], r["verdict"]) for r in judge().orderBy("page_id").collect()]
         assert out == [("", "", None, "allow"), ("", "", None, "allow"), ("a.example.net", "/en/x", "example.net/en/", "allow"), ("net", "/", "net/", "block"), ("xnet", "/", None, "allow"), ("b.org", "", None, "allow"), ("c.org", "/fr/", "org/fr/", "allow"), ("www.example.com", "/de/1", "example.com/de/", "block"), ("example.com", "/den", None, "allow"), ("y:", "//z", None, "allow")]
 
 
-def test_digest_collisions_are_told_apart():
-    store = url_filter.DigestStore(url_filter.DigestStore.build([("a", "/", "block"), ("b", "/", "allow")]))
-    store.digests = np.full(2, store.digests[0])  # as if both collided
-    key = store.string(1)
-    store_digest = url_filter.xxhash.xxh64_intdigest(store.string(0))
-    store.digests = np.full(2, store_digest, np.uint64)
-    assert store.find([store.string(0)])[0] == 0 and store.find([key])[0] in (-1, 1)
+def test_digest_collisions_are_told_apart(monkeypatch):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)  # every string has one digest
+    store = url_filter.DigestStore(url_filter.DigestStore.build([("a", "/", "block"), ("b", "/", "allow"), ("c", "", "block")]))
+    at = store.find([b"a/", b"b/", b"c", b"d/"])
+    assert [store.string(k) if k >= 0 else None for k in at] == [b"a/", b"b/", b"c", None] and list(store.allow[at[:3]]) == [0, 1, 0]
+
+
+def test_rules_without_a_path_and_a_store_in_parts(spark):
+    rules = [("a.org", "", "block"), ("a.org", "/x/ä", "allow"), ("www.a.org", "", "allow"), *((f"h{k}.net", f"/{k}/", "block" if k % 2 else "allow") for k in range(300))]
+    urls = [None, "", "http://a.org", "http://b.a.org/x/äö", "http://www.a.org/x/ä", "http://q.h7.net/7/7", "http://h8.net/8/", "http://h8.net/9/", "http://a.org", "http://" + "a." * 300 + "a.org/" + "x" * 30_000]
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, rule string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = [(None, "allow"), (None, "allow"), ("a.org", "block"), ("a.org/x/ä", "allow"), ("a.org/x/ä", "allow"), ("h7.net/7/", "block"), ("h8.net/8/", "allow"), (None, "allow"), ("a.org", "block"), ("a.org", "block")]
+    for out in (url_filter.judge(df, rules), url_filter.judge_in_parts(df, table, part_bytes=500), url_filter.judge_in_parts(df, table)):
+        assert [(r["_rule"], r["verdict"]) for r in out.orderBy("page_id").collect()] == want
+    assert url_filter.judge(df.limit(0), rules).count() == url_filter.judge_in_parts(df.limit(0), table).count() == 0
+    assert {r["verdict"] for r in url_filter.judge(df, []).collect()} == {"allow"}
 
 
 def test_shards(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=20_000, fan=2)
     for seed in range(4):
         store.append(docs(spark, prose(20, seed)), rows_per_shard=5)
-    before = len(store.manifest()["shards"])
+    before = store.entries().count()
     version = store.compact()
-    found = store.manifest()
-    assert len(found["shards"]) < before and version == store.version()
-    assert sum(x["rows"] for x in found["shards"]) == 80
+    found = store.entries().orderBy("path").collect()
+    assert len(found) < before and version == store.version() and store.pointer()["shards"] == len(found)
+    assert sum(r["rows"] for r in found) == 80 and [r["shard"] for r in found] == list(range(len(found)))
     assert sorted(r["text"] for r in store.read().collect()) == sorted(t for s in range(4) for t in prose(20, s))
     assert store.read(4).count() == 80  # older versions stay readable until they are vacuumed
     store.vacuum()
     assert store.read().count() == 80
-    base = store.manifest(version)
+    base = store.pointer(version)
     store.append(docs(spark).limit(0))
     with pytest.raises(RuntimeError):
-        store._commit(base, docs(spark).schema, [])
+        store._commit(base, docs(spark).schema, store.entries().drop("shard"))
+
+
+def test_shards_keep_the_columns_of_all_arrivals(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20, fan=2)
+    with pytest.raises(ValueError):
+        store.read()
+    store.append(spark.createDataFrame([], "doc_id long, path string"))
+    assert store.read().count() == 0 and store.shard_table().count() == 0
+    store.append(spark.createDataFrame([(1, "a", 7), (1, "a", 7), (None, None, None)], "doc_id long, text string, shard int"))
+    store.append(spark.createDataFrame([(2, "b" * 5_000_000)], "doc_id long, text string"))
+    store.append(spark.createDataFrame([("p", 3)], "path string, doc_id long"))
+    for refused in ("doc_id string", "Text string"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], refused))
+    store.compact()
+    out = sorted((str(r["doc_id"]), len(r["text"] or ""), r["shard"], r["path"]) for r in store.read().collect())
+    assert out == [("1", 1, 7, None), ("1", 1, 7, None), ("2", 5_000_000, None, None), ("3", 0, None, "p"), ("None", 0, None, None)]
+    assert store.read().columns == ["doc_id", "path", "text", "shard"] and store.entries().count() < 3
+
+
+def test_sharding_query(spark, tmp_path):
+    df = docs(spark, prose(9000, 3, 8), 2)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.op4_sharding(spark, str(tmp_path)).collect()
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    assert sorted(r["doc_id"] for r in out) == sorted(texts) and all(r["n_bytes"] == len(texts[r["doc_id"]].encode()) for r in out)
+    rows = {}
+    for r in out:
+        rows.setdefault(r["shard"], []).append(r["shard_rows"])
+    assert all(set(x) == {len(x)} for x in rows.values()) and sorted(rows) == list(range(len(rows))) and len({r["version"] for r in out}) == 1
 
 
 def test_mixing_targets_and_uses(spark):
@@ -117,6 +157,18 @@ def test_mixing_targets_and_uses(spark):
     assert mixing.shares(df.limit(0)).count() == 0
 
 
+def test_mixing_takes_single_rows_of_a_repeated_id(spark):
+    rows = [(5, f"w{k} " * 10, "a", k, "x") for k in range(300)] + [(None, "w " * 10, "a", k, "x") for k in range(300)] + [(k, "w " * 10, "b", k, "x") for k in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m_row int, size string").repartition(5).cache()
+    out = mixing.shares(df).collect()
+    for source in "ab":
+        own = [r for r in out if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 20
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and mixed.count() * 10 == sum(r["taken"] for r in out)
+    df.unpersist()
+
+
 def jaccard_components(texts, size, num, den):
     up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
