@@ -55,9 +55,9 @@ from .segments import slices
 #: Context bytes: all, and at the two depths where the tree is handed on.
 DEPTH, MIDDLE, HIGH = 6, 4, 2
 #: Text bytes, distinct keys and distinct words from which on a bucket is closed.
-BUCKET_BYTES, BUCKET_KEYS, BUCKET_WORDS = 64 << 20, 4_000_000, 1_500_000
+BUCKET_BYTES, BUCKET_KEYS, BUCKET_WORDS = 36 << 20, 3_000_000, 1_000_000
 #: Text bytes looked at together; keys made when they are counted and when they are scored; keys summed up and weighted at a time.
-BATCH_BYTES, STEP, SCORED, PENDING, RUN = 4 << 20, 2 << 20, 1 << 20, 2_000_000, 250_000
+BATCH_BYTES, STEP, SCORED, PENDING, RUN = 2 << 20, 2 << 20, 1 << 20, 1_000_000, 250_000
 #: Fewest and most slices.
 SLICES = (256, 8192)
 #: The end of a text, as it is coded and as a token.
@@ -140,7 +140,7 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Sums:
-    """Counts of keys, summed up whenever PENDING have gathered."""
+    """Counts of keys, summed up whenever PENDING have gathered; in as many bits as they come in."""
 
     def __init__(self):
         self.parts, self.waiting, self.known = [], 0, 0
@@ -152,8 +152,9 @@ class _Sums:
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) != 1:
-            self.parts = [summed(*(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*self.parts, strict=True) if self.parts else ((), ()))))]
+        if self.waiting or not self.parts:
+            key, n = zip(*self.parts, strict=True) if self.parts else ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+            self.parts = [summed(np.concatenate(key), np.concatenate(n))]
         self.waiting, self.known = 0, len(self.parts[0][0])
         return self.parts[0]
 
@@ -353,7 +354,7 @@ def _buckets(docs: DataFrame, across: bool, n_slices: int) -> DataFrame:
                 is_held = np.repeat(np.repeat(np.array(held, bool), per), sizes)
                 for at, key, coded in stretches(text, sizes, STEP):
                     marked, n = np.unique(((key << 1) | is_held[at : at + STEP])[coded], return_counts=True)  # held-out texts need keys, but don't count
-                    found.add(marked >> 1, np.where(marked & 1, 0, n))
+                    found.add(marked >> 1, np.where(marked & 1, 0, n).astype(np.int32))
                 ids, none = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(0).is_null())
                 ids = np.where(none, 0, np.nan_to_num(ids)).astype(np.int64) if none.any() else ids
                 yield _row(kind=TEXTS, bucket=bucket, a=zstandard.ZstdCompressor(level=3).compress(joined), b=pack(sizes), c=pack(np.stack([per, ids, np.array(held, np.int64), none.astype(np.int64)]).ravel()))
