@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_dir
+from ..operators.graph import discard, shared_dir, staged
 
 #: Separators of the words ``[^\x20\x09-\x0D]+``.
 WS = r"[\x20\x09-\x0D]+"
 #: A side is broadcast only while its counted rows times its widest row stay below this.
 BROADCAST_BYTES = 8 << 20
 #: Bytes of an Arrow batch, about.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,12 +30,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_shipped_package", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), "sweetspan_workers.zip")
+    folder = tempfile.TemporaryDirectory(prefix="sweetspan-")  # the driver's own; addPyFile copies from it
+    atexit.register(folder.cleanup)
+    target = os.path.join(folder.name, "sweetspan_workers.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for folder, _, files in os.walk(top):
+        for inside, _, files in os.walk(top):
             for f in files:
                 if f.endswith(".py"):
-                    path = os.path.join(folder, f)
+                    path = os.path.join(inside, f)
                     z.write(path, os.path.relpath(path, os.path.dirname(top)))
     sc.addPyFile(target)
     sc._shipped_package = True
@@ -51,19 +53,7 @@ def give_back() -> None:
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stage_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a staged table that no later plan reads."""
-    spark, path = df.sparkSession, df._stage_path
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return staged(df, name, codec)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -50,14 +50,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .segments import slices
+from .segments import distinct, slices
 
 #: Context bytes: all, and at the two depths where the tree is handed on.
 DEPTH, MIDDLE, HIGH = 6, 4, 2
 #: Text bytes, distinct keys and distinct words from which on a bucket is closed.
 BUCKET_BYTES, BUCKET_KEYS, BUCKET_WORDS = 36 << 20, 3_000_000, 1_000_000
 #: Text bytes looked at together; keys made when they are counted and when they are scored; keys summed up and weighted at a time.
-BATCH_BYTES, STEP, SCORED, PENDING, RUN = 2 << 20, 2 << 20, 1 << 20, 1_000_000, 250_000
+BATCH_BYTES, STEP, SCORED, PENDING, PENDING_WORDS, RUN = 2 << 20, 1 << 20, 1 << 20, 1_000_000, 300_000, 250_000
 #: Fewest and most slices.
 SLICES = (256, 8192)
 #: The end of a text, as it is coded and as a token.
@@ -129,16 +129,6 @@ def stretches(text: np.ndarray, sizes: np.ndarray, step: int) -> Iterator[tuple[
         yield k, keys(text[k - DEPTH : k + step]), coded[k : k + step]
 
 
-def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their numbers."""
-    if not len(key):
-        return key, n
-    by = np.argsort(key, kind="stable")
-    key, n = key[by], n[by]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(n, first)
-
-
 class _Sums:
     """Counts of keys, summed up whenever PENDING have gathered; in as many bits as they come in."""
 
@@ -146,21 +136,26 @@ class _Sums:
         self.parts, self.waiting, self.known = [], 0, 0
 
     def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        """Distinct keys in order, and their counts."""
         self.parts.append((key, n))
         self.waiting += len(key)
-        if self.waiting > PENDING + self.known:
+        if self.waiting > PENDING + self.known // 4:
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.waiting or not self.parts:
-            key, n = zip(*self.parts, strict=True) if self.parts else ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
-            self.parts = [summed(np.concatenate(key), np.concatenate(n))]
+        """All keys in order, and the sums of their counts."""
+        if len(self.parts) != 1:
+            key = distinct(np.concatenate([np.empty(0, np.int64), *(k for k, _ in self.parts)]))
+            n = np.zeros(len(key), self.parts[0][1].dtype if self.parts else np.int64)
+            for own, count in self.parts:
+                n[np.searchsorted(key, own)] += count
+            self.parts = [(key, n)]
         self.waiting, self.known = 0, len(self.parts[0][0])
         return self.parts[0]
 
 
 class _WordSums:
-    """Counts of words, summed up whenever PENDING have gathered."""
+    """Counts of words, summed up whenever PENDING_WORDS have gathered."""
 
     def __init__(self):
         self.parts, self.waiting, self.known = [], 0, 0
@@ -168,7 +163,7 @@ class _WordSums:
     def add(self, words: pa.Array, n: np.ndarray) -> None:
         self.parts.append(pa.table({"w": words, "n": pa.array(n, pa.int64())}))
         self.waiting += len(words)
-        if self.waiting > PENDING + self.known:
+        if self.waiting > PENDING_WORDS + self.known // 2:
             self.total()
 
     def total(self) -> tuple[pa.Array, np.ndarray]:
@@ -353,8 +348,9 @@ def _buckets(docs: DataFrame, across: bool, n_slices: int) -> DataFrame:
                 text = np.frombuffer(joined, np.uint8)
                 is_held = np.repeat(np.repeat(np.array(held, bool), per), sizes)
                 for at, key, coded in stretches(text, sizes, STEP):
-                    marked, n = np.unique(((key << 1) | is_held[at : at + STEP])[coded], return_counts=True)  # held-out texts need keys, but don't count
-                    found.add(marked >> 1, np.where(marked & 1, 0, n).astype(np.int32))
+                    for is_out in (False, True):  # held-out texts need keys, but don't count
+                        own, n = np.unique(key[coded & (is_held[at : at + STEP] == is_out)], return_counts=True)
+                        found.add(own, n.astype(np.int32) * (not is_out))
                 ids, none = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(0).is_null())
                 ids = np.where(none, 0, np.nan_to_num(ids)).astype(np.int64) if none.any() else ids
                 yield _row(kind=TEXTS, bucket=bucket, a=zstandard.ZstdCompressor(level=3).compress(joined), b=pack(sizes), c=pack(np.stack([per, ids, np.array(held, np.int64), none.astype(np.int64)]).ravel()))
