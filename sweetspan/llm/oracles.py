@@ -36,9 +36,9 @@ h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_fail
 t AS (SELECT sum(n) AS n, sum(f) / sum(n) AS mu, CAST(count(*) AS DOUBLE) / sum(n) AS hn, sum(f * f / n) / sum(n) AS ff FROM h),
 v AS (SELECT mu, greatest(ff - mu * mu, 0) AS s, mu * (1 - mu) * hn AS e FROM t),
 w AS (SELECT mu, CASE WHEN s > e THEN least(greatest((mu * (1 - mu) - s) / (s - e), 1), 1e9) ELSE 1e9 END AS weight FROM v),
-r AS (SELECT source, (f + mu * weight) / (n + weight) AS rate FROM h, w)
+r AS (SELECT source, (f + mu * weight) / (n + weight) AS rate, n + weight AS size, 4 * mu / (1 - mu + 4 * mu) AS top FROM h, w)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.8 AS kept
+  round(rate, 6) AS host_rate, NOT base_failed AND rate - 1.645e0 * sqrt(rate * (1 - rate) / (size + 1)) <= top AS kept
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 

@@ -2,13 +2,16 @@
 
 Every document is measured in place by array functions, so no shuffle carries
 words.  Failures are counted by host (partial aggregation first), each host's
-rate is shrunk by a beta prior fitted to all hosts, and the verdict of a host
-whose shrunk rate is above ``max_rate`` comes back to all its documents.
-
-Defined results: a null text has no words and fails (too short); a null host
-is a host of its own; repeated rows are judged as separate documents; an empty
-table gives an empty result; all other columns pass through, and measures whose
-names clash with a column of the input go to names with leading underscores.
+rate is shrunk by a beta prior fitted to all hosts, and a host is rejected, with all
+its documents, if even the lower credible bound of its rate stands for ``ODDS``
+times the odds of failure that the prior expects.  So the verdict follows the
+corpus: where hosts don't differ by more than chance, none is rejected.
+
+Defined results: a null text has no words and fails (too short); texts of any
+length are measured whole; a null host is a host of its own; ids may be null or
+repeated, rows are judged as separate documents; an empty table gives an empty
+result; all other columns pass through, and measures whose names clash with a
+column of the input go to names with leading underscores.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_RATE = 50, 50, 0.8
+MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Odds of failure, times those of the corpus, beyond which a host is rejected; standard deviations below the mean at which its rate is taken.
+ODDS, SURE = 4.0, 1.645
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -71,7 +76,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(measured: DataFrame, host: str) -> DataFrame:
-    """(m_host, n_docs, n_failed, rate): each host's failure rate, shrunk by a beta prior.
+    """(m_host, n_docs, n_failed, rate, bound, top): each host's failure rate, shrunk by a beta prior, its lower credible bound, and the limit for it.
 
     The prior's mean is the rate of all documents; its weight (alpha + beta)
     comes from the weighted variance of the hosts' rates less what binomial
@@ -85,10 +90,13 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     noise = mu * (1 - mu) * F.col("t_h") / F.col("t_n")
     weight = F.when(spread > noise, F.least(F.greatest((mu * (1 - mu) - spread) / (spread - noise), F.lit(1.0)), F.lit(1e9))).otherwise(1e9)
     prior = total.select(mu.alias("t_mu"), weight.alias("t_weight"))  # one row
-    return by.crossJoin(F.broadcast(prior)).select("m_host", "n_docs", "n_failed", ((f + F.col("t_mu") * F.col("t_weight")) / (n + F.col("t_weight"))).alias("rate"))
+    rate, size, mean = F.col("rate"), n + F.col("t_weight"), F.col("t_mu")
+    by = by.crossJoin(F.broadcast(prior)).withColumn("rate", (f + mean * F.col("t_weight")) / size)
+    bound = rate - SURE * F.sqrt(rate * (1 - rate) / (size + 1))
+    return by.select("m_host", "n_docs", "n_failed", "rate", bound.alias("bound"), (ODDS * mean / (1 - mean + ODDS * mean)).alias("top"))
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with the measures, base_failed, host_rate and kept.
 
     The measured rows are written once to the shared folder: the host counts
@@ -96,21 +104,21 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: f
     """
     hidden, names = C.hide(docs)
     measured = C.stage(with_measures(hidden, names[text]), "measured")
-    return _verdicts(measured, names, names[host], docs, max_rate)
+    return _verdicts(measured, names, names[host], docs)
 
 
-def judge_measures(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
+def judge_measures(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """As ``judge`` without the texts, so that only ids, hosts and measures are written between."""
     hidden, names = C.hide(docs)
     measured = C.stage(with_measures(hidden, names[text]).drop(names[text]), "measured")
-    return _verdicts(measured, {c: n for c, n in names.items() if c != text}, names[host], docs, max_rate)
+    return _verdicts(measured, {c: n for c, n in names.items() if c != text}, names[host], docs)
 
 
-def _verdicts(measured: DataFrame, names: dict[str, str], host: str, docs: DataFrame, max_rate: float) -> DataFrame:
+def _verdicts(measured: DataFrame, names: dict[str, str], host: str, docs: DataFrame) -> DataFrame:
     clash = {c: C.free_name(docs, c) for c in (*MEASURES, "base_failed", "host_rate", "kept")}
-    rates = host_rates(measured, host).select(F.col("m_host").alias(host), F.col("rate").alias("m_rate"))
+    rates = host_rates(measured, host).select(F.col("m_host").alias(host), F.col("rate").alias("m_rate"), (F.col("bound") > F.col("top")).alias("m_bad"))
     out = C.join_lookup(measured, rates, host, row_bytes=2048)
-    kept = ~F.col("m_base_failed") & (F.col("m_rate") <= max_rate)
+    kept = ~F.col("m_base_failed") & ~F.col("m_bad")
     return out.select(
         *C.shown(names),
         *(F.col(f"m_{c}").alias(clash[c]) for c in (*MEASURES, "base_failed")),
