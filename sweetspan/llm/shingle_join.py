@@ -7,14 +7,13 @@ coordinates' minima bounds their overlap, and a Jaccard similarity of at least
 
 One tree over such points can't prune: the allowed difference of a pair grows
 with its size, the spread of a coordinate only with the square root.  So the
-coordinates are cut into three segments more than a pair may differ in shingles.
-Two linked documents then agree exactly in the coordinates of three segments at
-least.  A segment that isn't empty makes a cell (size level, segment, sub-point),
-the leaf in which both are found; three empty segments make one too, for pairs
-that agree in no others.  (From ``MANY`` segments on, at the limit of difference
-a third of all segments agree, and that all of these are empty has a chance far
-below that of equal 64-bit hashes, so empty ones are left out.)  Then, per level
-of sizes between which links are possible:
+coordinates are cut into some segments (``Levels.sure``) more than a pair may
+differ in shingles.  Two linked documents then agree exactly in the coordinates
+of that many segments at least.  A segment that isn't empty makes a cell (size
+level, segment, sub-point), the leaf in which both are found.  A pair that agrees
+in empty segments alone shares a set of ``sure`` of these, and each such set makes
+a cell too; ``sure`` grows with the segments so that few documents have so many
+empty ones.  Then, per level of sizes between which links are possible:
 
 1. documents of equal shingle sets are one representative;
 2. each representative is held against the one it shares most cells with
@@ -29,13 +28,16 @@ expanded into its pairs, and no link between components is lost.  Shingles are
 compared by 64-bit hashes of their words.
 
 Defined results: null and empty texts have no shingles and are their own
-component; fewer words than ``size`` make one shingle; repeated rows of one id
-give the same rows again; ids are longs that aren't null; empty tables give
-empty results.
+component; fewer words than ``size`` make one shingle; texts of any length are
+taken whole; ids are longs that aren't null (others are refused); repeated rows of
+one id are one document and give the same row again, and where their texts differ
+the one with the smallest 64-bit hash counts; other columns aren't returned;
+empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
@@ -48,11 +50,12 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import common as C
+from .segments import distinct
 
 #: Finest coordinates in a segment; shingles for each coordinate of the bounding points; rows and shingles in a tile.
 FINE, PER_GROUP, TILE, TILE_SHINGLES = 1 << 16, 1, 2000, 4_000_000
-#: Segments that agree at least, and from how many on empty ones don't matter.
-SURE, MANY = 3, 64
+#: Segments that agree at least, where few are empty.
+SURE = 3
 _WORDS_KEPT = 500_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -87,7 +90,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     for j in range(k):
         total = (total + h[j : n - k + 1 + j]) * _MULT[j % 3]
         total ^= total >> np.uint64(31)
-    return np.unique(_mix(total))
+    return distinct(_mix(total))
 
 
 class Levels:
@@ -98,17 +101,39 @@ class Levels:
         while self.last[-1] < 1 << 40:
             low = self.last[-1] + 1
             self.last.append(low * den // num)
+        self._sure: dict[int, int] = {}
 
     def of(self, n: int) -> list[int]:
         """The levels that a document of n shingles is entered in."""
         k = bisect_left(self.last, n)
         return [k, k - 1] if k > 1 else [k]
 
-    def segments(self, level: int) -> int:
-        """``SURE`` more than the shingles in which a linked pair of the level can differ; 0 if it can't differ."""
+    def apart(self, level: int) -> int:
+        """The most shingles in which a linked pair of the level can differ."""
         a = self.last[level]
-        apart = (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-        return apart + SURE if apart else 0
+        return (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+
+    def sure(self, level: int) -> int:
+        """How many segments of a linked pair agree: what makes the fewest cells of the level's smallest documents.
+
+        More of them are more segments; fewer are more sets of empty ones, of
+        which a document has mean ** sure / sure! if their number is Poisson's.
+        """
+        if level not in self._sure:
+            apart, n = self.apart(level), self.last[level - 1] + 1
+
+            def cost(s: int) -> float:
+                mean = (apart + s) * math.exp(-n / (apart + s))
+                return s + math.exp(min(50.0, s * math.log(mean) - math.lgamma(s + 1))) if mean else float(s)
+
+            # The cost falls, then rises by one each; a wide grid is enough to come near its least.
+            self._sure[level] = min((SURE + k * k // 4 for k in range(2 * math.isqrt(apart) + 2)), key=cost)
+        return self._sure[level]
+
+    def segments(self, level: int) -> int:
+        """``sure`` more than the shingles in which a linked pair of the level can differ; 0 if it can't differ."""
+        apart = self.apart(level)
+        return apart + self.sure(level) if apart else 0
 
     def groups(self, level: int) -> int:
         """Coordinates of the bounding points of a level."""
@@ -141,10 +166,10 @@ def cells(h: np.ndarray, levels: Levels) -> list[np.ndarray]:
         seed = np.uint64(level << 40)
         keys = _mix(sums + _mix(np.arange(m, dtype=np.uint64) + seed))
         empty = edges[1:] == edges[:-1]
-        own = keys[~empty]
-        if m < MANY and empty.sum() >= SURE:
-            threes = np.array(list(combinations(np.flatnonzero(empty).tolist(), SURE)), np.uint64)
-            own = np.concatenate([own, _mix(threes @ np.array([1, 64, 4096], np.uint64) + seed + np.uint64(1 << 39))])
+        own, sure = keys[~empty], levels.sure(level)
+        if empty.sum() >= sure:
+            names = _mix(np.flatnonzero(empty).astype(np.uint64) + seed + np.uint64(1 << 39)).tolist()
+            own = np.concatenate([own, _mix(np.fromiter((sum(x) & 0xFFFFFFFFFFFFFFFF for x in combinations(names, sure)), np.uint64))])
         out.append(own)
     return out
 
@@ -336,7 +361,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """(doc_id, n_shingles, component_id) of every document; linked: Jaccard similarity of num/den or more."""
     C.ship(docs.sparkSession)
     levels = Levels(num, den)
-    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    repeated = C.stage(given.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id"), "repeated")
+    base = given
+    if not repeated.isEmpty():
+        # One text of each: the least of its rows by hash, found by a partial aggregation.
+        again = C.join_lookup(given, repeated, "id", "left_semi", row_bytes=16, spread=F.xxhash64("text"))
+        chosen = again.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        base = C.join_lookup(given, repeated, "id", "left_anti", row_bytes=16, spread=F.xxhash64("text")).unionByName(C.stage(chosen, "chosen"))
     index = C.stage(_index(base, size, levels), "index")
     same = index.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
     copies = index.where("n > 0").select("digest", "n", "id").join(same, ["digest", "n"]).where("id <> rep").select("id").distinct()
@@ -359,15 +391,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     more = C.stage(_linked(C.stage(_candidates(in_cell, points, levels), "pairs"), base, size, num, den), "more")
     near = connected_components(links.unionByName(more))
     of_set = same.join(near, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
-    out = index.join(of_set, ["digest", "n"], "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = index.join(of_set, ["digest", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    if base is not given:  # each of the repeated rows again
+        out = C.join_lookup(given.select(F.col("id"), F.monotonically_increasing_id().alias("row")), C.stage(out, "classes"), "id", spread=F.col("row"))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row of ``docs`` for each component, that with the smallest id; rows with null ids stay."""
-    found = join(docs, doc_id, text, size, num, den)
-    first = found.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("r_id")).distinct()
+    """One row of ``docs`` for each component: that with the smallest id, of several of this id the one whose text counts; rows with null ids stay."""
     hidden, names = C.hide(docs)
-    own = F.col(names[doc_id])
-    kept = hidden.where(own.isNotNull()).join(first, own.cast("long") == F.col("r_id"), "left_semi").dropDuplicates([names[doc_id]])
-    return kept.unionByName(hidden.where(own.isNull())).select(*C.shown(names))
+    own, content = F.col(names[doc_id]), F.col(names[text])
+    known = hidden.where(own.isNotNull())
+    found = join(known, names[doc_id], names[text], size, num, den)
+    first = found.where(F.col(names[doc_id]) == F.col("component_id")).select(F.col(names[doc_id]).alias("r_id"))
+    twice = C.stage(first.groupBy("r_id").agg(F.count(F.lit(1)).alias("c")), "first")
+    kept = known.join(twice.where("c = 1"), own.cast("long") == F.col("r_id"), "left_semi")
+    again = known.join(twice.where("c > 1").select("r_id"), own.cast("long") == F.col("r_id"))
+    least = again.groupBy("r_id").agg(F.min_by(F.struct(*names.values()), F.struct(F.xxhash64(content), content)).alias("x")).select("x.*")
+    return kept.unionByName(least).unionByName(hidden.where(own.isNull())).select(*C.shown(names))
