@@ -8,16 +8,21 @@ cosine in double precision, so none below the threshold is linked.  With the
 defaults, a pair at a cosine of 0.98 meets in one table in about nine cases of
 ten, so all four tables miss it once in some thousand.
 
-Equal vectors of a label are one representative with a weight.  A pair is
-counted in the first place where it meets, which each side can tell from the
-other's cells, so links are summed without listing pairs; of each cell only a
-star for each group of linked vectors is kept as edges.  Small cells share
-tasks, and a cell of more than ``TILE`` rows is dealt in pairs of tiles.
+Equal vectors of a label are one representative with a weight.  Cells are first
+joined by their keys and ids alone; vectors are fetched for those entries whose
+cell holds another.  A pair is counted in the first place where it meets, which
+each side can tell from the other's cells, so links are summed without listing
+pairs; of each cell only a star for each group of linked vectors is kept as edges.
+Small cells share tasks, and a cell of more than ``TILE`` rows is dealt in pairs of
+tiles.
 
 Defined results: rows whose label is null, or whose vector is null, zero, empty
 or holds null or non-finite components, are linked with nothing; vectors of
-different lengths are never linked; repeated rows of one id count as one vector
-and give the same rows; ids are longs that aren't null.
+different lengths are never linked; ids are longs that aren't null; equal rows of
+one id count as one vector and give the same rows; rows of one id with different
+vectors or labels are vectors of their own; labels may have any type that can be
+compared (those that aren't integers are told apart by a 64-bit hash); other
+columns aren't returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..operators.graph import connected_components
 from . import common as C
@@ -89,7 +95,7 @@ def cells(unit: np.ndarray, start: np.ndarray, tables: int, probes: int, blocks:
     for t in range(tables):
         y = (unit @ projection(dim, t, blocks)).reshape(-1, 8)
         point = decode(y)
-        first = start ^ (np.uint64(t + 1) * _MULT[3])
+        first = start ^ (np.array([t + 1], np.uint64) * _MULT[3])
         whole = point.reshape(n, 8 * blocks)
         own[:, t] = _hash(whole, first)
         # The best steps of all blocks, each to the neighbour of a block's point.
@@ -103,13 +109,12 @@ def cells(unit: np.ndarray, start: np.ndarray, tables: int, probes: int, blocks:
     return own, asked
 
 
-def _entries(reps: DataFrame, tables: int, probes: int, blocks: int) -> DataFrame:
-    """One row for each cell that a representative lies in or asks."""
+def _placed(reps: DataFrame, tables: int, probes: int, blocks: int) -> DataFrame:
+    """(rep, id, label, weight, unit, cells) of every representative: its unit vector, and the keys of its cells by table, its own first."""
 
     def run(batches):
         for batch in batches:
-            ids, labels, weights = (batch.column(k).to_numpy() for k in range(3))
-            vectors = batch.column(3)
+            labels, vectors = batch.column(2).to_numpy(), batch.column(4)
             lengths = np.diff(vectors.offsets.to_numpy())
             for dim in np.unique(lengths):
                 at = np.flatnonzero(lengths == dim)
@@ -118,27 +123,21 @@ def _entries(reps: DataFrame, tables: int, probes: int, blocks: int) -> DataFram
                 unit = v / np.sqrt((v * v).sum(1))[:, None]
                 start = (labels[at].astype(np.int64).astype(np.uint64) + np.uint64(1)) * _MULT[1] + np.uint64(dim)
                 own, asked = cells(unit, start, tables, probes, blocks)
-                every = np.concatenate([own[:, :, None], asked], axis=2)  # (n, tables, 1 + probes)
-                packed = [x.tobytes() for x in every]
-                data = [x.tobytes() for x in unit]
-                m = len(at)
-                for t in range(tables):
-                    for p in range(1 + probes):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(every[:, t, p].view(np.int64)), pa.array(np.full(m, t, np.int32)), pa.array(np.full(m, p == 0)), pa.array(ids[at]), pa.array(labels[at].astype(np.int64)), pa.array(weights[at]), pa.array(data, pa.binary()), pa.array(packed, pa.binary())],
-                            names=["cell", "t", "lives", "id", "label", "weight", "unit", "cells"],
-                        )
+                every = np.concatenate([own[:, :, None], asked], axis=2).reshape(len(at), -1).view(np.int64)  # (n, tables x (1 + probes))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * every.shape[1]), pa.array(every.ravel()))
+                some = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(some) for k in range(4)), pa.array([x.tobytes() for x in unit], pa.binary()), lists], names=["rep", "id", "label", "weight", "unit", "cells"])
 
-    return reps.select("id", "label", "weight", "vector").mapInArrow(run, "cell long, t int, lives boolean, id long, label long, weight long, unit binary, cells binary")
+    return reps.select("rep", "id", "label", "weight", "vector").mapInArrow(run, "rep long, id long, label long, weight long, unit binary, cells array<long>")
 
 
 def _links(table: pa.Table, threshold: float, tables: int, probes: int) -> pa.Table:
     """Links counted in a group of cells, and a star for each set of linked vectors."""
-    cell, t, lives, ids, label, weight = (table.column(c).to_numpy() for c in ("cell", "t", "lives", "id", "label", "weight"))
+    cell, t, lives, ids, label, weight = (table.column(c).to_numpy() for c in ("cell", "t", "lives", "rep", "label", "weight"))
     side = table.column("side").to_numpy()
     order = np.lexsort((ids, cell))
     edges = np.flatnonzero(np.diff(cell[order], prepend=cell[order][:1] - 1 if len(order) else 0))
-    units, packs = table.column("unit").combine_chunks(), table.column("cells").combine_chunks()
+    units, packs = table.column("unit").combine_chunks(), table.column("cells").combine_chunks()  # of vectors in some cell with another
     widths, links, roots = pc.binary_length(units).to_numpy(), {}, []
     for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
         own = order[lo:hi]
@@ -146,7 +145,7 @@ def _links(table: pa.Table, threshold: float, tables: int, probes: int) -> pa.Ta
             continue
         own = own[widths[own] == widths[own[0]]]  # a cell's key holds the length
         v = np.stack([np.frombuffer(units[int(k)].as_py()) for k in own])
-        every = np.stack([np.frombuffer(packs[int(k)].as_py(), np.int64).reshape(tables, 1 + probes) for k in own])
+        every = np.stack([np.asarray(packs[int(k)].values).reshape(tables, 1 + probes) for k in own])
         live, who, lab, part = lives[own], ids[own], label[own], side[own]
         a_all, b_all = [], []
         for k in range(0, len(own), 512):
@@ -181,25 +180,28 @@ def _links(table: pa.Table, threshold: float, tables: int, probes: int) -> pa.Ta
         roots += zip(who[moved], who[root[moved]], strict=True)
     rows = [(i, c, None) for i, c in links.items()] + [(int(i), 0, int(r)) for i, r in set(roots)]
     i, c, r = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"id": pa.array(i, pa.int64()), "links": pa.array(c, pa.int64()), "root": pa.array(r, pa.int64())})
+    return pa.table({"rep": pa.array(i, pa.int64()), "links": pa.array(c, pa.int64()), "root": pa.array(r, pa.int64())})
 
 
-def _dealt(entries: DataFrame) -> DataFrame:
-    """Entries with the group that handles them: many small cells, or a pair of tiles of a large one.
+def _dealt(placed: DataFrame, per: int) -> DataFrame:
+    """The representatives of each group that is handled together: many small cells, or a pair of tiles of a large one.
 
     ``side`` is 2 for rows that meet all of their group, else 0 or 1 for the
     two tiles of which only pairs across are wanted.
     """
-    sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.max("lives").alias("lived"), F.max("weight").alias("w")).where("c > 1 AND lived").select("cell", "c")
-    rows = entries.join(sizes, "cell")
-    total = max(1, -(-sizes.agg(F.sum("c")).first()[0] // 8192) if not sizes.isEmpty() else 1)
+    # One long a cell: an entry is the key, the representative, and the place in its list as a small number.
+    entries = placed.select("rep", F.posexplode("cells").alias("pos", "cell"))
+    lives = F.col("pos") % per == 0
+    sizes = C.stage(entries.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.max(lives).alias("lived")).where("c > 1 AND lived").select("cell", "c"), "cells")
+    rows = entries.join(sizes, "cell").select("cell", "rep", "c", F.floor(F.col("pos") / per).cast("int").alias("t"), lives.alias("lives"))
+    total = max(1, -(-(sizes.agg(F.sum("c")).first()[0] or 0) // 8192))
     k = F.ceil(F.col("c") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(F.col("mine"), x).alias("i"), F.greatest(F.col("mine"), x).alias("j"), F.when(x == F.col("mine"), 2).otherwise((F.col("mine") > x).cast("int")).alias("side")))
     large = rows.where(F.col("c") > TILE).withColumn("k", k).withColumn("mine", mine).withColumn("at", F.explode(tiles))
-    keep = ["cell", "t", "lives", "id", "label", "weight", "unit", "cells"]
-    small = rows.where(F.col("c") <= TILE).select(F.pmod(F.col("cell"), F.lit(total)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"), *keep)
-    return small.unionByName(large.select(F.col("cell").alias("g"), "at.i", "at.j", "at.side", *keep))
+    small = rows.where(F.col("c") <= TILE).select(F.pmod(F.col("cell"), F.lit(total)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"), "cell", "t", "lives", "rep")
+    every = small.unionByName(large.select(F.col("cell").alias("g"), "at.i", "at.j", "at.side", "cell", "t", "lives", "rep"))
+    return every.join(placed.select("rep", "label", "weight", "unit", "cells"), "rep")
 
 
 def _usable(vector: Column, label: Column) -> Column:
@@ -210,18 +212,22 @@ def _usable(vector: Column, label: Column) -> Column:
 def links(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, tables: int = TABLES, probes: int = PROBES, blocks: int = BLOCKS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     C.ship(table.sparkSession)
-    base = table.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.col(f"`{label}`").cast("long").alias("label"))
+    kind = table.schema[label].dataType
+    name = F.col(f"`{label}`").cast("long") if isinstance(kind, IntegralType) else F.when(F.col(f"`{label}`").isNotNull(), F.xxhash64(F.col(f"`{label}`")))
+    base = table.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), name.alias("label"))
     base = base.withColumn("usable", _usable(F.col("vector"), F.col("label")))
     reps = base.where("usable").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count_distinct("id").alias("weight"))
-    reps = C.stage(reps.select("id", "label", "weight", "vector"), "vectors")
-    entries = C.stage(_entries(reps, tables, probes, blocks), "entries")
-    found = _dealt(entries).groupBy("g", "i", "j").applyInArrow(lambda x: _links(x, threshold, tables, probes), "id long, links long, root long")
+    reps = C.stage(reps.select(F.monotonically_increasing_id().alias("rep"), "id", "label", "weight", "vector"), "vectors")
+    placed = C.stage(_placed(reps, tables, probes, blocks), "placed")
+    found = _dealt(placed, 1 + probes).groupBy("g", "i", "j").applyInArrow(lambda x: _links(x, threshold, tables, probes), "rep long, links long, root long")
     found = C.stage(found, "found")
-    C.discard(entries)
-    near = connected_components(found.where("root IS NOT NULL").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    by_rep = reps.join(counts, "id", "left").join(near.withColumnRenamed("node", "id"), "id", "left")
-    by_rep = by_rep.select(F.col("label").alias("r_label"), F.col("vector").alias("r_vector"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("comp"))
+    near = connected_components(found.where("root IS NOT NULL").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    named = C.stage(near.join(reps.select(F.col("rep").alias("node"), "id"), "node"), "named")
+    first = named.groupBy("component").agg(F.min("id").alias("first"))
+    named = named.join(first, "component").select(F.col("node").alias("rep"), "first")
+    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    by_rep = reps.join(counts, "rep", "left").join(named, "rep", "left")
+    by_rep = by_rep.select(F.col("label").alias("r_label"), F.col("vector").alias("r_vector"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("first", "id").alias("comp"))
     out = base.join(by_rep, F.col("usable") & (F.col("label") == F.col("r_label")) & (F.col("vector") == F.col("r_vector")), "left")
     component = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
