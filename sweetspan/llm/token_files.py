@@ -1,7 +1,8 @@
 """Token ids in binary blocks under a canonical length-limited Huffman code.
 
-Documents are dealt by ranges of their ids and tokenised once, in order, to
-plain blocks in the shared folder, with counts of all ids (one row for each id
+Documents are dealt by ranges of their ids (rows of one id by a hash of their texts
+and their place in the input too, so an id with a third of all rows is in many
+ranges) and tokenised once, in order, to plain blocks in the shared folder, with counts of all ids (one row for each id
 reaches the driver, as many as the vocabulary has).  From these, code lengths of
 at most ``LIMIT`` bits come by package-merge, and the blocks are written again
 under the code, each on its own, without a shuffle.  A block holds its documents' ids and token
@@ -12,8 +13,10 @@ lengths, which make up the whole code, lie beside the blocks.
 Blocks are Parquet rows, so any store that Spark writes to holds them, and a
 lost task is simply run again.
 
-Defined results: a null text is an empty one (only the end id); null ids come
-first; repeated rows are documents of their own; an empty table gives no blocks.
+Defined results: a null text is an empty one (only the end id); texts of any length
+are one document in one block; null ids come first; repeated rows are documents of
+their own, those of one id in the order of their texts' 64-bit hashes, whatever the
+order of the input; other columns aren't written; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from .segments import SegmentEncoder, slices
 
 #: Longest code; tokens between checkpoints; tokens after which a block ends; text bytes in an output partition.
 LIMIT, CHECKPOINT, BLOCK_TOKENS, PART_BYTES = 16, 1024, 1 << 19, 24 << 20
+#: Output partitions whose sizes are summed up together.
+PARTS = 4096
 #: Byte-level BPE cuts before white space that follows anything else.
 BYTE_LEVEL = r"\s*\S+|\s+"
 _UNSAFE = tuple("\x1c\x1d\x1e\x1f")
@@ -94,7 +99,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
         sums = np.add.reduceat(value, first)  # bits don't overlap
         words[word[first]] += sums >> np.uint64(32)
         words[word[first] + 1] += sums & np.uint64(0xFFFFFFFF)
-    return words.astype(">u4").tobytes(), start[::CHECKPOINT].astype("<u4")
+    return words.astype(">u4").tobytes(), start[::CHECKPOINT].astype("<u8")
 
 
 class Decoder:
@@ -206,8 +211,9 @@ class TokenFiles:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pylist([{"kind": 1, "id": int(k), "n": int(total[k])} for k in some], _IDS)
 
-        ordered = docs.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id").sortWithinPartitions("doc_id")
-        return C.stage(ordered.mapInArrow(run, IDS), "ids")
+        keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+        ordered = keyed.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+        return C.stage(ordered.select("doc_id", "text").mapInArrow(run, IDS), "ids")
 
     def write(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         """Writes all documents, in ascending order of ids."""
@@ -239,7 +245,7 @@ class TokenFiles:
             for batch in batches:
                 for k in range(len(batch)):
                     row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                    ids = decoder.unpack(row["payload"], np.frombuffer(row["checkpoints"], "<u4"), row["n_tokens"]).astype("<u4")
+                    ids = decoder.unpack(row["payload"], np.frombuffer(row["checkpoints"], "<u8"), row["n_tokens"]).astype("<u4")
                     ends = np.cumsum(row["counts"])
                     crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends, row["counts"], strict=True)]
                     m = len(ends)
@@ -252,9 +258,14 @@ class TokenFiles:
         rows = blocks.mapInArrow(run, "part int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
         sizes = blocks.select("part", "block", "n_tokens")
         parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a partition of the writer
-        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # Parts are summed up in groups first, so no task sees more than PARTS rows, or one of each group.
+        parts = parts.withColumn("group", F.floor(F.col("part") / PARTS))
+        groups = parts.groupBy("group").agg(F.sum("n").alias("n"))
+        over = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        groups = groups.select("group", over(Window.orderBy("group")).alias("first_of_group"))
+        parts = parts.select("part", "group", over(Window.partitionBy("group").orderBy("part")).alias("first_of_part")).join(groups, "group").select("part", (F.col("first_of_group") + F.col("first_of_part")).alias("before"))
         inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = sizes.withColumn("inside", inside).join(parts.select("part", before.alias("before")), "part").select("part", "block", (F.col("inside") + F.col("before")).alias("first"))
+        starts = sizes.withColumn("inside", inside).join(parts, "part").select("part", "block", (F.col("inside") + F.col("before")).alias("first"))
         return rows.join(starts, ["part", "block"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
