@@ -18,8 +18,8 @@ tiles.
 
 Defined results: rows whose label is null, or whose vector is null, zero, empty
 or holds null or non-finite components, are linked with nothing; vectors of
-different lengths are never linked; ids are longs that aren't null; equal rows of
-one id count as one vector and give the same rows; rows of one id with different
+different lengths are never linked; ids are longs; rows with null ids are linked
+with nothing, have a null component and are kept; equal rows of one id count as one vector and give the same rows; rows of one id with different
 vectors or labels are vectors of their own; labels may have any type that can be
 compared (those that aren't integers are told apart by a 64-bit hash); other
 columns aren't returned; an empty table gives an empty result.
@@ -215,7 +215,7 @@ def links(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", l
     kind = table.schema[label].dataType
     name = F.col(f"`{label}`").cast("long") if isinstance(kind, IntegralType) else F.when(F.col(f"`{label}`").isNotNull(), F.xxhash64(F.col(f"`{label}`")))
     base = table.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), name.alias("label"))
-    base = base.withColumn("usable", _usable(F.col("vector"), F.col("label")))
+    base = base.withColumn("usable", _usable(F.col("vector"), F.col("label")) & F.col("id").isNotNull())
     reps = base.where("usable").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count_distinct("id").alias("weight"))
     reps = C.stage(reps.select(F.monotonically_increasing_id().alias("rep"), "id", "label", "weight", "vector"), "vectors")
     placed = C.stage(_placed(reps, tables, probes, blocks), "placed")
@@ -230,4 +230,4 @@ def links(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", l
     by_rep = by_rep.select(F.col("label").alias("r_label"), F.col("vector").alias("r_vector"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("first", "id").alias("comp"))
     out = base.join(by_rep, F.col("usable") & (F.col("label") == F.col("r_label")) & (F.col("vector") == F.col("r_vector")), "left")
     component = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias(vec_id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(vec_id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

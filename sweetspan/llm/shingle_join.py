@@ -29,10 +29,11 @@ compared by 64-bit hashes of their words.
 
 Defined results: null and empty texts have no shingles and are their own
 component; fewer words than ``size`` make one shingle; texts of any length are
-taken whole; ids are longs that aren't null (others are refused); repeated rows of
-one id are one document and give the same row again, and where their texts differ
-the one with the smallest 64-bit hash counts; other columns aren't returned;
-empty tables give empty results.
+taken whole; ids are longs (others are cast, or refused); rows with null ids are
+linked with nothing and have a null component; repeated rows of one id are one
+document and give the same row again, and where their texts differ the one with the
+smallest 64-bit hash counts; other columns aren't returned; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -361,7 +362,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """(doc_id, n_shingles, component_id) of every document; linked: Jaccard similarity of num/den or more."""
     C.ship(docs.sparkSession)
     levels = Levels(num, den)
-    given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    every = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    given = every.where("id IS NOT NULL")
     repeated = C.stage(given.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id"), "repeated")
     base = given
     if not repeated.isEmpty():
@@ -394,7 +396,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     out = index.join(of_set, ["digest", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     if base is not given:  # each of the repeated rows again
         out = C.join_lookup(given.select(F.col("id"), F.monotonically_increasing_id().alias("row")), C.stage(out, "classes"), "id", spread=F.col("row"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = _sets(every.where("id IS NULL"), size).select("id", "n", F.lit(None).cast("long").alias("component"))
+    return out.select("id", "n", "component").unionByName(alone).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
