@@ -114,13 +114,15 @@ def _parsed(docs: DataFrame) -> DataFrame:
 
 
 def _majority(members: DataFrame, by: list[str]) -> DataFrame:
-    """(leaf, own, id, k): the members (by, own, w) that agree with the words most of their group have, if these are enough."""
+    """(leaf, own, id, k, name): the members (by, own, w) that agree with the words most of their group have, if these are enough."""
     sizes = members.groupBy(*by).agg(F.count(F.lit(1)).alias("members"), F.min(F.size("w")).alias("n")).where("members > 1")
     places = members.join(sizes, by).select(*by, "members", "n", F.posexplode("w").alias("q", "x")).where(F.col("q") >= DEPTH)
     kept = places.groupBy(*by, "q", "x").agg(F.count(F.lit(1)).alias("c"), F.min("members").alias("members"), F.min("n").alias("n")).where(2 * F.col("c") > F.col("members"))
     trees = kept.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("q", "x"))).alias("constant"), F.min("n").alias("n")).where(F.size("constant") >= CONSTANT * (F.col("n") - DEPTH)).select(*by, "constant")
     same = F.size(F.filter("constant", lambda y: F.get("w", y["q"]) == y["x"]))
-    return members.join(trees, by).where(same >= AGREE * F.size("constant")).select("leaf", "own", F.unhex(F.md5(F.concat(F.col("leaf"), F.array_join(F.transform("constant", lambda y: F.concat_ws(" ", y["q"].cast("string"), y["x"])), " ").cast("binary")))).alias("id"), F.size("constant").alias("k"))
+    name = F.array_join(F.transform("constant", lambda y: F.concat_ws(" ", y["q"].cast("string"), y["x"])), " ")
+    agreed = members.join(trees, by).where(same >= AGREE * F.size("constant")).withColumn("name", name)
+    return agreed.select("leaf", "own", F.unhex(F.md5(F.concat(F.col("leaf"), F.col("name").cast("binary")))).alias("id"), F.size("constant").alias("k"), "name")
 
 
 def _fits(variants: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def _fits(variants: DataFrame) -> DataFrame:
     members = shared.select("leaf", "own", F.col("y.p").alias("p"), F.col("y.word").alias("word")).join(rest, ["leaf", "own"])
     agreed = C.stage(_majority(C.stage(members, "members"), ["leaf", "p", "word"]).distinct(), "agreed")
     sizes = agreed.groupBy("leaf", "id").agg(F.count(F.lit(1)).alias("v"))
-    best = agreed.join(sizes, ["leaf", "id"]).groupBy("leaf", "own").agg(F.max_by("id", F.struct("v", "k", "id")).alias("id"))
+    best = agreed.join(sizes, ["leaf", "id"]).groupBy("leaf", "own").agg(F.max_by("id", F.struct("v", "k", "name")).alias("id"))
     return most.select("leaf", "own", "id").unionByName(best)
 
 

@@ -64,31 +64,56 @@ u AS (SELECT doc_id, sum(size) AS taken FROM g WHERE total <= budget GROUP BY do
 SELECT r.doc_id, size, source_size, round(target, 4) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM r LEFT JOIN u ON r.doc_id = u.doc_id
 """
 
-LINES = r"""
+
+
+def _majority(name: str, members: str, by: str) -> str:
+    """The members (by, own, w) that agree with the words most of their group have, if these are enough; ``by`` begins with leaf."""
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by.split(", "))
+    of = lambda a: ", ".join(f"{a}.{c}" for c in by.split(", "))
+    return f"""
+{name}_s AS (SELECT {by}, count(*) AS members, min(len(w)) AS n FROM {members} GROUP BY {by} HAVING count(*) > 1),
+{name}_p AS (SELECT {of("m")}, m.own, s.members, s.n, unnest(range(4, len(w) + 1)) AS q, unnest(w[4:]) AS x FROM {members} m JOIN {name}_s s ON {on("m", "s")}),
+{name}_k AS (SELECT {by}, q, x, any_value(n) AS n FROM {name}_p GROUP BY {by}, q, x, members HAVING 2 * count(*) > members),
+{name}_t AS (SELECT {by}, count(*) AS k, string_agg((q - 1) || ' ' || x, ' ' ORDER BY q) AS name FROM {name}_k GROUP BY {by} HAVING count(*) >= 0.5 * (any_value(n) - 3)),
+{name}_a AS (SELECT {of("p")}, p.own, count(*) AS same FROM {name}_p p JOIN {name}_k k ON {on("p", "k")} AND p.q = k.q AND p.x = k.x GROUP BY {of("p")}, p.own),
+{name} AS (SELECT DISTINCT a.leaf, a.own, t.k, t.name FROM {name}_a a JOIN {name}_t t ON {on("a", "t")} WHERE a.same >= 0.8 * t.k)"""
+
+
+#: Lines and leaves of several variants; the leaf's majority; families of the rest by their rarest shared words; what recurs.
+LINES = rf"""
 WITH l AS (
-  SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
+  SELECT doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)),
-k AS (SELECT doc_id, pos, w, len(w) AS n, array_to_string(w, ' ') AS own, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM l WHERE len(w) >= 3),
-e AS (SELECT leaf FROM k GROUP BY leaf HAVING count(*) >= 3 AND min(doc_id) <> max(doc_id)),
+w AS (SELECT doc_id, pos, array_to_string(raw, ' ') AS raw, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l WHERE len(raw) > 0),
+k AS (SELECT doc_id, pos, raw, w, len(w) AS n, array_to_string(w, ' ') AS own, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM w),
+e AS (SELECT leaf FROM k GROUP BY leaf HAVING min(doc_id) <> max(doc_id) AND count(*) >= CASE WHEN min(n) >= 50 THEN 2 WHEN min(n) < 3 THEN 10 ELSE 3 END),
 fnd AS (SELECT k.* FROM k JOIN e ON k.leaf = e.leaf),
-var AS (SELECT leaf, own, any_value(w) AS w, any_value(n) AS n FROM fnd GROUP BY leaf, own),
-many AS (SELECT leaf, count(*) AS variants FROM var GROUP BY leaf HAVING count(*) > 1),
-place AS (SELECT var.leaf, variants, n, unnest(range(1, n + 1)) AS p, unnest(w) AS word FROM var JOIN many ON var.leaf = many.leaf),
-con AS (SELECT leaf, p, word FROM place GROUP BY leaf, p, word, variants HAVING 2 * count(*) > variants),
-tree AS (SELECT con.leaf, count(*) AS c FROM con JOIN (SELECT leaf, min(n) AS n FROM var GROUP BY leaf) x ON con.leaf = x.leaf GROUP BY con.leaf, x.n HAVING count(*) >= 0.5 * x.n),
-agree AS (
-  SELECT var.leaf, var.own, count(*) AS c
-  FROM (SELECT leaf, own, unnest(range(1, n + 1)) AS p, unnest(w) AS word FROM var) var JOIN con ON var.leaf = con.leaf AND var.p = con.p AND var.word = con.word GROUP BY var.leaf, var.own),
-lines AS (
-  SELECT fnd.doc_id, pos, CASE WHEN agree.c >= 0.8 * tree.c THEN 'leaf ' || fnd.leaf ELSE 'own ' || fnd.own END AS template
-  FROM fnd LEFT JOIN tree ON fnd.leaf = tree.leaf LEFT JOIN agree ON fnd.leaf = agree.leaf AND fnd.own = agree.own),
-rec AS (SELECT template, min(doc_id) AS head FROM lines GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
-gone AS (SELECT doc_id, pos FROM lines JOIN rec ON lines.template = rec.template WHERE doc_id <> head),
-rest AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS text, count(*) AS n FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos WHERE gone.pos IS NULL GROUP BY l.doc_id),
-a AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(a.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(a.n, 0) - coalesce(rest.n, 0) AS BIGINT) AS n_dropped,
-  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(rest.text, '')) END AS text_md5
-FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN rest ON d.doc_id = rest.doc_id
+var AS (SELECT leaf, own, any_value(w) AS w FROM fnd GROUP BY leaf, own),
+v AS (SELECT * FROM var WHERE len(w) > 3 AND leaf IN (SELECT leaf FROM var GROUP BY leaf HAVING count(*) > 1)),
+{_majority("most", "v", "leaf")},
+rest AS (SELECT v.* FROM v ANTI JOIN most ON v.leaf = most.leaf AND v.own = most.own),
+pl AS (SELECT leaf, own, CAST(ceil(0.5 * (len(w) - 3)) AS INT) AS half, unnest(range(4, len(w) + 1)) AS p, unnest(w[4:]) AS word FROM rest),
+cn AS (SELECT leaf, p, word, count(*) AS c FROM pl GROUP BY leaf, p, word HAVING count(*) > 1),
+sh AS (SELECT pl.leaf, own, any_value(half) AS half, list({{'c': c, 'p': pl.p, 'word': pl.word}} ORDER BY c, pl.p, pl.word) AS shared FROM pl JOIN cn ON pl.leaf = cn.leaf AND pl.p = cn.p AND pl.word = cn.word GROUP BY pl.leaf, own),
+pv AS (SELECT leaf, own, unnest(list_filter(shared, lambda y: y.c >= shared[len(shared) - half + 1].c)[1:3]) AS y FROM sh WHERE len(shared) >= half),
+mem AS (SELECT pv.leaf, pv.y.p AS p, pv.y.word AS word, rest.own, rest.w FROM pv JOIN rest ON pv.leaf = rest.leaf AND pv.own = rest.own),
+{_majority("fam", "mem", "leaf, p, word")},
+fs AS (SELECT leaf, name, count(*) AS v FROM fam GROUP BY leaf, name),
+best AS (SELECT leaf, own, name FROM (SELECT fam.*, row_number() OVER (PARTITION BY fam.leaf, own ORDER BY v DESC, k DESC, fam.name DESC) AS r FROM fam JOIN fs ON fam.leaf = fs.leaf AND fam.name = fs.name) WHERE r = 1),
+fits AS (SELECT leaf, own, name FROM most UNION ALL SELECT leaf, own, name FROM best),
+lines AS (SELECT fnd.doc_id, pos, n, CASE WHEN n >= 50 THEN raw END AS raw, CASE WHEN name IS NOT NULL THEN 't' || fnd.leaf || chr(10) || name ELSE 'o' || fnd.own END AS template FROM fnd LEFT JOIN fits ON fnd.leaf = fits.leaf AND fnd.own = fits.own),
+rec AS (SELECT template, min(doc_id) AS head FROM lines GROUP BY template HAVING count(DISTINCT doc_id) >= CASE WHEN min(n) < 3 THEN 10 ELSE 3 END),
+quo AS (SELECT raw, min(doc_id) AS head FROM lines WHERE raw IS NOT NULL GROUP BY raw HAVING count(DISTINCT doc_id) >= 2),
+gone AS (SELECT doc_id, pos, bool_or(sure) AS sure FROM (
+  SELECT doc_id, pos, true AS sure FROM lines JOIN rec ON lines.template = rec.template WHERE doc_id <> head
+  UNION ALL SELECT doc_id, pos, false FROM lines JOIN quo ON lines.raw = quo.raw WHERE doc_id <> head) GROUP BY doc_id, pos),
+j AS (SELECT l.doc_id, l.pos, line, len(raw) > 0 AS wordy, gone.pos IS NOT NULL AS dropped, coalesce(sure, false) AS sure FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos),
+d AS (SELECT doc_id, bool_or(wordy AND NOT dropped) AS some_left FROM j GROUP BY doc_id),
+f AS (SELECT j.doc_id, pos, line, CASE WHEN some_left THEN dropped ELSE sure END AS dropped FROM j JOIN d ON j.doc_id = d.doc_id),
+r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE dropped) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped) AS text FROM f GROUP BY doc_id)
+SELECT x.doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n_dropped, 0) AS BIGINT) AS n_dropped,
+  CASE WHEN x.text IS NOT NULL THEN md5(coalesce(r.text, '')) END AS text_md5
+FROM documents x LEFT JOIN r ON x.doc_id = r.doc_id
 """
 
 SQL = {"op2_url_filter": URLS, "op3_quality_rules": QUALITY, "op5_mixing": MIXING, "op8_line_templates": LINES}
