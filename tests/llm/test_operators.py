@@ -342,6 +342,22 @@ def test_counts_of_long_and_short_lines(spark):
     assert [out[k]["n_dropped"] for k in range(18)] == [0, 2, 2, 2, 2, 3, *[2] * 6, 1, 1, 0, 0, 0, 0]
     assert passage in out[2]["text"] and out[5]["text"] == body[5] and out[17]["text"] == texts[17]
 
+@pytest.mark.parametrize("num, n", [(8, 566), (8, 58), (8, 1108), (9, 1082)])
+def test_pairs_that_agree_in_empty_segments_alone_share_a_cell(num, n):
+    levels = shingle_join.Levels(num, 10)
+    level = levels.of(n)[0]
+    assert levels.last[level] == n
+    m, apart = levels.segments(level), levels.apart(level)
+    assert m == apart + levels.sure(level)
+    place = lambda k: -(-(k << 32) // m) << 32  # noqa: E731  the first hash of segment k
+    a = np.sort(np.array([place(j % apart) + 1 + j for j in range(n)], np.uint64))
+    b = np.sort(np.concatenate([a, np.array([place(j) + 100_000 * 2**32 // m + 7 for j in range(apart)], np.uint64)]))  # one more in each that isn't empty
+    b = shingle_join.distinct(b)
+    assert 10 * len(a) >= num * len(b)
+    keys = [set(np.concatenate(shingle_join.cells(x, levels)).tolist()) for x in (a, b)]
+    assert keys[0] & keys[1]
+
+
 def test_fine_groups_of_many_segments_stay_in_order():
     h = np.sort(np.random.default_rng(14).integers(0, 1 << 64, 50_000, dtype=np.uint64))
     for m in (5, 70_000, 3_000_000):
@@ -412,6 +428,16 @@ def test_pieces_equal_the_library(spark):
         assert codec.decode(ids) == t and library.decode([own.id_to_piece(i) for i in ids])[1:] == t
 
 
+def test_long_runs_are_merged_by_place():
+    import sentencepiece
+
+    data = open(tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    own, codec = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Codec(data, verify=False)
+    for n in (19_990, 20_000, 30_000):
+        for t in (" " * n + "z", "a" * n, "ab" * n + "bbb"):
+            assert codec.encode([t])[0].tolist() == own.encode(t), (n, t[:3])
+
+
 def _message(number, value):
     def varint(n):
         out = b""
