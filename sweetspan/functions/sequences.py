@@ -34,14 +34,16 @@ def mean(v: Column) -> Column:
     return let(known, lambda k: F.when(F.size(k) > 0, F.aggregate(k, F.lit(0.0), lambda a, x: a + x) / F.size(k)))
 
 
-def slopes(v: Column) -> Column:
-    """Differences of neighbours; the first, and any with a null, are 0."""
-    return let(v, lambda a: F.transform(a, lambda x, i: F.when(i == 0, 0.0).otherwise(F.coalesce(x - F.get(a, i - 1), F.lit(0.0)))))
+def slopes(v: Column, fill: bool = True) -> Column:
+    """Differences of neighbours; the first, and any with a null, are 0, or null unless ``fill``."""
+    none = F.lit(0.0) if fill else F.lit(None).cast("double")
+    return let(v, lambda a: F.transform(a, lambda x, i: F.when(i == 0, none).otherwise(F.coalesce(x - F.get(a, i - 1), none))))
 
 
 def crossings(s: Column) -> Column:
-    """Slots whose successor has another sign, and the last slot."""
-    return let(s, lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == F.size(a) - 1) | (F.signum(F.get(a, i)) != F.signum(F.get(a, i + 1)))))
+    """Slots whose successor has another sign, and the last slot; a missing slope has another sign than any."""
+    other = lambda a, i: F.coalesce(F.signum(F.get(a, i)) != F.signum(F.get(a, i + 1)), F.lit(True))
+    return let(s, lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == F.size(a) - 1) | other(a, i)))
 
 
 def swings(s: Column, z: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions.scalars import nan_to_null
 
 #: The features, in order: range, three swings with their slots, slot distance of the extremes, three spectral peaks.
 NAMES = ("f1_range", "f2_dist_1", "f2_slot_1", "f2_dist_2", "f2_slot_2", "f2_dist_3", "f2_slot_3", "f3_slots", "f4_peak_1", "f4_peak_2", "f4_peak_3")
@@ -13,7 +14,8 @@ EXTRA = ("f5_max_slope", "f6_minutes")
 
 
 def impute_row_mean(w: DataFrame, payload: str | None = None) -> DataFrame:
-    """Missing readings take the window's mean, in which the payload counts as one more reading if given."""
+    """Missing readings (null, or not a number) take the window's mean, in which the payload counts as one more reading if given."""
+    w = w.withColumn("v", F.transform("v", nan_to_null))
     total = F.aggregate(F.filter("v", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
     known = F.size(F.filter("v", lambda x: x.isNotNull()))
     if payload:
@@ -22,16 +24,16 @@ def impute_row_mean(w: DataFrame, payload: str | None = None) -> DataFrame:
     return df.withColumn("v", F.transform("v", lambda x: F.coalesce(x, F.col("_mean")))).drop("_mean")
 
 
-def shape(w: DataFrame) -> DataFrame:
-    """Adds slopes (s), crossings (z) and swings (sw)."""
-    df = w.withColumn("s", S.slopes(F.col("v")))
+def shape(w: DataFrame, fill: bool = True) -> DataFrame:
+    """Adds slopes (s; missing ones 0 if ``fill``), crossings (z) and swings (sw)."""
+    df = w.withColumn("s", S.slopes(F.col("v"), fill))
     df = df.withColumn("z", S.crossings(F.col("s")))
     return df.withColumn("sw", S.swings(F.col("s"), F.col("z")))
 
 
-def features(w: DataFrame, length: int, extra: bool = False, magnitude: bool = False) -> DataFrame:
+def features(w: DataFrame, length: int, extra: bool = False, magnitude: bool = False, fill: bool = True) -> DataFrame:
     """The features of each window; those that it doesn't have are null."""
-    df = shape(w).withColumn("top", S.top_swings(F.col("sw")))
+    df = shape(w, fill).withColumn("top", S.top_swings(F.col("sw")))
     df = df.withColumn("y", S.packed_spectrum(F.col("v"), length, magnitude))
     df = df.withColumn("pk", S.top_peaks(S.peaks(F.col("y"))))
     cols = [S.value_range(F.col("v")).alias("f1_range")]
@@ -52,12 +54,13 @@ def _known(names: tuple[str, ...]) -> Column:
     return out
 
 
-def on_missing(f: DataFrame, how: str = "skip", names: tuple[str, ...] = NAMES) -> DataFrame:
+def on_missing(f: DataFrame, how: str = "skip", names: tuple[str, ...] = NAMES, means: dict[str, float] | None = None) -> DataFrame:
     """What becomes of windows without all features: ``skip``, ``zero``, ``mean`` or ``ffill_bfill``.
 
     ``mean`` fills by the means of the complete rows, shifted as in the known
     batch variant: crossing 1 takes the mean of the last feature and of the
     first, crossings 2 and 3 those of the crossing before; peaks take their own.
+    ``means``: stored means of the features, in place of those of these rows.
     ``ffill_bfill`` fills down the rows in order of wid, then up.
     """
     if how == "skip":
@@ -65,12 +68,12 @@ def on_missing(f: DataFrame, how: str = "skip", names: tuple[str, ...] = NAMES)
     if how == "zero":
         return f.select(*(F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in names else F.col(c) for c in f.columns))
     if how == "mean":
-        means = f.where(_known(names)).agg(*(F.avg(c).alias(f"_m_{c}") for c in names))
+        stored, means = means, f.where(_known(names)).agg(*(F.avg(c).alias(f"_m_{c}") for c in names))
         source = {c: c for c in names}
         for k in range(3):
             at = names.index(f"f2_dist_{k + 1}")
             source[names[at]], source[names[at + 1]] = names[at - 2], names[at - 1]
-        joined = f.crossJoin(F.broadcast(means))  # one row
+        joined = f.withColumns({f"_m_{c}": F.lit(float(stored[c])) for c in names}) if stored else f.crossJoin(F.broadcast(means))  # one row
         return joined.select(*(F.coalesce(F.col(c), F.col(f"_m_{source[c]}")).alias(c) if c in names else F.col(c) for c in f.columns))
     if how == "ffill_bfill":
         return fill_rows(f, names)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import nan_to_null
+
 #: Readings in a full day, five minutes apart.
 FULL_DAY = 288
 #: The ranges of the metrics.
@@ -42,10 +44,11 @@ def _in_part(part: str, ts: Column, day: Column) -> Column:
 def range_counts(readings: DataFrame, keys: list[str], ts: str = "ts", g: str = "g") -> DataFrame:
     """Per group and day: rows of each part, and readings in each range of each part (18 counts, one pass).
 
-    06:00:00 belongs to both parts, as both are cut with their ends included.
+    06:00:00 belongs to both parts, as both are cut with their ends included.  A
+    reading that isn't a number is in no range.
     """
     df = readings.withColumn("day", F.col(ts).cast("date")).where("day IS NOT NULL")
-    value, stamp, day = F.col(g), F.col(ts), F.col("day")
+    value, stamp, day = nan_to_null(F.col(g).cast("double")), F.col(ts), F.col("day")
     aggs = [F.count_if(_in_part(p, stamp, day)).alias(f"n_{p}") for p in PARTS]
     aggs += [F.count_if(_in_part(p, stamp, day) & test(value)).alias(f"{p}_{name}") for p in PARTS for name, test in RANGES.items()]
     return df.groupBy(*keys, "day").agg(*aggs)

@@ -37,8 +37,10 @@ def items(tx: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     return tx.select(F.explode(F.array(*attributes)).alias("item")).distinct()
 
 
-def one_hot(tx: DataFrame, values: list[str], attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
-    """0/1 columns for the items in ``values``."""
+def one_hot(tx: DataFrame, values: list[str] | None = None, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    """0/1 columns for the items in ``values``, or for all that occur (as many as there are bins and whole units), in order."""
+    if values is None:
+        values = sorted(r["item"] for r in items(tx, attributes).collect())
     row = F.array(*attributes)
     return tx.select("wid", *(F.array_contains(row, v).cast("int").alias(v) for v in values))
 

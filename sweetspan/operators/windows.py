@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import micros
+from ..functions.scalars import micros, nan_to_null
 
 MINUTE = 60_000_000
 #: Readings of a meal window (30 minutes before to 2 hours after) and of a no-meal window (2 to 4 hours after).
@@ -24,33 +24,52 @@ def dedupe_meals(meals: DataFrame, keys: list[str], ts: str = "ts", tie: str = "
     return meals.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") >= F.col(ts) + F.expr(f"INTERVAL {hours} HOURS"))).drop("_next")
 
 
-def interval_join(anchors: DataFrame, readings: DataFrame, span: tuple[int, int], keys: list[str] | None = None) -> DataFrame:
-    """(wid, r_ts, r_tie, g) of all readings within ``span`` minutes of each anchor, ends included.
+def _before(value: str, order) -> Column:
+    """The sum of ``value`` in the rows before."""
+    return F.coalesce(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    A bare range condition would be a nested loop.  Readings fall in one time
-    bucket as long as the span; an anchor is copied to the two buckets or so
-    that its span meets; the join is then an equi-join on bucket (and keys)
-    with the range as a residual, and shuffles like any other.
+
+def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds rank: how many readings (``_n`` is 1) of a group lie up to a row (``_us``, ``_flag``, ``_tie``), itself included.
+
+    Running counts are made within minutes, then over the minutes of a day, then
+    over days, so no task sees a whole series.
     """
-    keys = keys or []
-    width = (span[1] - span[0]) * MINUTE
-    a = anchors.withColumn("_us", micros(F.col("ts")))
-    first, last = (F.floor((F.col("_us") + m * MINUTE) / width).cast("long") for m in span)
-    a = a.select("wid", *keys, "_us", F.explode(F.sequence(first, last)).alias("_bucket"))
-    r = readings.select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col("ts").alias("r_ts"), F.col("event_id").alias("r_tie"), "g", micros(F.col("ts")).alias("_r_us"))
-    r = r.withColumn("_r_bucket", F.floor(F.col("_r_us") / width).cast("long"))
-    on = F.col("_bucket") == F.col("_r_bucket")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_r_{k}"))
-    inside = (F.col("_r_us") >= F.col("_us") + span[0] * MINUTE) & (F.col("_r_us") <= F.col("_us") + span[1] * MINUTE)
-    return a.join(r, on & inside).select("wid", "r_ts", "r_tie", "g")
+    minute, day = F.floor(F.col("_us") / MINUTE), F.floor(F.col("_us") / (1440 * MINUTE))
+    rows = rows.withColumn("_minute", minute).withColumn("_day", day)
+    counts = rows.groupBy(*keys, "_day", "_minute").agg(F.sum("_n").alias("_c"))
+    days = counts.groupBy(*keys, "_day").agg(F.sum("_c").alias("_c"))
+    days = days.select(*keys, "_day", _before("_c", Window.partitionBy(*keys).orderBy("_day")).alias("_days"))  # one row a day
+    firsts = counts.select(*keys, "_day", "_minute", _before("_c", Window.partitionBy(*keys, "_day").orderBy("_minute")).alias("_minutes"))
+    firsts = firsts.join(days, [*keys, "_day"]).select(*keys, "_minute", (F.col("_days") + F.col("_minutes")).alias("_first"))
+    here = Window.partitionBy(*keys, "_minute").orderBy("_us", "_flag", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_inside", F.sum("_n").over(here)).join(firsts, [*keys, "_minute"])
+    return out.withColumn("rank", F.col("_first") + F.col("_inside")).drop("_minute", "_day", "_inside", "_first")
 
 
 def windows(anchors: DataFrame, readings: DataFrame, span: tuple[int, int], length: int, keys: list[str] | None = None) -> DataFrame:
-    """(wid, n_rows, v): the first ``length`` readings of each window in order, nulls kept."""
-    joined = interval_join(anchors, readings, span, keys)
-    ordered = F.sort_array(F.collect_list(F.struct("r_ts", "r_tie", "g")))
-    return joined.groupBy("wid").agg(F.count(F.lit(1)).alias("n_rows"), F.slice(F.transform(ordered, lambda x: x["g"]), 1, length).alias("v"))
+    """(wid, n_rows, v): of the readings within ``span`` minutes of each anchor (ends included) their number, and the first ``length`` in order, nulls kept.
+
+    A window is an interval of ranks: the readings before its start, and those up
+    to its end, are counted by sorting the ends among the readings.  Its first
+    readings then lie in two neighbouring blocks of ``length`` ranks, so an
+    anchor meets two rows, however many readings its window holds.  Readings
+    that aren't numbers are missing; those without a time are in no window.
+    """
+    keys = keys or []
+    none = lambda t: F.lit(None).cast(t)
+    r = readings.where(F.col("ts").isNotNull()).select(*keys, micros(F.col("ts")).alias("_us"), F.lit(1).alias("_flag"), F.col("event_id").alias("_tie"), F.lit(1).cast("long").alias("_n"), nan_to_null(F.col("g").cast("double")).alias("g"), none("long").alias("wid"))
+    ends = F.explode(F.array(*(F.struct((micros(F.col("ts")) + m * MINUTE).alias("us"), F.lit(flag).alias("flag")) for m, flag in zip(span, (0, 2), strict=True))))
+    a = anchors.where(F.col("ts").isNotNull()).select(*keys, "wid", ends.alias("e"))
+    a = a.select(*keys, F.col("e.us").alias("_us"), F.col("e.flag").alias("_flag"), none(dict(r.dtypes)["_tie"]).alias("_tie"), F.lit(0).cast("long").alias("_n"), none("double").alias("g"), "wid")
+    rows = ranked(r.unionByName(a), keys)
+    blocks = rows.where("_flag = 1").groupBy(*keys, F.floor((F.col("rank") - 1) / length).alias("block")).agg(F.collect_list(F.struct("rank", "g")).alias("part"))  # ``length`` readings each
+    found = rows.where("_flag <> 1").groupBy(*keys, "wid").agg(F.max(F.when(F.col("_flag") == 0, F.col("rank"))).alias("lo"), F.max(F.when(F.col("_flag") == 2, F.col("rank"))).alias("hi")).where("hi > lo")
+    first = F.floor(F.col("lo") / length)
+    asked = found.withColumn("block", F.explode(F.sequence(first, F.floor((F.least(F.col("lo") + length, F.col("hi")) - 1) / length))))
+    met = asked.join(blocks, [*keys, "block"]).groupBy(*keys, "wid").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.flatten(F.collect_list("part")).alias("own"))
+    inside = F.filter("own", lambda x: (x["rank"] > F.col("lo")) & (x["rank"] <= F.least(F.col("lo") + length, F.col("hi"))))
+    return met.select("wid", (F.col("hi") - F.col("lo")).alias("n_rows"), F.transform(F.array_sort(inside), lambda x: x["g"]).alias("v"))
 
 
 def complete(w: DataFrame, length: int, max_nulls: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, modes, rules, windows
+from ..operators.graph import staged
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +59,8 @@ def whole_no_meal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
-    return features.features(whole(spark, d), windows.MEAL, extra=True)
+    """Features of complete meal windows, written once: what follows joins them with aggregates of themselves."""
+    return staged(features.features(whole(spark, d), windows.MEAL, extra=True), "features")
 
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
@@ -69,5 +71,5 @@ def clustered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, d: str) -> DataFrame:
-    w = windows.complete(meal_windows(spark, d), windows.MEAL)
-    return rules.transactions(w, rules.bin_origin(w, "bolus"))
+    w = staged(windows.complete(meal_windows(spark, d), windows.MEAL), "windows")
+    return staged(rules.transactions(w, rules.bin_origin(w, "bolus")), "transactions")

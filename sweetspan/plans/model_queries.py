@@ -1,4 +1,4 @@
-"""Queries whose result comes from an iterative model: rows only, no SQL counterpart."""
+"""Queries around models; those whose result comes from an iterative fit have no SQL counterpart."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from ..operators import features, ml, neighbors, rules, validation, windows
 from ..operators.graph import shared_dir, staged
 from ..sources import files
 from . import fixtures as X
+from . import phases
+from .base_sql import sql
 
 NAMES = list(features.NAMES)
 COSTS = [1.1, 1.25, 1.5, 2.0, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0]
@@ -37,7 +39,7 @@ def q_matrix_scan(spark: SparkSession, d: str) -> DataFrame:
     """Windows written as a headerless CSV and read back as arrays."""
     path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
     files.write_csv(windows.wide_form(X.whole(spark, d), windows.MEAL).drop("wid"), path, header=False)
-    return files.read_matrix(spark, path, windows.MEAL).select(F.array_join(F.col("values").cast("array<string>"), ",").alias("v"))
+    return files.read_matrix(spark, path, windows.MEAL).select(F.array_join(F.transform("values", lambda x: F.format_string("%.6f", x)), ",").alias("v"))
 
 
 def q_pca(spark: SparkSession, d: str) -> DataFrame:
@@ -55,20 +57,20 @@ def q_pca_white(spark: SparkSession, d: str) -> DataFrame:
 
 def q_svm(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy, precision, recall and F1 of a linear SVM on the held-out share."""
-    rows = ml.split(_both(spark, d), "is_meal").cache()
+    rows = staged(ml.split(_both(spark, d), "is_meal"), "split")
     model = ml.linear_svm(rows.where("is_train"))
     return validation.binary_metrics(model.transform(rows.where("NOT is_train")), "is_meal", "prediction")
 
 
 def q_svm_grid(spark: SparkSession, d: str) -> DataFrame:
     """The measures of the best of all costs, kernels and gammas on the held-out share."""
-    rows = ml.split(_both(spark, d), "is_meal").cache()
+    rows = staged(ml.split(_both(spark, d), "is_meal"), "split")
     frame, model, _, _ = ml.kernel_grid(rows.where("is_train"), NAMES, COSTS, GAMMAS, folds=3)
     return validation.binary_metrics(model.transform(frame(rows.where("NOT is_train"))), "is_meal", "prediction")
 
 
 def q_svm_rbf(spark: SparkSession, d: str) -> DataFrame:
-    rows = ml.split(ml.fourier_features(_both(spark, d), NAMES, 1 / len(NAMES)), "is_meal").cache()
+    rows = staged(ml.split(ml.fourier_features(_both(spark, d), NAMES, 1 / len(NAMES)), "is_meal"), "split")
     model = ml.linear_svm(rows.where("is_train"), column="rff")
     return validation.binary_metrics(model.transform(rows.where("NOT is_train")), "is_meal", "prediction")
 
@@ -78,16 +80,17 @@ def q_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_predict(spark: SparkSession, d: str) -> DataFrame:
-    """A saved pipeline (components, SVM), loaded and applied to windows padded with zeros."""
-    from pyspark.ml import PipelineModel
-
-    rows = _both(spark, d)
-    reduce_, k = ml.pca(rows, 0.97)
-    svm = ml.linear_svm(reduce_.transform(rows), column="pc")
+    """A classifier fitted to the complete windows of the training share, saved, loaded and applied to a headerless file of the other windows."""
+    meal, other = staged(X.whole(spark, d), "meal"), staged(X.whole_no_meal(spark, d), "other")
+    both = ml.split(features.labelled(meal.select("wid"), other.select("wid")), "is_meal")
+    share = lambda w, kind, train: w.join(both.where((F.col("is_meal") == kind) & (F.col("is_train") == train)).select("wid"), "wid", "left_semi")
+    rows = features.labelled(features.features(share(meal, 1, True), windows.MEAL).select("wid", *NAMES), features.features(share(other, 0, True), windows.NO_MEAL).select("wid", *NAMES))
+    model, known = ml.fit_classifier(staged(features.on_missing(rows), "train"), NAMES)
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    files.save_model(PipelineModel([reduce_, svm]), {"components": k, "features": NAMES}, path)
-    model, _ = files.load_model(spark, path)
-    return model.transform(rows).select("wid", "is_meal", F.col("prediction").cast("int").alias("prediction"))
+    files.save_model(model, known, path)
+    test = windows.wide_form(share(meal, 1, False), windows.MEAL).drop("wid")
+    files.write_csv(test, f"{path}/test.csv", header=False)
+    return phases.predict(spark, path, f"{path}/test.csv").select("row", F.col("prediction").cast("int").alias("prediction"))
 
 
 def _k6(spark: SparkSession, d: str) -> DataFrame:
@@ -109,10 +112,11 @@ def _bins(df: DataFrame) -> DataFrame:
 
 
 def q_bisect(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters, the worst halved until there are eight."""
+    """Density clusters, the worst halved until there are as many as bins of carbs."""
     df = _scaled(spark, d, ALL)
+    n = rules.n_bins(df, "carbs").first()["n_bins"] or 1
     marked = df.join(neighbors.dbscan(df, ALL), "wid").withColumn("cluster", F.col("cluster") + 1)
-    return ml.bisect_to(staged(marked, "marked"), 8, ALL).select("wid", "cluster")
+    return ml.bisect_to(staged(marked, "marked"), n, ALL).select("wid", "cluster")
 
 
 def q_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -139,3 +143,10 @@ def q_fpgrowth(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (q_matrix_scan, q_pca, q_pca_white, q_svm, q_svm_grid, q_svm_rbf, q_split, q_predict, q_kmeans, q_dbscan, q_bisect, q_validation, q_elbow, q_silhouette, q_fpgrowth)}
+
+_MD5 = "CAST('0x' || left(md5({0} || ':' || wid), 6) AS BIGINT) % 1000 < 800"
+SQL = {
+    "q_matrix_scan": sql("im", "SELECT array_to_string(list_transform(v, lambda x: printf('%.6f', x)), ',') AS v FROM im"),
+    "q_split": sql("im ni", f"SELECT is_meal, is_train, count(*) AS cnt FROM (SELECT 1 AS is_meal, {_MD5.format(1)} AS is_train FROM im UNION ALL SELECT 0, {_MD5.format(0)} FROM ni) GROUP BY is_meal, is_train"),
+    "q_fpgrowth": sql("it", "SELECT items, cnt FROM it"),
+}

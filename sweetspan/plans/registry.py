@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import scalars, sequences
 from ..operators import features, modes, neighbors, rules, validation, windows
+from ..operators.graph import shared_dir, staged
+from ..sources import files
 from . import fixtures as X
 from . import model_queries
 from .base_sql import sql
@@ -35,7 +39,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **model_queries.SQL}
 
 
 def _rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
@@ -75,6 +79,17 @@ def q_ts_compose(spark, d):
     return e.select("event_id", scalars.compose_timestamp(F.col("Date"), F.col("Time")).alias("ts"), scalars.day_of(F.col("Date")).cast("string").alias("day"))
 
 
+@query("SELECT event_id, date_trunc('second', ts) AS ts, CASE WHEN event_type <> 'error' THEN value END AS g FROM events")
+def q_csv_scan(spark, d):
+    """Five of a CSV file's columns, by name; errors are written as NaN and read as null."""
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}.csv"
+    value = F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value"))
+    e = X.events(spark, d).select("props", F.date_format("ts", "M/d/yyyy").alias("Date"), "user_id", F.date_format("ts", "H:m:s").alias("Time"), value.alias("Sensor Glucose (mg/dL)"), "event_type", "event_id")
+    files.write_csv(e, path)
+    schema = StructType([StructField("Date", StringType()), StructField("Time", StringType()), StructField("event_id", LongType()), StructField("Sensor Glucose (mg/dL)", DoubleType())])
+    return files.stamped(files.read_table(spark, path, schema)).select("event_id", F.col("date_time").alias("ts"), F.col("`Sensor Glucose (mg/dL)`").alias("g"))
+
+
 @query(sql("m0", "SELECT wid, CAST(round_even(bolus, 0) AS BIGINT) AS units FROM m0"))
 def q_bolus_round(spark, d):
     return X.raw_meals(spark, d).select("wid", scalars.half_even(F.col("bolus")).cast("long").alias("units"))
@@ -390,24 +405,22 @@ def q_binary_metrics(spark, d):
 
 # Neighbours
 
-_AXES = ["f1_range", "f5_max_slope", "f6_minutes"]
-_NORM = "nm AS (SELECT wid, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in _AXES) + " FROM fv)"
-_DIST = "sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in _AXES) + ")"
+_NORM = "nm AS (SELECT wid, " + ", ".join(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END AS {c}" for c in ALL) + " FROM fv)"
+_DIST = "sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in ALL) + ")"
 
 
 def _points(spark, d):
-    return features.scaled(features.on_missing(X.feature_rows(spark, d)), names=tuple(_AXES)).select("wid", *_AXES)
+    return features.scaled(features.on_missing(X.feature_rows(spark, d)), names=tuple(ALL)).select("wid", *ALL)
 
 
-@query(sql("fv", f"SELECT a.wid AS a, b.wid AS b, round({_DIST}, 6) AS dist FROM nm a JOIN nm b ON {_DIST} <= 0.25", _NORM))
+@query(sql("fv", f"SELECT a.wid AS a, b.wid AS b, round({_DIST}, 6) AS dist FROM nm a JOIN nm b ON {_DIST} <= 1.7", _NORM))
 def q_eps_neighbors(spark, d):
-    return _rounded(neighbors.eps_neighbors(_points(spark, d), _AXES, 0.25), ["dist"])
+    return _rounded(neighbors.eps_neighbors(_points(spark, d), ALL, 1.7), ["dist"])
 
 
-@query(sql("fv", f"SELECT a AS wid, round(max(dist), 6) AS dist FROM (SELECT a.wid AS a, {_DIST} AS dist, row_number() OVER (PARTITION BY a.wid ORDER BY round({_DIST}, 9), a.wid <> b.wid, b.wid) AS k FROM nm a JOIN nm b ON {_DIST} <= 1.7) WHERE k <= 2 GROUP BY a", _NORM))
+@query(sql("fv", f"SELECT a AS wid, round(max(dist), 6) AS dist FROM (SELECT a.wid AS a, {_DIST} AS dist, row_number() OVER (PARTITION BY a.wid ORDER BY round({_DIST}, 9), a.wid <> b.wid, b.wid) AS k FROM nm a, nm b) WHERE k <= 2 GROUP BY a", _NORM))
 def q_knn2(spark, d):
-    names = [*features.NAMES, *features.EXTRA]
-    near = neighbors.nearest(features.scaled(features.on_missing(X.feature_rows(spark, d)), names=tuple(names)).select("wid", *names), names)
+    near = neighbors.nearest(_points(spark, d), ALL)
     return near.groupBy(F.col("a").alias("wid")).agg(F.round(F.max("dist"), 6).alias("dist"))
 
 
@@ -435,16 +448,15 @@ def q_items(spark, d):
     return rules.items(X.transactions(spark, d))
 
 
-_UNITS = [f"insulin_bolus_{k}" for k in range(11)]
-
-
-@query(sql("tx", "SELECT wid, " + ", ".join(f"CAST(insulin_bolus = '{u}' AS INT) AS {u}" for u in _UNITS) + " FROM tx"))
+@query(sql("tx", "SELECT wid, string_agg(CASE WHEN list_contains([b_max, b_meal, insulin_bolus], item) THEN '1' ELSE '0' END, '' ORDER BY item) AS code FROM tx, (SELECT DISTINCT unnest([b_max, b_meal, insulin_bolus]) AS item FROM tx) GROUP BY wid"))
 def q_onehot(spark, d):
-    return rules.one_hot(X.transactions(spark, d), _UNITS)
+    """The 0/1 columns of all items, read as one text, so that the query has the same columns on all data."""
+    wide = rules.one_hot(X.transactions(spark, d))
+    return wide.select("wid", F.concat_ws("", *(F.col(c).cast("string") for c in wide.columns[1:])).alias("code"))
 
 
 def _sets(spark, d):
-    return rules.itemsets(X.transactions(spark, d))
+    return staged(rules.itemsets(X.transactions(spark, d)), "itemsets")
 
 
 def _flat(s: DataFrame) -> DataFrame:
