@@ -372,9 +372,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         chosen = again.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
         base = C.join_lookup(given, repeated, "id", "left_anti", row_bytes=16, spread=F.xxhash64("text")).unionByName(C.stage(chosen, "chosen"))
     index = C.stage(_index(base, size, levels), "index")
-    same = index.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    copies = index.where("n > 0").select("digest", "n", "id").join(same, ["digest", "n"]).where("id <> rep").select("id").distinct()
-    reps = C.join_lookup(index.where("n > 1"), copies, "id", "left_anti", row_bytes=16, spread=F.col("id"))
+    # A set that a third of all documents have is found by a partial aggregation and goes back by a lookup.
+    same = C.stage(index.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "rep"), "same")
+    reps = C.join_lookup(index.where("n > 1"), same, "digest", row_bytes=64, spread=F.col("id")).where("rep IS NULL OR rep = id")
     # The shuffled rows are two numbers: the key, and the id with the level's place as its last bit.
     rows = reps.select("id", "first", F.posexplode("cells").alias("pos", "cell"))
     rows = rows.select("cell", F.shiftleft("id", 1).bitwiseOR((F.col("pos") >= F.col("first")).cast("long")).alias("x"))
@@ -392,8 +392,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     in_cell = in_cell.select("cell", "id", "comp", "below").join(sizes, "id").select("cell", "id", "n", "comp", (F.col("top") - F.col("below")).alias("level"))
     more = C.stage(_linked(C.stage(_candidates(in_cell, points, levels), "pairs"), base, size, num, den), "more")
     near = connected_components(links.unionByName(more))
-    of_set = same.join(near, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
-    out = index.join(of_set, ["digest", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    own = C.join_lookup(index.select("id", "n", "digest"), same, "digest", row_bytes=64, spread=F.col("id")).withColumn("rep", F.coalesce("rep", "id"))
+    classes = C.stage(near.select(F.col("node").alias("rep"), "component"), "near")
+    out = C.join_lookup(own, classes, "rep", row_bytes=32, spread=F.col("id")).select("id", "n", F.coalesce("component", "rep").alias("component"))
     if base is not given:  # each of the repeated rows again
         out = C.join_lookup(given.select(F.col("id"), F.monotonically_increasing_id().alias("row")), C.stage(out, "classes"), "id", spread=F.col("row"))
     alone = _sets(every.where("id IS NULL"), size).select("id", "n", F.lit(None).cast("long").alias("component"))

@@ -343,9 +343,10 @@ def test_counts_of_long_and_short_lines(spark):
     assert passage in out[2]["text"] and out[5]["text"] == body[5] and out[17]["text"] == texts[17]
 
 @pytest.mark.parametrize("num, n", [(8, 566), (8, 58), (8, 1108), (9, 1082)])
-def test_pairs_that_agree_in_empty_segments_alone_share_a_cell(num, n):
+def test_pairs_that_agree_in_empty_segments_alone_share_a_cell(num, n, monkeypatch):
     levels = shingle_join.Levels(num, 10)
     level = levels.of(n)[0]
+    monkeypatch.setattr(levels, "of", lambda _: [level])  # in other levels such a set has far too many empty ones
     assert levels.last[level] == n
     m, apart = levels.segments(level), levels.apart(level)
     assert m == apart + levels.sure(level)
