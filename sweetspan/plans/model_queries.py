@@ -55,6 +55,12 @@ def q_pca_white(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(df).select("wid", *(F.round(vector_to_array("white")[j], 6).alias(f"pc_{j}") for j in range(k)))
 
 
+def q_pca_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-validated log-likelihood of each number of components and share of variance."""
+    found = ml.pca_grid(_scaled(spark, d, ALL), ALL, [3, 4, 6, 7, *phases.KEEPS])
+    return spark.createDataFrame([(float(k), round(s, 6)) for k, s in found], "keep double, likelihood double")
+
+
 def q_svm(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy, precision, recall and F1 of a linear SVM on the held-out share."""
     rows = staged(ml.split(_both(spark, d), "is_meal"), "split")
@@ -142,7 +148,7 @@ def q_fpgrowth(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.array_join(F.sort_array("items"), ",").alias("items"), F.col("freq").alias("cnt"))
 
 
-QUERIES = {f.__name__: f for f in (q_matrix_scan, q_pca, q_pca_white, q_svm, q_svm_grid, q_svm_rbf, q_split, q_predict, q_kmeans, q_dbscan, q_bisect, q_validation, q_elbow, q_silhouette, q_fpgrowth)}
+QUERIES = {f.__name__: f for f in (q_matrix_scan, q_pca, q_pca_white, q_pca_grid, q_svm, q_svm_grid, q_svm_rbf, q_split, q_predict, q_kmeans, q_dbscan, q_bisect, q_validation, q_elbow, q_silhouette, q_fpgrowth)}
 
 _MD5 = "CAST('0x' || left(md5({0} || ':' || wid), 6) AS BIGINT) % 1000 < 800"
 SQL = {

@@ -13,6 +13,8 @@ from ..sources import files
 #: Columns of the pump's and the sensor's files, and the alarm that turns the automatic mode on.
 DATE, TIME, GLUCOSE, ALARM, CARBS, BOLUS = "Date", "Time", "Sensor Glucose (mg/dL)", "Alarm", "BWZ Carb Input (grams)", "BWZ Estimate (U)"
 SWITCH = "AUTO MODE ACTIVE PLGM OFF"
+#: The shares of variance among which the components are chosen.
+KEEPS = [0.90, 0.93, 0.95, 0.96, 0.97, 0.98, 0.99]
 NAMES, ALL = list(features.NAMES), [*features.NAMES, *features.EXTRA]
 
 
@@ -56,7 +58,7 @@ def train(spark: SparkSession, patients: list[tuple[str, str]], out: str) -> dic
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
-    model, known = ml.fit_classifier(staged(rows, "train"), NAMES)
+    model, known = ml.fit_classifier(staged(rows, "train"), NAMES, KEEPS)
     files.save_model(model, known, out)
     return known
 

@@ -111,3 +111,26 @@ def test_the_grid_searches_kernels(spark):
     rows = ml.vectors(spark.createDataFrame([(float(a), float(b), int(a * a + b * b > 1.4)) for a, b in x], "a double, b double, is_meal int").coalesce(1), ["a", "b"])
     frame, model, area, gamma = ml.kernel_grid(rows, ["a", "b"], [2.0], [1.0, "auto"])
     assert gamma in (0.5, 1.0) and area > 0.8 and model.transform(frame(rows)).where("prediction = is_meal").count() > 100
+
+
+def test_components_by_likelihood(spark):
+    random = np.random.default_rng(8)
+    x = random.normal(size=(90, 2)) @ random.normal(size=(2, 4)) + 0.1 * random.normal(size=(90, 4))
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "wid long, a double, b double, c double, d double")
+    fold = {r["wid"]: r["f"] for r in df.select("wid", F.pmod(F.xxhash64("wid"), F.lit(3)).alias("f")).collect()}
+    fold = np.array([fold[k] for k in range(90)])
+    for keep, score in ml.pca_grid(df, names, [1, 2, 3, 4, 0.9]):
+        expected = []
+        for f in range(3):
+            train, test = x[fold != f], x[fold == f]
+            values, axes = np.linalg.eigh(np.cov(train.T))
+            values, axes = values[::-1], axes[:, ::-1]
+            k = keep if keep >= 1 else int(np.argmax(np.cumsum(values) / values.sum() > keep)) + 1
+            cov = axes[:, :k] * values[:k] @ axes[:, :k].T
+            if k < 4:
+                cov = cov + values[k:].mean() * axes[:, k:] @ axes[:, k:].T
+            r = test - train.mean(0)
+            expected.append(np.mean(-0.5 * np.einsum("ij,jk,ik->i", r, np.linalg.inv(cov), r) - 0.5 * np.log(np.linalg.det(2 * np.pi * cov))))
+        assert score == pytest.approx(np.mean(expected))
+    assert max(ml.pca_grid(df, names, [1, 2, 3]), key=lambda y: y[1])[0] >= 2
