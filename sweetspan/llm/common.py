@@ -17,7 +17,7 @@ from ..operators.graph import discard, shared_dir, staged
 
 #: Separators of the words ``[^\x20\x09-\x0D]+``.
 WS = r"[\x20\x09-\x0D]+"
-#: A side is broadcast only while its counted rows times its widest row stay below this.
+#: A side is broadcast only while its measured bytes stay below this.
 BROADCAST_BYTES = 8 << 20
 #: Bytes of an Arrow batch, about.
 ARROW_BYTES = 8 << 20
@@ -91,15 +91,16 @@ def shown(names: dict[str, str]) -> list[Column]:
 
 
 def is_small(df: DataFrame, row_bytes: int) -> bool:
-    """Counts ``df`` and tells whether broadcasting it stays within BROADCAST_BYTES."""
-    most = BROADCAST_BYTES // row_bytes
-    return df.limit(most + 1).count() <= most
+    """Measures ``df`` (texts and binaries by their bytes, a row as ``row_bytes`` at least) and tells whether broadcasting it stays within BROADCAST_BYTES."""
+    long = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    width = F.greatest(F.lit(row_bytes), sum(long, F.lit(16 * len(df.columns))))
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def join_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", row_bytes: int = 512, salts: int = 32, spread: Column | None = None) -> DataFrame:
     """Joins a lookup table (one row a key, nulls equal) to ``big`` by the column ``key``.
 
-    A lookup counted as small is broadcast.  A larger one is copied ``salts``
+    A lookup measured as small is broadcast.  A larger one is copied ``salts``
     times and ``big`` is salted by ``spread``, so that a key with a third of
     all rows is shared by many tasks.
     """
