@@ -208,11 +208,16 @@ class TokenFiles:
                         ids, docs, sizes = [], [], []
             if docs:
                 yield flush()
+            ids, docs, sizes = [], [], []
+            C.give_back()
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pylist([{"kind": 1, "id": int(k), "n": int(total[k])} for k in some], _IDS)
 
-        keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
-        ordered = keyed.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+        # Ranges are found from a sample of the keys; where no id repeats, the ids are enough, and no text is read for it.
+        repeats = not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+        keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")) if repeats else docs
+        keys = ["doc_id", "h", "row"] if repeats else ["doc_id"]
+        ordered = keyed.repartitionByRange(max(1, -(-size // PART_BYTES)), *keys).sortWithinPartitions(*keys)
         return C.stage(ordered.select("doc_id", "text").mapInArrow(run, IDS), "ids")
 
     def write(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
