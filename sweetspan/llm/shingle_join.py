@@ -55,8 +55,8 @@ from .segments import distinct
 
 #: Finest coordinates in a segment; shingles for each coordinate of the bounding points; rows and shingles in a tile.
 FINE, PER_GROUP, TILE, TILE_SHINGLES = 1 << 16, 1, 2000, 4_000_000
-#: Segments that agree at least, where few are empty.
-SURE = 3
+#: Segments that agree at least, where few are empty; documents of a level among which chance is counted.
+SURE, LEVEL_DOCS = 3, 1e9
 _WORDS_KEPT = 500_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -115,20 +115,27 @@ class Levels:
         return (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
     def sure(self, level: int) -> int:
-        """How many segments of a linked pair agree: what makes the fewest cells of the level's smallest documents.
+        """How many segments of a linked pair agree: what costs the level's smallest documents the fewest cells.
 
         More of them are more segments; fewer are more sets of empty ones, of
-        which a document has mean ** sure / sure! if their number is Poisson's.
+        which a document has mean ** sure / sure! if their number is Poisson's,
+        and of which unlike documents share the same by chance: counted among
+        LEVEL_DOCS documents, so that these cells stay small in a large corpus.
         """
         if level not in self._sure:
             apart, n = self.apart(level), self.last[level - 1] + 1
 
             def cost(s: int) -> float:
-                mean = (apart + s) * math.exp(-n / (apart + s))
-                return s + math.exp(min(50.0, s * math.log(mean) - math.lgamma(s + 1))) if mean else float(s)
+                m = apart + s
+                mean = m * math.exp(-n / m)
+                if not mean:
+                    return float(s)
+                sets = s * math.log(mean) - math.lgamma(s + 1)
+                met = math.log(LEVEL_DOCS) + 2 * sets - (math.lgamma(m + 1) - math.lgamma(s + 1) - math.lgamma(m - s + 1))
+                return s + math.exp(min(50.0, sets)) + math.exp(min(50.0, met))
 
             # The cost falls, then rises by one each; a wide grid is enough to come near its least.
-            self._sure[level] = min((SURE + k * k // 4 for k in range(2 * math.isqrt(apart) + 2)), key=cost)
+            self._sure[level] = min((SURE + k * k // 4 for k in range(2 * math.isqrt(apart) + 8)), key=cost)
         return self._sure[level]
 
     def segments(self, level: int) -> int:
