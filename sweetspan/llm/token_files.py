@@ -37,7 +37,7 @@ from . import common as C
 from .segments import SegmentEncoder, slices
 
 #: Longest code; tokens between checkpoints; tokens after which a block ends; text bytes in an output partition.
-LIMIT, CHECKPOINT, BLOCK_TOKENS, PART_BYTES = 16, 1024, 1 << 19, 24 << 20
+LIMIT, CHECKPOINT, BLOCK_TOKENS, PART_BYTES = 16, 256, 1 << 19, 24 << 20
 #: Output partitions whose sizes are summed up together.
 PARTS = 4096
 #: Byte-level BPE cuts before white space that follows anything else.
@@ -89,16 +89,16 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bit stream (big-endian 32-bit words) and the bit offsets of the checkpoints."""
     size = lengths[ids]
-    end = np.cumsum(size)
+    end = np.cumsum(size, dtype=np.int64)
     start = end - size
     words = np.zeros((int(end[-1]) >> 5) + 2 if len(end) else 1, np.uint64)
     if len(ids):
         word = start >> 5
-        value = codes[ids] << (64 - (start & 31) - size).astype(np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        sums = np.add.reduceat(value, first)  # bits don't overlap
-        words[word[first]] += sums >> np.uint64(32)
-        words[word[first] + 1] += sums & np.uint64(0xFFFFFFFF)
+        value = codes[ids] << (64 - (start & 31) - size).view(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        sums, at = np.add.reduceat(value, first), word[first]  # bits don't overlap
+        words[at] += sums >> np.uint64(32)
+        words[at + 1] += sums & np.uint64(0xFFFFFFFF)
     return words.astype(">u4").tobytes(), start[::CHECKPOINT].astype("<u8")
 
 
