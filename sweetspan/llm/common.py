@@ -106,10 +106,12 @@ def join_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", r
     """
     if is_small(small, row_bytes):
         small, on, extra = F.broadcast(small), [], []
+    elif salts <= 1:
+        on, extra = [], []
     else:
         salt = free_name(big, "salt")
         big = big.withColumn(salt, F.pmod(F.xxhash64(spread if spread is not None else F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-        small = small.crossJoin(F.broadcast(big.sparkSession.range(salts).select(F.col("id").cast("int").alias(salt)))) if salts > 1 else small
+        small = small.crossJoin(F.broadcast(big.sparkSession.range(salts).select(F.col("id").cast("int").alias(salt))))
         on, extra = [salt], [salt]
     right = small.select(*(F.col(f"`{c}`").alias(f"__r_{c}") for c in small.columns))
     cond = F.col(f"`{key}`").eqNullSafe(F.col(f"`__r_{key}`"))

@@ -416,7 +416,9 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = join(known, names[doc_id], names[text], size, num, den)
     first = found.where(F.col(names[doc_id]) == F.col("component_id")).select(F.col(names[doc_id]).alias("r_id"))
     twice = C.stage(first.groupBy("r_id").agg(F.count(F.lit(1)).alias("c")), "first")
-    kept = known.join(twice.where("c = 1"), own.cast("long") == F.col("r_id"), "left_semi")
-    again = known.join(twice.where("c > 1").select("r_id"), own.cast("long") == F.col("r_id"))
-    least = again.groupBy("r_id").agg(F.min_by(F.struct(*names.values()), F.struct(F.xxhash64(content), content)).alias("x")).select("x.*")
-    return kept.unionByName(least).unionByName(hidden.where(own.isNull())).select(*C.shown(names))
+    keyed = known.withColumn("r_id", own.cast("long"))
+    kept = C.join_lookup(keyed, twice.where("c = 1").select("r_id"), "r_id", "left_semi", row_bytes=16, salts=1).drop("r_id")
+    if not twice.where("c > 1").isEmpty():
+        again = C.join_lookup(keyed, twice.where("c > 1").select("r_id"), "r_id", "left_semi", row_bytes=16, spread=F.xxhash64(content))
+        kept = kept.unionByName(again.groupBy("r_id").agg(F.min_by(F.struct(*names.values()), F.struct(F.xxhash64(content), content)).alias("x")).select("x.*"))
+    return kept.unionByName(hidden.where(own.isNull())).select(*C.shown(names))
