@@ -44,13 +44,13 @@ class SegmentEncoder:
     string's ids are dealt out again.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str], list[str]], list[list[int]]], joins: Callable[[pa.Array], np.ndarray], widths: np.ndarray, quick: tuple[tuple[str, ...], tuple[str, ...], str] | None = None, final: Callable[[str], str] | None = None, most: int = MOST_SEGMENTS):
+    def __init__(self, pattern: str, encode: Callable[[list[str], list[str]], list[list[int]]], joins: Callable[[pa.Array], np.ndarray], widths: np.ndarray, quick: tuple[tuple[str, ...], tuple[str, ...], str] | None = None, final: Callable[[str], str] | None = None, most: int = MOST_SEGMENTS, together: int = TOGETHER):
         """``quick``: characters before which plain texts are cut, those that are cut out, and what plain texts don't match.
 
-        ``final`` makes a segment of the quick way one of the pattern's.
+        ``final`` makes a segment of the quick way one of the pattern's; ``together`` segments are joined in one string.
         """
         self._find, self._iter = re.compile(pattern).findall, re.compile(pattern).finditer
-        self._encode, self._joins, self._widths, self._most, self._quick, self._final = encode, joins, widths, most, quick, final
+        self._encode, self._joins, self._widths, self._most, self._quick, self._final, self._together = encode, joins, widths, most, quick, final, together
         self._reset()
 
     def _reset(self) -> None:
@@ -78,7 +78,7 @@ class SegmentEncoder:
         column = pa.array(new, pa.string())
         flags, sizes = self._joins(column), pc.binary_length(column).to_numpy()
         joint, alone = np.flatnonzero(flags), np.flatnonzero(~flags)
-        groups = [joint[k : k + TOGETHER] for k in range(0, len(joint), TOGETHER)]
+        groups = [joint[k : k + self._together] for k in range(0, len(joint), self._together)]
         for group, ids in zip([*groups, *alone[:, None]], self._encode(["".join([new[k] for k in group]) for group in groups], [new[k] for k in alone]), strict=True):
             ids = np.array(ids, np.uint32)
             if len(group) == 1:

@@ -141,7 +141,7 @@ def byte_level_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.n
     for piece, k in vocabulary.items():
         widths[k] = len(piece)  # one character a byte
     by_segment = SegmentEncoder(
-        BYTE_LEVEL, lambda joint, alone: [x.ids for x in batch(joint + alone, add_special_tokens=False)], lambda c: pc.match_substring_regex(c, r"^[ \n][!-~\pL]").to_numpy(zero_copy_only=False), widths, quick=((" ", "\n"), (), _NOT_PLAIN)
+        BYTE_LEVEL, lambda joint, alone: [x.ids for x in batch(joint + alone, add_special_tokens=False)], lambda c: pc.match_substring_regex(c, r"^[ \n][!-~\pL]").to_numpy(zero_copy_only=False), widths, quick=((" ", "\n"), (), _NOT_PLAIN), together=256
     )
 
     def slow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ class TokenFiles:
 
             for batch in batches:
                 own = batch.column(0).to_pylist()
-                for row, texts in slices(batch.column(1)):
+                for row, texts in slices(batch.column(1), 8 << 20):
                     found, n = encode(texts)
                     n = n + 1
                     with_end = np.full(int(n.sum()), end_id, np.uint32)
