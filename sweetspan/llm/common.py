@@ -23,10 +23,10 @@ BROADCAST_BYTES = 8 << 20
 ARROW_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession, arrow_bytes: int = ARROW_BYTES) -> None:
     """Sends this package to the executors' Python workers, once for an application, and bounds Arrow batches."""
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(arrow_bytes))
     if getattr(sc, "_shipped_package", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
