@@ -166,7 +166,7 @@ class TokenFiles:
 
     def __init__(self, spark: SparkSession, root: str, tokenizer: str, end_id: int = 0):
         self.spark, self.root, self.tokenizer, self.end_id = spark, root.rstrip("/"), tokenizer, end_id
-        C.ship(spark, 2 * C.ARROW_BYTES)  # so that few slices end with their batch
+        C.ship(spark)
 
     def _tokenised(self, docs: DataFrame) -> DataFrame:
         """Blocks of ids in ascending order of documents (kind 0), and counts of ids (kind 1)."""
