@@ -116,4 +116,39 @@ SELECT x.doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n_
 FROM documents x LEFT JOIN r ON x.doc_id = r.doc_id
 """
 
-SQL = {"op2_url_filter": URLS, "op3_quality_rules": QUALITY, "op5_mixing": MIXING, "op8_line_templates": LINES}
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"regexp_extract_all(translate(text, {_LETTERS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS l FROM n),
+t AS MATERIALIZED (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+q AS MATERIALIZED (SELECT item_id, term, CAST(count(*) AS BIGINT) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+w AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t, s GROUP BY term, nd),
+i AS (SELECT t.doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))) AS impact FROM t JOIN w ON t.term = w.term JOIN n ON t.doc_id = n.doc_id, s),
+x AS (SELECT item_id, doc_id, CAST(sum(c * impact) AS BIGINT) AS score FROM q JOIN i ON q.term = i.term GROUP BY item_id, doc_id HAVING sum(c * impact) > 0),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM x)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds over integers, unrolled."""
+    parts = [
+        "kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64e0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h LIMIT {k}))",
+    ]
+    distance = "CAST(list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    for r in range(rounds + 1):
+        parts.append(f"m{r} AS MATERIALIZED (SELECT vec_id, any_value(x.v) AS v, min({distance} * {k} + y.c) AS m FROM kept x, c{r} y GROUP BY vec_id)")
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, CAST(m % {k} AS INT) AS cluster, CAST(m // {k} AS BIGINT) AS distance FROM m{r})")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT cluster, i, sum(f) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS f, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i)")
+            parts.append(f"f{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY cluster)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(f{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN f{r} ON c = cluster)")
+    last = f"SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON cluster = c"
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
+SQL = {"op2_url_filter": URLS, "op3_quality_rules": QUALITY, "op5_mixing": MIXING, "op8_line_templates": LINES, "op11_yinyang": _clusters(), "op13_impact_search": SEARCH}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import lattice, line_templates, mixing, pieces, quality_rules, shards, shingle_join, token_files, tree_weighting, url_filter
+from . import impact_search, lattice, line_templates, mixing, pieces, quality_rules, shards, shingle_join, skip_chain, token_files, tree_weighting, url_filter, yinyang
 
 #: The rules that the URL query judges by: (host, path prefix, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -93,7 +93,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.documents()
 
 
-OPERATORS = [op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op6_ngram_jaccard, op7_tree_weighting, op8_line_templates, op9_lattice, op10_token_files]
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distances and final centroid of every vector: 16 centroids, three rounds."""
+    return yinyang.clustered(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64.0)
+
+
+def op12_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the patterns' spans, and all spans."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return skip_chain.digest(skip_chain.find(docs).drop("text"))
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return impact_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+OPERATORS = [op1_sentencepiece, op2_url_filter, op3_quality_rules, op4_sharding, op5_mixing, op6_ngram_jaccard, op7_tree_weighting, op8_line_templates, op9_lattice, op10_token_files, op11_yinyang, op12_skip_chain, op13_impact_search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

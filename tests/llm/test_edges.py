@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sweetspan.llm import lattice, line_templates, mixing, pieces, quality_rules, registry, shards, shingle_join, token_files, tree_weighting, url_filter
+from sweetspan.llm import lattice, line_templates, mixing, pieces, quality_rules, registry, shards, shingle_join, skip_chain, token_files, tree_weighting, url_filter
 
 #: Names that operators use inside, or give their results.
 CLASHING = ["kept", "KEY", "pos", "doc", "row", "id", "component_id", "m_row", "m_key", "h", "bucket", "n_words", "n_lines", "drop", "salt", "rule", "n_pieces", "text_md5", "leaf"]
@@ -58,6 +58,7 @@ OPERATORS = {
     "tree": (lambda df: tree_weighting.score(df, F.col("doc_id") == 2, across=True), False),
     "lines": (lambda df: line_templates.clean(df), True),
     "tokens": (_tokens, False),
+    "spans": (lambda df: skip_chain.find(df), True),
     "urls": (lambda df: url_filter.judge(df, registry.URL_RULES, url="text"), True),
     "urls in parts": (lambda df: url_filter.judge_in_parts(df, df.sparkSession.createDataFrame(registry.URL_RULES, "host string, path string, verdict string"), url="text"), True),
 }
