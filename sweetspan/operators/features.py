@@ -80,21 +80,24 @@ def on_missing(f: DataFrame, how: str = "skip", names: tuple[str, ...] = NAMES,
     raise ValueError(f"unknown way {how!r}")
 
 
-def fill_rows(f: DataFrame, names: tuple[str, ...], order: str = "wid", buckets: int = 64) -> DataFrame:
+def fill_rows(f: DataFrame, names: tuple[str, ...], order: str = "wid", rows: int = 100_000, most: int = 4096) -> DataFrame:
     """Forward, then backward fill of columns down the rows, ordered by ``order``.
 
-    Rows are dealt to ranges of ``order``; each range is filled on its own, and
+    Rows are dealt to ranges of ``order`` with about ``rows`` rows each, cut at its
+    quantiles, however its values are spread; each range is filled on its own, and
     what a range needs from outside comes from the last and first values of the
     ranges before and after it, so no task holds all rows.
     """
     from pyspark.sql import Window
 
-    bounds = f.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    part = F.floor((F.col(order) - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
-    df = f.crossJoin(F.broadcast(bounds)).withColumn("_part", part).drop("_lo", "_hi")
+    buckets = min(most, max(8, f.count() // rows))
+    cuts = f.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    df = f.withColumn("_part", part)
     down, up = Window.partitionBy("_part").orderBy(order), Window.partitionBy("_part").orderBy(F.col(order).desc())
     ends = df.groupBy("_part").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_e_{c}") for c in names), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_s_{c}") for c in names))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     after = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(F.col("_part").alias("_of"), *(F.last(f"_e_{c}", True).over(before).alias(f"_b_{c}") for c in names), *(F.last(f"_s_{c}", True).over(after).alias(f"_a_{c}") for c in names))
     df = df.join(F.broadcast(ends), F.col("_part") == F.col("_of"))

@@ -1,4 +1,4 @@
-"""Transactions, itemsets and association rules over three attributes."""
+"""Transactions over three attributes, itemsets of these or of any baskets, and association rules."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_of, half_even, item, item_number
+from .graph import discard, staged
 
 ATTRIBUTES = ("b_max", "b_meal", "insulin_bolus")
 MEAL_SLOT, BIN = 10, 20.0
@@ -58,6 +59,50 @@ def itemsets(tx: DataFrame, min_support: float = 0.005, attributes: tuple[str, .
     return out.select("items", F.size("items").cast("long").alias("n_items"), "cnt", (F.col("cnt") / F.col("total")).alias("support"))
 
 
+def apriori(baskets: DataFrame, min_support: float = 0.005, max_items: int | None = None) -> DataFrame:
+    """(items, n_items, cnt, support) of all frequent itemsets of baskets of any length, given as rows (tid, item).
+
+    Level by level: frequent sets that share all but their last item make a
+    candidate, which stays if all its subsets are frequent; a basket holds it if it
+    holds the two it was made of, so counting is a join of the level's rows (tid,
+    set) with themselves by basket, partially aggregated before the shuffle.
+    Rows without an item make no set, but their baskets count.
+    """
+    rows = staged(baskets.select("tid", F.col("item").cast("string").alias("item")).distinct(), "baskets")
+    total = rows.select("tid").distinct().count()
+    least = min_support * total
+    ones = rows.where("item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
+    level = staged(ones.select(F.array("item").alias("items"), "cnt", F.monotonically_increasing_id().alias("sid")), "level")
+    held = staged(_looked_up(rows.withColumn("items", F.array("item")), level.select("items", "sid"), "items").select("tid", "sid"), "held")
+    out, n = level, 1
+    while (max_items is None or n < max_items) and not level.isEmpty():
+        a = level.select(F.slice("items", 1, n - 1).alias("head") if n > 1 else F.array().cast("array<string>").alias("head"), F.element_at("items", -1).alias("a"), F.col("sid").alias("left"))
+        b = a.select("head", F.col("a").alias("b"), F.col("left").alias("right"))
+        made = a.join(b, "head").where("a < b").select(F.concat("head", F.array("a", "b")).alias("items"), "left", "right")
+        if n > 1:  # the two it is made of lack its last items; the other subsets are looked up
+            others = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda k: F.filter("items", lambda _, i: i != k))
+            parts = made.select("items", F.explode(others).alias("part")).join(level.select(F.col("items").alias("part")), "part", "left_semi")
+            made = made.join(parts.groupBy("items").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == n - 1).select("items"), "items")
+        made = staged(made.select("items", "left", "right", F.monotonically_increasing_id().alias("sid")), "candidates")
+        ways = _looked_up(held.withColumnRenamed("sid", "left"), made.select("left", "right", "sid"), "left")
+        both = ways.join(held.select("tid", F.col("sid").alias("right")), ["tid", "right"]).select("tid", "sid")
+        counts = staged(both.groupBy("sid").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least), "counts")
+        level = staged(made.join(counts, "sid").select("items", "cnt", "sid"), "level")
+        old, held, n = held, staged(_looked_up(both, counts.select("sid"), "sid"), "held"), n + 1
+        discard(old)
+        out = out.unionByName(level)
+    return out.select("items", F.size("items").cast("long").alias("n_items"), "cnt", (F.col("cnt") / F.lit(float(total or 1))).alias("support"))
+
+
+def _looked_up(big: DataFrame, small: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
+    """Inner join with a lookup, broadcast while it is counted as small; beyond that both sides are salted, as few keys may hold most rows."""
+    if small.count() <= rows:
+        return big.join(F.broadcast(small), key)
+    salts = 16
+    copies = small.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(salts)))))
+    return big.withColumn("salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(copies, [key, "salt"]).drop("salt")
+
+
 def rules(sets: DataFrame, min_confidence: float = 0.0004) -> DataFrame:
     """All splits of the frequent itemsets: antecedent, consequent and the five measures."""
     whole = sets.where("n_items > 1").select("items", F.col("support").alias("support"))

@@ -19,9 +19,18 @@ def positive(df: DataFrame, amount: str) -> DataFrame:
 
 
 def dedupe_meals(meals: DataFrame, keys: list[str], ts: str = "ts", tie: str = "wid", hours: int = 4) -> DataFrame:
-    """Meals that no other meal of the group follows within ``hours`` (exactly then is no follower)."""
-    following = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts, tie))
-    return meals.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") >= F.col(ts) + F.expr(f"INTERVAL {hours} HOURS"))).drop("_next")
+    """Meals that no other meal of the group follows within ``hours`` (exactly then is no follower).
+
+    A follower is looked for in the meal's own day (or as many hours as ``hours``) and, by that
+    one's first meal, in the next, so a task holds some days of a series, never all of it.
+    """
+    width = max(24, hours) * 60 * MINUTE
+    rows = meals.withColumn("_day", F.floor(micros(F.col(ts)) / width)).withColumn("_own", F.lit(True))
+    first = rows.groupBy(*keys, "_day").agg(F.min(F.struct(ts, tie)).alias("_f"))
+    first = first.select(*keys, (F.col("_day") - 1).alias("_day"), F.col(f"_f.{ts}").alias(ts), F.col(f"_f.{tie}").alias(tie), F.lit(False).alias("_own"))
+    following = F.lead(ts).over(Window.partitionBy(*keys, "_day").orderBy(ts, tie))
+    out = rows.unionByName(first, allowMissingColumns=True).withColumn("_next", following).where("_own")
+    return out.where(F.col("_next").isNull() | (F.col("_next") >= F.col(ts) + F.expr(f"INTERVAL {hours} HOURS"))).drop("_next", "_own", "_day")
 
 
 def _before(value: str, order) -> Column:

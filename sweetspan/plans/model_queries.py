@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, ml, neighbors, rules, validation, windows
+from ..operators import features, kernels, ml, neighbors, rules, validation, windows
 from ..operators.graph import shared_dir, staged
 from ..sources import files
 from . import fixtures as X
@@ -17,8 +17,9 @@ from . import phases
 from .base_sql import sql
 
 NAMES = list(features.NAMES)
-COSTS = [1.1, 1.25, 1.5, 2.0, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0]
-GAMMAS = [1.0, 0.1, 0.01, 0.001, 0.0001, 0.00001, "scale", "auto"]
+COSTS, GAMMAS = phases.COSTS, phases.GAMMAS
+#: Numbers of components among which one is chosen.
+COMPONENTS = [3, 4, 6, 7]
 ALL = [*features.NAMES, *features.EXTRA]
 
 
@@ -57,7 +58,7 @@ def q_pca_white(spark: SparkSession, d: str) -> DataFrame:
 
 def q_pca_grid(spark: SparkSession, d: str) -> DataFrame:
     """Cross-validated log-likelihood of each number of components and share of variance."""
-    found = ml.pca_grid(_scaled(spark, d, ALL), ALL, [3, 4, 6, 7, *phases.KEEPS])
+    found = ml.pca_grid(_scaled(spark, d, ALL), ALL, [*COMPONENTS, *phases.KEEPS])
     return spark.createDataFrame([(float(k), round(s, 6)) for k, s in found], "keep double, likelihood double")
 
 
@@ -68,17 +69,20 @@ def q_svm(spark: SparkSession, d: str) -> DataFrame:
     return validation.binary_metrics(model.transform(rows.where("NOT is_train")), "is_meal", "prediction")
 
 
+def _measured(found: kernels.Machine, test: DataFrame) -> DataFrame:
+    return validation.binary_metrics(found.step(NAMES).transform(test), "is_meal", "prediction")
+
+
 def q_svm_grid(spark: SparkSession, d: str) -> DataFrame:
     """The measures of the best of all costs, kernels and gammas on the held-out share."""
     rows = staged(ml.split(_both(spark, d), "is_meal"), "split")
-    frame, model, _, _ = ml.kernel_grid(rows.where("is_train"), NAMES, COSTS, GAMMAS, folds=3)
-    return validation.binary_metrics(model.transform(frame(rows.where("NOT is_train"))), "is_meal", "prediction")
+    return _measured(kernels.grid(rows.where("is_train"), NAMES, COSTS, GAMMAS, folds=3), rows.where("NOT is_train"))
 
 
 def q_svm_rbf(spark: SparkSession, d: str) -> DataFrame:
-    rows = staged(ml.split(ml.fourier_features(_both(spark, d), NAMES, 1 / len(NAMES)), "is_meal"), "split")
-    model = ml.linear_svm(rows.where("is_train"), column="rff")
-    return validation.binary_metrics(model.transform(rows.where("NOT is_train")), "is_meal", "prediction")
+    """The same of one RBF machine."""
+    rows = staged(ml.split(_both(spark, d), "is_meal"), "split")
+    return _measured(kernels.grid(rows.where("is_train"), NAMES, [1.0], ["auto"], folds=1, linear=False), rows.where("NOT is_train"))
 
 
 def q_split(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +105,7 @@ def q_predict(spark: SparkSession, d: str) -> DataFrame:
 
 def _k6(spark: SparkSession, d: str) -> DataFrame:
     df = _scaled(spark, d, ALL)
-    return ml.kmeans(df, 6)[0]
+    return ml.kmeans(df, ALL, 6)[0]
 
 
 def q_kmeans(spark: SparkSession, d: str) -> DataFrame:
@@ -112,24 +116,29 @@ def q_dbscan(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.dbscan(_scaled(spark, d, ALL), ALL, eps=1.7, min_samples=4)
 
 
-def _bins(df: DataFrame) -> DataFrame:
-    low = df.agg(F.min("carbs").alias("low"))
-    return df.crossJoin(F.broadcast(low)).withColumn("bin", ((F.col("carbs") - F.col("low")) / 20.0).cast("int")).drop("low")
+def _bins(df: DataFrame, carbs: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` with bins of carbs, and how many there are, both counted from all windows."""
+    low, n = carbs.agg(F.min("carbs").alias("low")), rules.n_bins(carbs, "carbs").first()["n_bins"]
+    return df.crossJoin(F.broadcast(low)).withColumn("bin", ((F.col("carbs") - F.col("low")) / rules.BIN).cast("int")).drop("low"), n or 1  # one row
 
 
-def q_bisect(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters, the worst halved until there are as many as bins of carbs."""
+def _density(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scaled rows with bins; and their density clusters (noise is 0), the worst halved until there are as many as bins."""
     df = _scaled(spark, d, ALL)
-    n = rules.n_bins(df, "carbs").first()["n_bins"] or 1
+    df, n = _bins(df, X.whole(spark, d))
     marked = df.join(neighbors.dbscan(df, ALL), "wid").withColumn("cluster", F.col("cluster") + 1)
-    return ml.bisect_to(staged(marked, "marked"), n, ALL).select("wid", "cluster")
+    return df, ml.bisect_to(staged(marked, "marked"), n, ALL)
+
+
+def q_bisect(spark: SparkSession, d: str) -> DataFrame:
+    """Density clusters, the worst halved until there are as many as bins of carbs."""
+    return _density(spark, d)[1].select("wid", "cluster")
 
 
 def q_validation(spark: SparkSession, d: str) -> DataFrame:
-    """SSE, entropy and purity of both clusterings."""
-    df = _bins(_scaled(spark, d, ALL))
-    km = ml.validation_row(ml.kmeans(df, 6)[0], ALL)
-    db = ml.validation_row(df.join(neighbors.dbscan(df, ALL), "wid"), ALL)
+    """SSE, entropy and purity of both clusterings, the density clusters halved."""
+    df, halved = _density(spark, d)
+    km, db = ml.validation_row(ml.kmeans(df, ALL, 6)[0], ALL), ml.validation_row(halved, ALL)
     return spark.createDataFrame([(*(km[k] for k in ("sse", "entropy", "purity")), *(db[k] for k in ("sse", "entropy", "purity")))], "kmeans_sse double, kmeans_entropy double, kmeans_purity double, dbscan_sse double, dbscan_entropy double, dbscan_purity double")
 
 
@@ -138,7 +147,7 @@ def q_elbow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_silhouette(spark: SparkSession, d: str) -> DataFrame:
-    return ml.silhouettes(_scaled(spark, d, ALL))
+    return ml.silhouettes(_scaled(spark, d, ALL), ALL)
 
 
 def q_fpgrowth(spark: SparkSession, d: str) -> DataFrame:

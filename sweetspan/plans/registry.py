@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import scalars, sequences
-from ..operators import features, modes, neighbors, rules, validation, windows
+from ..operators import features, lloyd, modes, neighbors, rules, validation, windows
 from ..operators.graph import shared_dir, staged
 from ..sources import files
 from . import fixtures as X
@@ -424,9 +424,43 @@ def q_knn2(spark, d):
     return near.groupBy(F.col("a").alias("wid")).agg(F.round(F.max("dist"), 6).alias("dist"))
 
 
+_STAND_IN = "nc AS (SELECT nm.*, CAST(wid % 6 AS INT) AS cluster, count(*) OVER (PARTITION BY wid % 6) AS n_c FROM nm)"
+_MEAN_DISTANCE = f"di AS (SELECT a.wid, a.cluster, b.cluster AS other, any_value(a.n_c) AS own_n, CASE WHEN a.cluster = b.cluster THEN sum({_DIST}) / greatest(any_value(a.n_c) - 1, 1) ELSE sum({_DIST}) / count(*) END AS dist FROM nc a, nc b GROUP BY a.wid, a.cluster, b.cluster)"
+
+
+@query(sql("fv", "SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (SELECT wid, max(own_n) AS n, max(dist) FILTER (WHERE cluster = other) AS a, min(dist) FILTER (WHERE cluster <> other) AS b FROM di GROUP BY wid)", _NORM, _STAND_IN, _MEAN_DISTANCE))
+def q_silhouette_score(spark, d):
+    """The silhouette of stand-in clusters, by Euclidean distance."""
+    marked = _points(spark, d).withColumn("cluster", (F.col("wid") % 6).cast("int"))
+    return lloyd.silhouette(marked, ALL, ["cluster"]).select(F.round("silhouette", 6).alias("silhouette"))
+
+
 # Transactions and rules
 
 
+def _basket_sql() -> str:
+    """All itemsets of up to four items with at least 5 % of the orders, by joins of the baskets with themselves."""
+    parts = [
+        "l AS MATERIALIZED (SELECT DISTINCT l_orderkey AS tid, unnest(['flag ' || l_returnflag, 'status ' || l_linestatus, 'quantity ' || CAST(floor(l_quantity / 10) AS INT), 'discount ' || CAST(round(l_discount * 100) AS INT)]) AS item FROM lineitem)",
+        "t AS (SELECT count(DISTINCT tid) AS total FROM l)",
+        "o AS MATERIALIZED (SELECT * FROM l WHERE item IN (SELECT item FROM l GROUP BY item HAVING count(*) >= 0.05 * (SELECT total FROM t)))",
+        "s1 AS (SELECT tid, item AS items, item AS last FROM o)",
+    ]
+    parts += [f"s{n} AS (SELECT s.tid, items || ',' || item AS items, item AS last FROM s{n - 1} s JOIN o ON s.tid = o.tid AND item > last)" for n in (2, 3, 4)]
+    every = " UNION ALL ".join(f"SELECT items, CAST({n} AS BIGINT) AS n_items, count(*) AS cnt FROM s{n} GROUP BY items" for n in (1, 2, 3, 4))
+    return "WITH " + ",\n".join(parts) + f"\nSELECT items, n_items, cnt, round(cnt / total, 6) AS support FROM ({every}), t WHERE cnt >= 0.05 * total"
+
+
+@query(_basket_sql())
+def q_apriori(spark, d):
+    """Frequent itemsets of baskets of any length: what the lines of an order have."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    named = lambda kind, value: F.concat(F.lit(f"{kind} "), value.cast("string"))
+    things = [named("flag", F.col("l_returnflag")), named("status", F.col("l_linestatus")), named("quantity", F.floor(F.col("l_quantity") / 10).cast("int")), named("discount", F.round(F.col("l_discount") * 100).cast("int"))]
+    baskets = lines.select(F.col("l_orderkey").alias("tid"), F.explode(F.array(*things)).alias("item"))
+    return _flat(rules.apriori(baskets, 0.05, 4))
+
+
 @query(sql("o", "SELECT low, high FROM o"))
 def q_bin_origin(spark, d):
     return rules.bin_origin(windows.complete(X.meal_windows(spark, d), windows.MEAL), "bolus")

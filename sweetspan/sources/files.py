@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.scalars import compose_timestamp, day_of, nan_to_null
+from .sheets import read_sheet
 
 
 def missing_as_null(df: DataFrame) -> DataFrame:
@@ -37,21 +38,15 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, t
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None, sheet: int | str = 0) -> DataFrame:
-    """A table by its extension: .csv (with header), .parquet, or .xls/.xlsx where a reader is installed; NaN becomes null."""
+    """A table by its extension: .csv (with header), .parquet or .xlsx (the first sheet, or one by place or name); NaN becomes null."""
     lower = path.lower().rstrip("/")
     if lower.endswith(".csv"):
         return missing_as_null(read_csv(spark, path, schema))
     if lower.endswith(".parquet"):
         return missing_as_null(spark.read.parquet(path))
-    if lower.endswith((".xls", ".xlsx")):
-        try:
-            import openpyxl  # noqa: F401
-        except ImportError as gone:
-            raise RuntimeError("spreadsheets need the openpyxl package") from gone
-        import pandas as pd
-
-        return missing_as_null(spark.createDataFrame(pd.read_excel(path, sheet_name=sheet), schema))
-    raise ValueError(f"no reader for {path!r}: .csv, .parquet, .xls and .xlsx are known")
+    if lower.endswith(".xlsx"):
+        return missing_as_null(read_sheet(spark, path, schema, sheet))
+    raise ValueError(f"no reader for {path!r}: .csv, .parquet and .xlsx are known")
 
 
 def stamped(df: DataFrame, date: str = "Date", time: str = "Time", fmt: str = "M/d/yyyy H:m:s", name: str = "date_time") -> DataFrame:

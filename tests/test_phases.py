@@ -119,7 +119,8 @@ def test_range_metrics_from_file_to_file(spark, device, tmp_path):
 
 def test_train_then_predict_a_headerless_file(spark, device, tmp_path):
     cgm, insulin, _, _ = device
-    known = phases.train(spark, [(cgm, insulin), (cgm, insulin)], str(tmp_path / "model"))
+    known = phases.train(spark, [(cgm, insulin), (cgm, insulin)], str(tmp_path / "model"), [1.1, 6.0], [0.1, "auto"])
+    assert known["kernel"] in ("linear", "rbf") and known["C"] in (1.1, 6.0) and known["keep"] in phases.KEEPS and known["whiten"] in (True, False) and 0 < known["f1"] <= 1
     assert known["features"] == list(features.NAMES) and set(known["feature_mean"]) == set(features.NAMES)
     slots = np.arange(30)
     unseen = [120 + 90 * np.exp(-(((slots - c) / 6) ** 2)) + np.random.default_rng(c).normal(0, 8, 30) for c in (14, 16, 18, 20)] + [np.full(30, 110.0)]
@@ -144,3 +145,68 @@ def test_prefix_and_console(spark, capsys):
     assert [r["x"] for r in files.prefix(df, 2, "x").collect()] == [1, 2]
     files.write_console(df)
     assert "1 columns" in capsys.readouterr().out
+
+
+def _meals(tmp_path):
+    """Ten meals, one a day, with 31 readings each: the fourth has 5 missing ones, the fifth 6, the sixth is flat and the largest."""
+    random, readings, meals = np.random.default_rng(2), [], []
+    stamp = lambda t: (f"{t.month}/{t.day}/{t.year}", f"{t.hour}:{t.minute:02}:{t.second:02}")
+    values = []
+    for k in range(10):
+        noon = START + dt.timedelta(days=k, hours=12)
+        meals.append((*stamp(noon), 300 if k == 5 else 10 + 9 * k, 1.0 + k))
+        own = [None if k in (3, 4) and 4 <= j < 6 + k else 100.0 if k == 5 else round(float(120 + 30 * math.sin(j / 2 + k) + random.normal(0, 9)), 1) for j in range(31)]
+        values.append(own)
+        readings += [(*stamp(noon + dt.timedelta(minutes=5 * j - 30)), "" if g is None else g) for j, g in enumerate(own)]
+    cgm, insulin = str(tmp_path / "CGM.csv"), str(tmp_path / "Insulin.csv")
+    _write(cgm, [phases.DATE, phases.TIME, phases.GLUCOSE], readings)
+    _write(insulin, [phases.DATE, phases.TIME, phases.CARBS, phases.ALARM, phases.BOLUS], [(d, t, c, "", b) for d, t, c, b in meals])
+    return cgm, insulin, values
+
+
+def test_clustered_windows_have_few_missing_readings_and_bins_of_all(spark, tmp_path):
+    cgm, insulin, values = _meals(tmp_path)
+    rows, n = phases.cluster_rows(spark, cgm, insulin)
+    got = {int(r["carbs"]): r for r in rows.collect()}
+    assert n == math.ceil((300 - 10) / 20) and 10 + 9 * 3 in got and 10 + 9 * 4 not in got and 300 not in got
+    assert set(got) <= {10 + 9 * k for k in range(10) if k not in (4, 5)}
+    assert all(r["bin"] == int((c - 10) / 20) for c, r in got.items())
+    ranges = {}
+    for k, own in enumerate(values):
+        known = [g for g in own[:30] if g is not None]
+        ranges[10 + 9 * k] = max(known + [np.mean([*known, 10 + 9 * k])]) - min(known + [np.mean([*known, 10 + 9 * k])]) if None in own else max(known) - min(known)
+    spread = np.array([ranges[c] for c in sorted(got)])
+    assert [got[c]["f1_range"] for c in sorted(got)] == pytest.approx((spread - spread.mean()) / spread.std())
+
+
+def test_a_missing_reading_leaves_no_spectrum(spark):
+    wave = [120 + 30 * math.sin(j / 2) + 11 * math.sin(2.1 * j) + 9 * math.sin(4 * j) for j in range(30)]
+    df = spark.createDataFrame([(1, 30, wave), (2, 30, [None, *wave[1:]])], "wid long, n_rows long, v array<double>")
+    found = {r["wid"]: r for r in features.features(df, 30).collect()}
+    assert found[1]["f4_peak_3"] is not None and found[2]["f4_peak_1"] is None and found[2]["f1_range"] is not None
+
+
+def test_meals_without_a_key_are_deduped_by_days(spark):
+    start = dt.datetime(2020, 1, 1)
+    random = np.random.default_rng(4)
+    hours = sorted({0.0, 20.0, 23.999, 24.0, 27.999, 28.0, 47.5, 51.5, 51.4999, 100.0, 103.0, *random.uniform(110, 600, 120).round(3)})
+    rows = [(k, start + dt.timedelta(hours=h)) for k, h in enumerate(hours)] + [(900, start + dt.timedelta(hours=100)), (901, start - dt.timedelta(hours=2))]
+    df = spark.createDataFrame(rows, "wid long, ts timestamp_ntz")
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = {a[0] for a, b in zip(order, [*order[1:], None], strict=True) if b is None or b[1] >= a[1] + dt.timedelta(hours=4)}
+    out = windows.dedupe_meals(df, [])
+    assert {r["wid"] for r in out.collect()} == want and out.columns == df.columns
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_unevenly_spread_ids_are_filled_in_even_ranges(spark):
+    random = np.random.default_rng(6)
+    ids = sorted({int(2 ** (k / 5)) * 1000 + k for k in range(200)})
+    values = [None if random.random() < 0.6 else float(k) for k in range(len(ids))]
+    df = spark.createDataFrame(list(zip(ids, values, strict=True)), "wid long, x double").repartition(4)
+    got = {r["wid"]: r["x"] for r in features.fill_rows(df, ("x",)).collect()}
+    first = next(v for v in values if v is not None)
+    last = first
+    for k, v in zip(ids, values, strict=True):
+        last = v if v is not None else last
+        assert got[k] == last

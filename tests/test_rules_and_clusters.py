@@ -105,14 +105,6 @@ def test_two_nearest_have_no_radius(spark):
     assert [r["dist"] for r in neighbors.nearest(df.where("wid = 2"), ["x", "y"]).collect()] == [0.0]
 
 
-def test_the_grid_searches_kernels(spark):
-    random = np.random.default_rng(3)
-    x = random.normal(size=(120, 2))
-    rows = ml.vectors(spark.createDataFrame([(float(a), float(b), int(a * a + b * b > 1.4)) for a, b in x], "a double, b double, is_meal int").coalesce(1), ["a", "b"])
-    frame, model, area, gamma = ml.kernel_grid(rows, ["a", "b"], [2.0], [1.0, "auto"])
-    assert gamma in (0.5, 1.0) and area > 0.8 and model.transform(frame(rows)).where("prediction = is_meal").count() > 100
-
-
 def test_components_by_likelihood(spark):
     random = np.random.default_rng(8)
     x = random.normal(size=(90, 2)) @ random.normal(size=(2, 4)) + 0.1 * random.normal(size=(90, 4))
