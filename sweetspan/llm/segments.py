@@ -108,7 +108,7 @@ class SegmentEncoder:
             plain = pc.replace_substring(plain, c, _CUT + c + _CUT)
         lists = pc.split_pattern(plain, _CUT)
         coded = lists.flatten().dictionary_encode()
-        index = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        index = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         lengths = self._length[index]
         ids = self._pool[ragged(self._start[index], lengths)]
         offsets = lists.offsets.to_numpy()
@@ -152,7 +152,7 @@ class SegmentEncoder:
                 self._reset()
             coded = pa.array(segments, pa.string()).dictionary_encode()
             final, self._final = self._final, None  # the pattern's segments are final
-            index = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            index = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
             self._final = final
             lengths = self._length[index]
             ids.append(self._pool[ragged(self._start[index], lengths)])
