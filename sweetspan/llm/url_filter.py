@@ -16,7 +16,8 @@ Defined results: a null url, or one without ``://``, has an empty host and path
 and fits no rule; all rows and columns pass through, repeated ones too, under results
 whose names get leading underscores where they clash; urls of any length are read
 whole; a rule with an empty path fits its hosts whatever the path; empty tables give
-empty results, and without rules every verdict is the default; of rules with equal
+empty results, and without rules every verdict is the default; hosts of
+rules are lower-cased (A-Z) like those of urls, and shown so; of rules with equal
 host and path, block wins; of equally long rules that fit, the one with the longer host.
 """
 
@@ -41,6 +42,7 @@ from . import common as C
 STORE_BYTES, PART_BYTES = 64 << 20, 32 << 20
 #: Bytes of a rule in a store beside its string.
 RULE_BYTES = 17
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _URL = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
 
 
@@ -60,7 +62,7 @@ class DigestStore:
         at = 16 + 16 * n
         self.allow = np.frombuffer(buffer, "u1", n, at)
         self.text = memoryview(buffer)[at + n :]
-        self.path_lengths = sorted({len(s) - (s + b"/").index(b"/") for s in map(self.string, range(n))})
+        self.path_lengths = sorted({len(s) - (s + "/").index("/") for s in (self.string(k).decode() for k in range(n))})
 
     def string(self, k: int) -> bytes:
         return bytes(self.text[int(self.offsets[k]) : int(self.offsets[k + 1])])
@@ -70,7 +72,7 @@ class DigestStore:
         """Bytes of a store of (host, path prefix, verdict) rules."""
         verdicts: dict[bytes, int] = {}
         for host, path, verdict in rules:
-            key = (host + path).encode()
+            key = (host.translate(_LOWER) + path).encode()
             verdicts[key] = min(verdicts.get(key, 1), int(verdict == "allow"))
         keys = sorted(verdicts, key=lambda k: (xxhash.xxh64_intdigest(k), k))
         digests = np.array([xxhash.xxh64_intdigest(k) for k in keys], "<u8")
@@ -89,12 +91,11 @@ class DigestStore:
         return out
 
 
-def candidates(host: str, path: str, path_lengths: list[int]) -> list[bytes]:
-    """Rule strings that would fit, the longest first; the longer host first among equals."""
-    h, p = host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass")
-    labels = h.split(b".")
-    hosts = [b".".join(labels[k:]) for k in range(len(labels))]
-    found = [(len(x) + n, len(x), x + p[:n]) for x in hosts for n in path_lengths if n <= len(p)]
+def candidates(host: str, path: str, path_lengths: list[int]) -> list[str]:
+    """Rule strings that would fit, the longest (in code points) first; the longer host first among equals."""
+    labels = host.split(".")
+    hosts = [".".join(labels[k:]) for k in range(len(labels))]
+    found = [(len(x) + n, len(x), x + path[:n]) for x in hosts for n in path_lengths if n <= len(path)]
     return [x[2] for x in sorted(found, reverse=True)]
 
 
@@ -127,7 +128,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
         for batch in batches:
             parts = [split_url(x) for x in batch.column(at).to_pylist()]
             keys = [candidates(*x, own.path_lengths) for x in parts]
-            hits = own.find([k for own_keys in keys for k in own_keys])
+            hits = own.find([k.encode("utf-8", "surrogatepass") for own_keys in keys for k in own_keys])
             rule, verdict, k = [], [], 0
             for own_keys in keys:
                 hit = next((int(j) for j in hits[k : k + len(own_keys)] if j >= 0), -1)
@@ -146,9 +147,10 @@ def judge_in_parts(pages: DataFrame, rules: DataFrame, url: str = "url", default
     C.ship(pages.sparkSession)
     names = {c: C.free_name(pages, c) for c in ("host", "path", "rule", "verdict")}
     hidden, old = C.hide(pages)
-    rules = rules.select("host", "path", "verdict", F.concat("host", "path").alias("s"))
+    host = F.translate("host", "".join(map(chr, _LOWER)), "".join(map(chr, _LOWER.values())))
+    rules = rules.select(host.alias("host"), "path", "verdict").withColumn("s", F.concat("host", "path"))
     size = rules.agg(F.sum(F.octet_length("s") + RULE_BYTES)).first()[0] or 0
-    lengths = sorted(r[0] for r in rules.select(F.octet_length("path")).distinct().collect())  # as many as the longest path has bytes
+    lengths = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().collect())  # as many as the longest path has characters
     parts = max(1, -(-size // part_bytes))
     part = F.pmod(F.shiftright(F.xxhash64("s"), 16), F.lit(parts)).alias("part")
     df = C.stage(hidden.withColumn("m_row", F.monotonically_increasing_id()), "urls")
@@ -160,9 +162,7 @@ def judge_in_parts(pages: DataFrame, rules: DataFrame, url: str = "url", default
             for row, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host, path = split_url(x)
                 out.append((row, host, path, None, None))
-                found = enumerate(candidates(host, path, lengths))
-                # A prefix that ends inside a character isn't a string; no rule's path does.
-                out += [(row, None, None, k, s) for k, s in ((k, s.decode("utf-8", "replace")) for k, s in found) if "\ufffd" not in s]
+                out += [(row, None, None, k, s) for k, s in enumerate(candidates(host, path, lengths))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
