@@ -174,8 +174,8 @@ class Model:
 class Codec:
     """Encodes and decodes many texts; one in each worker."""
 
-    def __init__(self, data: bytes, verify: bool = True, threads: int = 2):
-        self.model = Model(data)
+    def __init__(self, data: bytes, verify: bool = True, repair: bool = False, threads: int = 2):
+        self.model, self.repair = Model(data), repair
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.own, self.checked = self.model.backend(), None
         if verify:
@@ -221,10 +221,16 @@ class Codec:
                 if not led[k]:
                     theirs = theirs[len(self._feed()) :]
                 if theirs != out[k]:
-                    self.odd.add(s)
-                    out[k] = theirs
+                    self.odd |= self._differing(s) if k < len(joint) else {s}
+                    out[k] = theirs if self.repair else out[k]
         return out
 
+    def _differing(self, joined: str) -> set[str]:
+        """The segments of a joined string that differ from the library's alone; all, if only the whole does."""
+        parts = [MARK + x for x in joined.split(MARK)[1:]]
+        own = self._batch(parts, add_special_tokens=False)
+        return {s for s, a, b in zip(parts, own, self.checked.encode([s[1:] for s in parts], num_threads=1), strict=True) if a.ids != b} or set(parts)
+
     @property
     def compares(self) -> bool:
         """Whether segments are held against the sentencepiece library."""
@@ -263,19 +269,20 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def _codec(data: bytes, verify: bool) -> Codec:
-    key = zlib.crc32(data) * 2 + verify
+def _codec(data: bytes, verify: bool, repair: bool) -> Codec:
+    key = zlib.crc32(data) * 4 + 2 * repair + verify
     if key not in _codecs:
-        _codecs[key] = Codec(data, verify)
+        _codecs[key] = Codec(data, verify, repair)
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = True, verify: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = True, verify: bool = True, repair: bool = False) -> DataFrame:
     """``docs`` with n_pieces, piece_crc32 (of the ids as little-endian 32-bit integers), round_trip, parity, n_odd and, if asked, piece_ids.
 
     round_trip: decoding gives the normalised text back; n_odd: distinct segments
     that differ from the sentencepiece library's, parity: there are none; both
-    null where segments aren't held against it.
+    null where segments aren't held against it.  Ids are this encoder's own, verified
+    or not; with ``repair`` segments that differ take the library's.
     """
     C.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the model, a few MB whatever the data
@@ -285,7 +292,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = T
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value, verify)
+        codec = _codec(sent.value, verify, repair)
         for batch in batches:
             for row, column in slices(batch.column(at)):
                 ids, counts = codec.encode_column(column)
