@@ -227,7 +227,10 @@ def links(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", l
     named = named.join(first, "component").select(F.col("node").alias("rep"), "first")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     by_rep = reps.join(counts, "rep", "left").join(named, "rep", "left")
-    by_rep = by_rep.select(F.col("label").alias("r_label"), F.col("vector").alias("r_vector"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("first", "id").alias("comp"))
-    out = base.join(by_rep, F.col("usable") & (F.col("label") == F.col("r_label")) & (F.col("vector") == F.col("r_vector")), "left")
+    # Rows find their representative by a digest of what they share with it: a looked-up one is sent to all, or salted, as a vector may be a third of all rows'.
+    same = F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("vector", lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256).alias("same")
+    by_rep = C.stage(by_rep.select(same, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("first", "id").alias("comp")), "by_rep")
+    found = C.join_lookup(base.where("usable").select("id", same), by_rep, "same", row_bytes=128, spread=F.col("id")).select("id", "n", "comp")
+    out = found.unionByName(base.where("NOT usable").select("id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("comp")))
     component = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
