@@ -56,6 +56,56 @@ def test_urls(spark):
         assert out == [("", "", None, "allow"), ("", "", None, "allow"), ("a.example.net", "/en/x", "example.net/en/", "allow"), ("net", "/", "net/", "block"), ("xnet", "/", None, "allow"), ("b.org", "", None, "allow"), ("c.org", "/fr/", "org/fr/", "allow"), ("www.example.com", "/de/1", "example.com/de/", "block"), ("example.com", "/den", None, "allow"), ("y:", "//z", None, "allow")]
 
 
+def test_both_ways_of_judging_agree(spark):
+    rules = [("a.org", "/�/", "block"), ("a.org", "/", "allow"), ("Example.COM", "/Äb", "block"), ("x.net", "/é", "block"), ("x.net", "/", "allow"), ("ÄÖ.de", "", "block"), ("org", "/�", "allow"), ("example.com", "/Äb", "block")]
+    urls = ["http://a.org/�/x", "http://a.org/�", "http://b.org/�x", "http://EXAMPLE.com/Äbc", "http://www.Example.com/Äb", "http://x.net/é", "http://x.net/è", "http://x.net/e", "http://ÄÖ.de/", "http://äö.de/", "http://x.net/🙂", "http://a.org/\U0001f642�/"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    plain = [tuple(r) for r in url_filter.judge(df, rules).orderBy("page_id").collect()]
+    for size in (40, 200, 1 << 20):
+        assert [tuple(r) for r in url_filter.judge_in_parts(df, table, part_bytes=size).orderBy("page_id").collect()] == plain
+    assert [r[4:] for r in plain] == [("a.org/�/", "block"), ("a.org/", "allow"), ("org/�", "allow"), ("example.com/Äb", "block"), ("example.com/Äb", "block"), ("x.net/é", "block"), ("x.net/", "allow"), ("x.net/", "allow"), ("ÄÖ.de", "block"), (None, "allow"), ("x.net/", "allow"), ("a.org/", "allow")]
+
+
+def test_parity_verifies_and_repairs_only_if_asked():
+    data = registry.piece_model()
+
+    class Other:
+        """A library that gives one segment other ids."""
+
+        def __init__(self, own):
+            self.own = own
+
+        def encode(self, texts, **options):
+            return [[5, *x] if "planted" in t else x for t, x in zip(texts, self.own.encode(texts, **options), strict=True)] if isinstance(texts, list) else self.own.encode(texts)
+
+    text = ["a planted segment and others, planted", "none of it"]
+    want, n = pieces.Codec(data, verify=False).encode(text)
+    codec = pieces.Codec(data)
+    codec.checked = Other(codec.checked)
+    got, m = codec.encode(text)
+    assert np.array_equal(got, want) and np.array_equal(m, n)
+    assert len(codec.odd) == 1 and len(codec.odd & codec.segments(text[0])) == 1 and not codec.odd & codec.segments(text[1])
+    mended = pieces.Codec(data, repair=True)
+    mended.checked = Other(mended.checked)
+    assert mended.encode(["planted"])[0].tolist() == [5, *pieces.Codec(data).encode(["planted"])[0]]
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384])
+@pytest.mark.parametrize("cosine", [0.98, 0.981, 0.985, 0.99])
+def test_recall_of_the_lattice_near_the_threshold(dim, cosine):
+    random = np.random.default_rng([dim, int(cosine * 1000)])
+    a, b = random.normal(size=(2, 2000, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    b = cosine * a + np.sqrt(1 - cosine**2) * b
+    start = np.full(2000, 3, np.uint64)
+    (own_a, ask_a), (own_b, ask_b) = (lattice.cells(x, start, lattice.TABLES, lattice.PROBES, lattice.BLOCKS) for x in (a, b))
+    met = (own_a == own_b) | (ask_a == own_b[:, :, None]).any(2) | (ask_b == own_a[:, :, None]).any(2)
+    assert met.any(1).mean() >= 0.998 and met.mean() >= 0.85
+
+
 def test_digest_collisions_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)  # every string has one digest
     store = url_filter.DigestStore(url_filter.DigestStore.build([("a", "/", "block"), ("b", "/", "allow"), ("c", "", "block")]))
