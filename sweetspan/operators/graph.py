@@ -9,15 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _on(spark: SparkSession, path: str):
+    """A path of the shared store, and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in local mode a temporary one where none is set."""
+    """This application's own folder in the one named by spark.checkpoint.dir (in local mode a temporary one where none is set); it goes when the application ends."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    own = f"{at.rstrip('/')}/sweetspan-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_own_shared", None) != own:
+        where, store = _on(spark, own)
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        spark.sparkContext._own_shared = own
+    return own
 
 
 def staged(df: DataFrame, name: str = "edges", codec: str = "zstd") -> DataFrame:
@@ -25,11 +37,9 @@ def staged(df: DataFrame, name: str = "edges", codec: str = "zstd") -> DataFrame
 
     The table is deleted when the application ends, if ``discard`` hasn't done so before.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
     spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
@@ -37,9 +47,8 @@ def staged(df: DataFrame, name: str = "edges", codec: str = "zstd") -> DataFrame
 
 def discard(df: DataFrame) -> None:
     """Deletes a staged table that no later plan reads."""
-    spark, path = df.sparkSession, df._stage_path
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, store = _on(df.sparkSession, df._stage_path)
+    store.delete(where, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def q_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_predict(spark: SparkSession, d: str) -> DataFrame:
-    """A classifier fitted to the complete windows of the training share, saved, loaded and applied to a headerless file of the other windows."""
+    """A classifier fitted to the complete windows of the training share, saved, loaded and applied to headerless files of the other windows, those of meals and those without."""
     meal, other = staged(X.whole(spark, d), "meal"), staged(X.whole_no_meal(spark, d), "other")
     both = ml.split(features.labelled(meal.select("wid"), other.select("wid")), "is_meal")
     share = lambda w, kind, train: w.join(both.where((F.col("is_meal") == kind) & (F.col("is_train") == train)).select("wid"), "wid", "left_semi")
@@ -98,9 +98,12 @@ def q_predict(spark: SparkSession, d: str) -> DataFrame:
     model, known = ml.fit_classifier(staged(features.on_missing(rows), "train"), NAMES)
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     files.save_model(model, known, path)
-    test = windows.wide_form(share(meal, 1, False), windows.MEAL).drop("wid")
-    files.write_csv(test, f"{path}/test.csv", header=False)
-    return phases.predict(spark, path, f"{path}/test.csv").select("row", F.col("prediction").cast("int").alias("prediction"))
+    found = None
+    for kind, w, width in ((1, meal, windows.MEAL), (0, other, windows.NO_MEAL)):
+        files.write_csv(windows.wide_form(share(w, kind, False), width).drop("wid"), f"{path}/test_{kind}.csv", header=False)
+        part = phases.predict(spark, path, f"{path}/test_{kind}.csv", width=width).select(F.lit(kind).alias("is_meal"), "row", F.col("prediction").cast("int").alias("prediction"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _k6(spark: SparkSession, d: str) -> DataFrame:
