@@ -57,8 +57,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = common.stage(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            common.discard(before)  # what it read is written
+        before = docs
     return docs
 
 
