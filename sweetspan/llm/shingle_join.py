@@ -183,9 +183,12 @@ def cells(h: np.ndarray, levels: Levels) -> list[np.ndarray]:
 
 
 def point(h: np.ndarray, level: int, levels: Levels) -> np.ndarray:
-    """The counts of the level's groups."""
+    """The counts of the level's groups: about one shingle each, so that a byte holds them; a count cut short would lower the bound."""
     n = levels.groups(level)
-    return np.bincount(_group(h, n).astype(np.int64), minlength=n).clip(max=255).astype(np.uint8)
+    counts = np.bincount(_group(h, n).astype(np.int64), minlength=n)
+    if counts.max() > 255:
+        raise OverflowError(f"{counts.max()} of {len(h)} shingles have hashes of one group in {n}")
+    return counts.astype(np.uint8)
 
 
 class CountRTree:

@@ -1,5 +1,6 @@
 """The training-data operators against brute-force versions, and on odd rows."""
 
+import functools
 import itertools
 import math
 import re
@@ -309,9 +310,8 @@ def test_tree_weighting_follows_its_definition(spark):
     assert tree_weighting.score(df.limit(0), F.lit(False)).count() == 0
 
 
-def test_tree_weighting_across_tokens(spark):
-    texts = ["ab cd ab  cd", "Ab cd\nef", None, "cd ab", "ab cd", "x"]
-    out = {r["doc_id"]: r["score"] for r in tree_weighting.score(docs(spark, texts, 2), F.col("doc_id") > 2, across=True).collect()}
+def coded_plainly(trained, texts):
+    """log10 probabilities of the texts under context trees over token edges, learnt from the trained texts."""
     counts = {}
 
     def events(text):
@@ -320,13 +320,18 @@ def test_tree_weighting_across_tokens(spark):
             for k in range(8):
                 yield data[p - 6 : p], (1 << k) | (data[p] >> (8 - k)), (data[p] >> (7 - k)) & 1
 
-    for text in texts[:3]:
+    for text in trained:
         for c, node, bit in events(text):
             for d in range(7):
                 counts.setdefault((c[6 - d :], node), [0, 0])[bit] += 1
+    children = {}
+    for c, node in counts:
+        if c:
+            children.setdefault((c[1:], node), []).append((c, node))
 
+    @functools.cache
     def below(key):
-        return sum(mixed(k) for k in counts if len(k[0]) == len(key[0]) + 1 and k[0][1:] == key[0] and k[1] == key[1])
+        return sum(map(mixed, children.get(key, [])))
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
@@ -341,11 +346,16 @@ def test_tree_weighting_across_tokens(spark):
         own = (n[bit] + 0.5) / (sum(n) + 1)
         if d == 6:
             return own
-        w = 1 / (1 + math.exp(below(key) - kt(*n)))
+        w = 1 / (1 + math.exp(min(700.0, below(key) - kt(*n))))
         return w * own + (1 - w) * predict(c, node, bit, d + 1)
 
-    for k, text in enumerate(texts):
-        assert out[k] == pytest.approx(sum(math.log10(predict(*e)) for e in events(text)), rel=1e-5)
+    return [sum(math.log10(predict(*e)) for e in events(text)) for text in texts]
+
+
+def test_tree_weighting_across_tokens(spark):
+    texts = ["ab cd ab  cd", "Ab cd\nef", None, "cd ab", "ab cd", "x"]
+    out = {r["doc_id"]: r["score"] for r in tree_weighting.score(docs(spark, texts, 2), F.col("doc_id") > 2, across=True).collect()}
+    assert [out[k] for k in range(len(texts))] == pytest.approx(coded_plainly(texts[:3], texts), rel=1e-5)
     assert out[4] > out[3] + 0.1  # the same words in an order met in training, and in another
 
 
@@ -417,14 +427,8 @@ def test_fine_groups_of_many_segments_stay_in_order():
         assert fine.tolist() == exact and segment.tolist() == [x // shingle_join.FINE for x in exact]
 
 
-def test_lattice(spark):
-    random = np.random.default_rng(6)
-    base = random.normal(size=(40, 16))
-    rows = []
-    for k in range(40):
-        rows += [(base[k], k % 3), (base[k] * 2, k % 3), (base[k] + random.normal(size=16) * 0.03, k % 3), (base[k] + random.normal(size=16) * 0.25, k % 3)]
-    rows += [(base[0], 0), (base[0], None), (np.zeros(16), 0), (np.full(16, np.nan), 0), (np.full(16, np.inf), 1), (np.array([]), 1), (None, 1), (base[0][:8], 0)]
-    df = spark.createDataFrame([(k, None if v is None else [float(x) for x in v], y) for k, (v, y) in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+def links_plainly(rows):
+    """Links and components of the rows (vector, label), by all pairs."""
     v32 = [None if v is None else np.asarray(v, np.float32).astype(float) for v, _ in rows]
     good = [k for k, (v, (_, y)) in enumerate(zip(v32, rows, strict=True)) if v is not None and y is not None and len(v) and np.isfinite(v).all() and v.any()]
     links, parent = {k: 0 for k in range(len(rows))}, list(range(len(rows)))
@@ -439,9 +443,21 @@ def test_lattice(spark):
             links[a] += 1
             links[b] += 1
             parent[max(find(a), find(b))] = min(find(a), find(b))
+    return links, [find(k) for k in range(len(rows))]
+
+
+def test_lattice(spark):
+    random = np.random.default_rng(6)
+    base = random.normal(size=(40, 16))
+    rows = []
+    for k in range(40):
+        rows += [(base[k], k % 3), (base[k] * 2, k % 3), (base[k] + random.normal(size=16) * 0.03, k % 3), (base[k] + random.normal(size=16) * 0.25, k % 3)]
+    rows += [(base[0], 0), (base[0], None), (np.zeros(16), 0), (np.full(16, np.nan), 0), (np.full(16, np.inf), 1), (np.array([]), 1), (None, 1), (base[0][:8], 0)]
+    df = spark.createDataFrame([(k, None if v is None else [float(x) for x in v], y) for k, (v, y) in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    links, firsts = links_plainly(rows)
     out = {r["vec_id"]: r for r in lattice.links(df).collect()}
     assert {k: r["n_links"] for k, r in out.items()} == links
-    assert all(r["component_id"] == find(k) and r["kept"] == (k == find(k)) for k, r in out.items())
+    assert all(r["component_id"] == firsts[k] and r["kept"] == (k == firsts[k]) for k, r in out.items())
     assert lattice.links(df.limit(0)).count() == 0
 
 
