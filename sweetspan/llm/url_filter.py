@@ -5,7 +5,7 @@ as a sorted array of 64-bit xxhash digests with the strings beside it.  Workers
 memory-map it, form every string that could match a url (each parent domain of
 its host with each prefix of its path that is as long as some rule's path),
 probe the digests by vectorised binary search and compare the stored strings,
-so a collision of digests can't decide.  The longest rule that fits wins.
+so a collision of digests can't decide.  The longest rule that fits (in UTF-8 bytes) wins.
 
 A store smaller than ``STORE_BYTES`` is sent to the executors.  A larger rule table
 is cut by digest into stores of about ``PART_BYTES`` (``judge_in_parts``): the
@@ -91,11 +91,16 @@ class DigestStore:
         return out
 
 
+def _n_bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogatepass"))
+
+
 def candidates(host: str, path: str, path_lengths: list[int]) -> list[str]:
-    """Rule strings that would fit, the longest (in code points) first; the longer host first among equals."""
+    """Rule strings that would fit (prefixes of whole code points), the longest in bytes first; the longer host first among equals."""
     labels = host.split(".")
     hosts = [".".join(labels[k:]) for k in range(len(labels))]
-    found = [(len(x) + n, len(x), x + path[:n]) for x in hosts for n in path_lengths if n <= len(path)]
+    prefixes = [(_n_bytes(p), p) for p in (path[:n] for n in path_lengths if n <= len(path))]
+    found = [(n + m, n, x + p) for n, x in ((_n_bytes(x), x) for x in hosts) for m, p in prefixes]
     return [x[2] for x in sorted(found, reverse=True)]
 
 

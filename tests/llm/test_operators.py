@@ -65,7 +65,7 @@ def test_both_ways_of_judging_agree(spark):
     plain = [tuple(r) for r in url_filter.judge(df, rules).orderBy("page_id").collect()]
     for size in (40, 200, 1 << 20):
         assert [tuple(r) for r in url_filter.judge_in_parts(df, table, part_bytes=size).orderBy("page_id").collect()] == plain
-    assert [r[4:] for r in plain] == [("a.org/�/", "block"), ("a.org/", "allow"), ("org/�", "allow"), ("example.com/Äb", "block"), ("example.com/Äb", "block"), ("x.net/é", "block"), ("x.net/", "allow"), ("x.net/", "allow"), ("ÄÖ.de", "block"), (None, "allow"), ("x.net/", "allow"), ("a.org/", "allow")]
+    assert [r[4:] for r in plain] == [("a.org/�/", "block"), ("org/�", "allow"), ("org/�", "allow"), ("example.com/Äb", "block"), ("example.com/Äb", "block"), ("x.net/é", "block"), ("x.net/", "allow"), ("x.net/", "allow"), ("ÄÖ.de", "block"), (None, "allow"), ("x.net/", "allow"), ("a.org/", "allow")]
 
 
 def test_parity_verifies_and_repairs_only_if_asked():
