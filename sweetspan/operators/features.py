@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import sequences as S
 from ..functions.scalars import nan_to_null
+from .workers import ship
 
 #: The features, in order: range, three swings with their slots, slot distance of the extremes, three spectral peaks.
 NAMES = ("f1_range", "f2_dist_1", "f2_slot_1", "f2_dist_2", "f2_slot_2", "f2_dist_3", "f2_slot_3", "f3_slots", "f4_peak_1", "f4_peak_2", "f4_peak_3")
@@ -32,19 +37,112 @@ def shape(w: DataFrame, fill: bool = True) -> DataFrame:
 
 
 def features(w: DataFrame, length: int, extra: bool = False, magnitude: bool = False, fill: bool = True) -> DataFrame:
-    """The features of each window; those that it doesn't have are null."""
-    df = shape(w, fill).withColumn("top", S.top_swings(F.col("sw")))
-    df = df.withColumn("y", S.packed_spectrum(F.col("v"), length, magnitude))
-    df = df.withColumn("pk", S.top_peaks(S.peaks(F.col("y"))))
-    cols = [S.value_range(F.col("v")).alias("f1_range")]
-    for k in range(3):
-        cols += [F.get("top", F.lit(k))["dist"].alias(f"f2_dist_{k + 1}"), F.get("top", F.lit(k))["slot"].cast("double").alias(f"f2_slot_{k + 1}")]
-    cols.append(F.abs(S.argmax(F.col("v")) - S.argmin(F.col("v"))).cast("double").alias("f3_slots"))
-    cols += [F.get("pk", F.lit(k)).alias(f"f4_peak_{k + 1}") for k in range(3)]
-    if extra:
-        cols += [F.array_max("s").alias("f5_max_slope"), (5.0 * S.argmax(F.col("v"))).alias("f6_minutes")]
+    """The features of each window; those that it doesn't have are null.
+
+    Rows go through in Arrow batches, a matrix for each length of window, by the rules of
+    ``sequences``; a reading that isn't a number is missing.
+    """
+    ship(w.sparkSession)
     keep = [c for c in w.columns if c not in ("v", "n_rows")]
-    return df.select(*keep, *cols)
+    names = [*NAMES, *(EXTRA if extra else ())]
+
+    def run(batches):
+        for batch in batches:
+            found = _of_batch(batch.column(batch.num_columns - 1), length, names, magnitude, fill)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, pa.float64(), from_pandas=True) for x in found.T)], names=[*keep, *names])
+
+    schema = StructType([*(w.schema[c] for c in keep), *(StructField(c, DoubleType()) for c in names)])
+    return w.select(*keep, F.col("v").cast("array<double>").alias("v")).mapInArrow(run, schema)
+
+
+def _of_batch(v: pa.Array, length: int, names: list[str], magnitude: bool, fill: bool) -> np.ndarray:
+    """Features in order of ``names``, missing ones NaN, of windows of any lengths."""
+    out = np.full((len(v), len(names)), np.nan)
+    size = pc.fill_null(pc.list_value_length(v), 0).to_numpy()
+    for n in np.unique(size[size > 0]):
+        own = np.flatnonzero(size == n)
+        x = v.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        out[own] = _of_matrix(x, length, magnitude, fill)[:, : len(names)]
+    return out
+
+
+def _of_matrix(x: np.ndarray, length: int, magnitude: bool, fill: bool) -> np.ndarray:
+    """All features, the extra ones last, of windows of one length; NaN is missing."""
+    out, rows = np.full((len(x), len(NAMES) + len(EXTRA)), np.nan), np.arange(len(x))
+    gone = np.isnan(x)
+    high, low = np.where(gone, -np.inf, x), np.where(gone, np.inf, x)
+    top, bottom = high.argmax(1), low.argmin(1)
+    some = ~gone.all(1)
+    out[some, 0] = (high[rows, top] - low[rows, bottom])[some]
+    s = np.concatenate([np.full((len(x), 1), np.nan), np.diff(x, axis=1)], axis=1)
+    if fill:
+        s[np.isnan(s)] = 0
+    for k, (dist, slot) in enumerate(_swings(s)):
+        out[:, 1 + 2 * k], out[:, 2 + 2 * k] = dist, slot
+    out[some, 7] = np.abs(top - bottom)[some]
+    if x.shape[1] == length:
+        whole = ~gone.any(1)
+        out[whole, 8:11] = _peaks(x[whole], length, magnitude)
+    steepest = np.where(np.isnan(s), -np.inf, s).max(1)
+    out[:, 11] = np.where(np.isnan(s).all(1), np.nan, steepest)
+    out[some, 12] = 5.0 * top[some]
+    return out
+
+
+def _six(x: np.ndarray) -> np.ndarray:
+    """Rounded to six digits, halves away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x)
+
+
+def _swings(s: np.ndarray, n: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(dist, slot) of the n widest swings, as ``sequences`` has them; a missing dist comes first."""
+    m, width = s.shape
+    cross = np.ones(s.shape, bool)  # a missing slope has another sign than any
+    cross[:, :-1] = np.sign(s[:, :-1]) != np.sign(s[:, 1:])
+    high, low = np.where(np.isnan(s), -np.inf, s), np.where(np.isnan(s), np.inf, s)
+    sides = []
+    for order in (range(width), range(width - 1, -1, -1)):  # extremes back to the crossing before, and up to the one after
+        most, least, top, bottom = np.empty(s.shape), np.empty(s.shape), np.full(m, -np.inf), np.full(m, np.inf)
+        for i in order:
+            most[:, i], least[:, i] = top, bottom = np.maximum(top, high[:, i]), np.minimum(bottom, low[:, i])
+            top, bottom = np.where(cross[:, i], high[:, i], top), np.where(cross[:, i], low[:, i], bottom)
+        sides.append((most, least))
+    (left_high, left_low), (right_high, right_low) = sides
+    with np.errstate(invalid="ignore"):
+        dist = np.where(s < 0, right_high - left_low, left_high - right_low)
+    place = np.cumsum(cross, axis=1) - 1
+    inner = cross & (place >= 2) & (place < place[:, -1:])
+    key = np.where(inner, np.where(np.isfinite(dist), -_six(np.where(np.isfinite(dist), dist, 0)), -np.inf), np.inf)
+    order = np.argsort(key, axis=1, kind="stable")[:, :n]
+    out = []
+    for k in range(n):
+        at = order[:, k] if k < width else np.zeros(m, np.int64)
+        has = inner[np.arange(m), at] & (k < width)
+        d = dist[np.arange(m), at]
+        out.append((np.where(has & np.isfinite(d), d, np.nan), np.where(has, at.astype(np.float64), np.nan)))
+    return out
+
+
+def _peaks(x: np.ndarray, n: int, magnitude: bool, top: int = 3) -> np.ndarray:
+    """The highest peaks of the spectra of whole windows, as ``sequences`` has them."""
+    angle = 2 * np.pi * (np.outer(np.arange(n), np.arange(n // 2 + 1)) % n) / n
+    c = x - (x.sum(1) / n)[:, None]
+    real, imaginary = c @ np.cos(angle), c @ np.sin(angle)
+    if magnitude:
+        y = np.sqrt(real**2 + imaginary**2)
+    else:
+        y = np.empty(x.shape)
+        y[:, 0], y[:, 1::2], y[:, 2::2] = real[:, 0], real[:, 1:], imaginary[:, 1 : (n + 1) // 2]
+    y = _six(np.abs(y))
+    then = np.full(y.shape, np.nan)  # the next other value
+    for i in range(y.shape[1] - 2, -1, -1):
+        then[:, i] = np.where(y[:, i + 1] != y[:, i], y[:, i + 1], then[:, i + 1])
+    peak = np.zeros(y.shape, bool)
+    peak[:, 1:] = (y[:, :-1] < y[:, 1:]) & (then[:, 1:] < y[:, 1:])
+    best = -np.sort(np.where(peak, -y, np.inf), axis=1)[:, :top]
+    out = np.full((len(y), top), np.nan)
+    out[:, : best.shape[1]] = np.where(np.isfinite(best), best, np.nan)
+    return out
 
 
 def _known(names: tuple[str, ...]) -> Column:

@@ -86,7 +86,9 @@ def q_svm_rbf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_split(spark: SparkSession, d: str) -> DataFrame:
-    return ml.split(_both(spark, d), "is_meal").groupBy("is_meal", "is_train").agg(F.count(F.lit(1)).alias("cnt"))
+    """Sizes of the shares: windows are dealt by their keys, so no feature is worked out."""
+    both = features.labelled(X.whole(spark, d).select("wid"), X.whole_no_meal(spark, d).select("wid"))
+    return ml.split(both, "is_meal").groupBy("is_meal", "is_train").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def q_predict(spark: SparkSession, d: str) -> DataFrame:
