@@ -2,6 +2,9 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from sweetspan.operators import lloyd
 from sweetspan.operators.districts import Leaves
 
 
@@ -21,3 +24,20 @@ def test_pairs_beside_each_other_are_within_reach_and_listed_once():
     pairs = [tuple(sorted((int(a), int(b)))) for p, q in Leaves(x, x).beside(0.8) for a, b in zip(p, q, strict=True)]
     assert len(pairs) == len(set(pairs)) > 0
     assert all(a != b and np.sqrt(((x[a] - x[b]) ** 2).sum()) <= 0.8 for a, b in pairs)
+
+
+def test_silhouettes_send_rows_to_few_tiles(spark, monkeypatch):
+    """What is sent grew with the square of the rows, at 4,096 a tile; equal points are at distance 0."""
+    assert lloyd.TILE >= 65_536 and lloyd.TILES <= 32
+    x = np.random.default_rng(4).normal(50, 1, (300, 2))
+    x[100:200] = x[:100]
+    marks = np.arange(300) % 3
+    df = spark.createDataFrame([(k, *map(float, v), int(m)) for k, (v, m) in enumerate(zip(x, marks, strict=True))], "wid long, a double, b double, cluster int").withColumn("none", F.lit(1))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    own = np.array([d[k, marks == marks[k]].sum() / ((marks == marks[k]).sum() - 1) for k in range(300)])
+    far = np.array([min(d[k, marks == c].mean() for c in range(3) if c != marks[k]) for k in range(300)])
+    for few, block in ((4_096, 256), (20, 16)):
+        monkeypatch.setattr(lloyd, "FEW", few)
+        monkeypatch.setattr(lloyd, "BLOCK", block)
+        got = {r["clustering"]: r["silhouette"] for r in lloyd.silhouette(df, ["a", "b"], ["cluster", "none"]).collect()}
+        assert abs(got["cluster"] - ((far - own) / np.maximum(far, own)).mean()) < 1e-10 and got["none"] == 0
