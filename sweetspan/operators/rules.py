@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_of, half_even, item, item_number
 from .graph import discard, staged
+from .workers import ship
 
 ATTRIBUTES = ("b_max", "b_meal", "insulin_bolus")
 MEAL_SLOT, BIN = 10, 20.0
+#: Candidates that are counted by one pass.
+SETS = 20_000
 
 
 def bin_origin(w: DataFrame, payload: str | None = None) -> DataFrame:
@@ -63,37 +71,79 @@ def apriori(baskets: DataFrame, min_support: float = 0.005, max_items: int | Non
     """(items, n_items, cnt, support) of all frequent itemsets of baskets of any length, given as rows (tid, item).
 
     Level by level: frequent sets that share all but their last item make a
-    candidate, which stays if all its subsets are frequent; a basket holds it if it
-    holds the two it was made of, so counting is a join of the level's rows (tid,
-    set) with themselves by basket, partially aggregated before the shuffle.
-    Rows without an item make no set, but their baskets count.
+    candidate, which stays if all its subsets are frequent.  Each basket becomes one row
+    of the numbers of its usual items; a pass over these rows counts ``SETS``
+    candidates at a time, by bitmaps of a batch's baskets, so nothing is written
+    or sent for the sets that a basket holds.  Rows without an item make no set, but their
+    baskets count; a null basket holds single items only.
     """
-    rows = staged(baskets.select("tid", F.col("item").cast("string").alias("item")).distinct(), "baskets")
+    ship(baskets.sparkSession)
+    rows = baskets.select("tid", F.col("item").cast("string").alias("item"))
     total = rows.select("tid").distinct().count()
     least = min_support * total
-    ones = rows.where("item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
-    level = staged(ones.select(F.array("item").alias("items"), "cnt", F.monotonically_increasing_id().alias("sid")), "level")
-    held = staged(_looked_up(rows.withColumn("items", F.array("item")), level.select("items", "sid"), "items").select("tid", "sid"), "held")
-    out, n = level, 1
-    while (max_items is None or n < max_items) and not level.isEmpty():
-        a = level.select(F.slice("items", 1, n - 1).alias("head") if n > 1 else F.array().cast("array<string>").alias("head"), F.element_at("items", -1).alias("a"), F.col("sid").alias("left"))
-        b = a.select("head", F.col("a").alias("b"), F.col("left").alias("right"))
-        made = a.join(b, "head").where("a < b").select(F.concat("head", F.array("a", "b")).alias("items"), "left", "right")
+    # An item's rows are no fewer than its baskets, so no frequent one is lost.
+    usual = staged(rows.where("item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least).select("item", F.monotonically_increasing_id().alias("number")), "usual")
+    held = staged(_looked_up(rows, usual, "item").groupBy("tid").agg(F.collect_set("number").alias("held")).select("held", F.col("tid").isNull().alias("lone")), "held")
+    made = staged(usual.select(F.array("item").alias("items"), F.array("number").alias("numbers"), F.monotonically_increasing_id().alias("sid")), "candidates")
+    out, n = None, 1
+    while True:
+        level = staged(made.join(_counted(held, made, n), "sid").where(F.col("cnt") >= least).select("items", "numbers", "cnt", "sid"), "level")
+        out = level if out is None else out.unionByName(level)
+        if (max_items is not None and n >= max_items) or level.isEmpty():
+            break
+        a = level.select(F.slice("items", 1, n - 1).alias("head") if n > 1 else F.array().cast("array<string>").alias("head"), F.element_at("items", -1).alias("a"), "numbers")
+        b = a.select("head", F.col("a").alias("b"), F.element_at("numbers", -1).alias("last"))
+        made = a.join(b, "head").where("a < b").select(F.concat("head", F.array("a", "b")).alias("items"), F.concat("numbers", F.array("last")).alias("numbers"))
         if n > 1:  # the two it is made of lack its last items; the other subsets are looked up
             others = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda k: F.filter("items", lambda _, i: i != k))
             parts = made.select("items", F.explode(others).alias("part")).join(level.select(F.col("items").alias("part")), "part", "left_semi")
             made = made.join(parts.groupBy("items").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == n - 1).select("items"), "items")
-        made = staged(made.select("items", "left", "right", F.monotonically_increasing_id().alias("sid")), "candidates")
-        ways = _looked_up(held.withColumnRenamed("sid", "left"), made.select("left", "right", "sid"), "left")
-        both = ways.join(held.select("tid", F.col("sid").alias("right")), ["tid", "right"]).select("tid", "sid")
-        counts = staged(both.groupBy("sid").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least), "counts")
-        level = staged(made.join(counts, "sid").select("items", "cnt", "sid"), "level")
-        old, held, n = held, staged(_looked_up(both, counts.select("sid"), "sid"), "held"), n + 1
-        discard(old)
-        out = out.unionByName(level)
+        made, n = staged(made.select("items", "numbers", F.monotonically_increasing_id().alias("sid")), "candidates"), n + 1
+    discard(held)
     return out.select("items", F.size("items").cast("long").alias("n_items"), "cnt", (F.col("cnt") / F.lit(float(total or 1))).alias("support"))
 
 
+def _counted(held: DataFrame, made: DataFrame, n: int) -> DataFrame:
+    """(sid, cnt) of the candidates that baskets hold, some thousands of candidates to a pass over the baskets."""
+    parts, some = [], []
+    for r in made.select("sid", "numbers").toLocalIterator():
+        some.append((r["sid"], r["numbers"]))
+        if len(some) == SETS:
+            parts.append(staged(_passed(held, some, n), "counts"))
+            some = []
+    parts.append(staged(_passed(held, some, n), "counts"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _passed(held: DataFrame, some: list[tuple[int, list[int]]], n: int) -> DataFrame:
+    """One pass: a batch's baskets are bits of a row for each item, those of a set the bits that its items share."""
+    sids = np.array([s for s, _ in some], np.int64)
+    wanted, places = np.unique(np.array([x for _, x in some], np.int64).reshape(-1, n), return_inverse=True)
+    places = places.reshape(-1, n)
+
+    def run(batches):
+        totals = np.zeros(len(sids), np.int64)
+        for batch in batches:
+            lists = batch.column(0) if n == 1 else batch.column(0).filter(pc.invert(batch.column(1)))
+            if not len(lists) or not len(sids):
+                continue
+            basket, number = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(wanted, number), len(wanted) - 1)
+            good = wanted[at] == number
+            bits = np.zeros((len(wanted), -(-len(lists) // 64) * 8), np.uint8)
+            np.bitwise_or.at(bits, (at[good], basket[good] >> 3), np.left_shift(1, basket[good] & 7).astype(np.uint8))
+            bits = bits.view(np.uint64)
+            for lo in range(0, len(sids), 256):
+                both = bits[places[lo : lo + 256, 0]]
+                for k in range(1, n):
+                    both &= bits[places[lo : lo + 256, k]]
+                totals[lo : lo + 256] += np.bitwise_count(both).sum(1, dtype=np.int64)
+        some = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(sids[some]), pa.array(totals[some])], names=["sid", "cnt"])
+
+    return held.mapInArrow(run, "sid long, cnt long").groupBy("sid").agg(F.sum("cnt").alias("cnt"))
+
+
 def _looked_up(big: DataFrame, small: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
     """Inner join with a lookup, broadcast while it is counted as small; beyond that both sides are salted, as few keys may hold most rows."""
     if small.count() <= rows:

@@ -1,10 +1,12 @@
 """Steps whose work must not grow with the pairs of points, or with the sets that baskets hold."""
 
+from itertools import combinations
+
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from sweetspan.operators import lloyd
+from sweetspan.operators import lloyd, rules
 from sweetspan.operators.districts import Leaves
 
 
@@ -41,3 +43,28 @@ def test_silhouettes_send_rows_to_few_tiles(spark, monkeypatch):
         monkeypatch.setattr(lloyd, "BLOCK", block)
         got = {r["clustering"]: r["silhouette"] for r in lloyd.silhouette(df, ["a", "b"], ["cluster", "none"]).collect()}
         assert abs(got["cluster"] - ((far - own) / np.maximum(far, own)).mean()) < 1e-10 and got["none"] == 0
+
+
+def test_counting_sets_sends_no_row_of_a_basket(spark, monkeypatch):
+    """A pass writes one number a set; it wrote a row for each set that each basket holds."""
+    monkeypatch.setattr(rules, "SETS", 7)
+    r = np.random.default_rng(5)
+    baskets = {t: {f"i{k}" for k in range(9) if r.random() < 0.6} for t in range(300)}
+    rows = [(t, i) for t, b in baskets.items() for i in sorted(b) * 2] + [(999, None), (None, "i1"), (None, "i2")]
+    sizes, written = [], rules.staged
+
+    def watched(df, name, *more):
+        out = written(df, name, *more)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(rules, "staged", watched)
+    got = {tuple(x["items"]): x["cnt"] for x in rules.apriori(spark.createDataFrame(rows, "tid long, item string"), 0.2).collect()}
+    want = {}
+    for n in range(1, 10):
+        for c in combinations(sorted({i for b in baskets.values() for i in b}), n):
+            want[c] = sum(set(c) <= b for b in baskets.values()) + (n == 1 and c[0] in ("i1", "i2"))
+    total = len([b for b in baskets.values() if b]) + 2
+    assert got == {c: v for c, v in want.items() if v >= 0.2 * total}
+    assert all(n <= len(want) for name, n in sizes if name != "held")
+    assert sum(n for name, n in sizes if name == "held") <= len(baskets) + 1
