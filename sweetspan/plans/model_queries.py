@@ -32,7 +32,7 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
     """Scaled features of meal and no-meal windows with is_meal."""
     meal = features.features(X.whole(spark, d), windows.MEAL).select("wid", *NAMES)
     other = features.features(X.whole_no_meal(spark, d), windows.NO_MEAL).select("wid", *NAMES)
-    f = features.on_missing(features.labelled(meal, other), "zero")
+    f = features.on_missing(staged(features.labelled(meal, other), "both"), "zero")  # scaling joins them with their aggregates
     return ml.vectors(staged(features.scaled(f), "scaled"), NAMES)
 
 

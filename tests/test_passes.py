@@ -83,3 +83,26 @@ def test_a_step_of_k_means_is_the_plain_one(spark):
         at = d.argmin(1)
         assert sizes[s].tolist() == np.bincount(at, minlength=len(c)).tolist() and np.isclose(cost[s], d.min(1).sum())
         assert np.allclose(sums[s], [x[at == j].sum(0) for j in range(len(c))])
+
+
+def test_features_of_both_kinds_are_worked_out_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(w, length):
+        def work(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return w.mapInArrow(work, w.schema)
+
+    def rows(first):
+        names = ", ".join(f"{c} double" for c in model_queries.NAMES)
+        return lambda s, d: s.createDataFrame([(first + k, *(float(k + j) for j in range(len(model_queries.NAMES)))) for k in range(5)], f"wid long, {names}")
+
+    monkeypatch.setattr(model_queries.X, "whole", rows(0))
+    monkeypatch.setattr(model_queries.X, "whole_no_meal", rows(100))
+    monkeypatch.setattr(model_queries.features, "features", counted)
+    got = model_queries._both(spark, "").select("wid", "is_meal", model_queries.NAMES[0]).collect()
+    assert seen.value == len(got) == 10
+    assert sum(r["is_meal"] for r in got) == 5 and abs(sum(r[2] for r in got)) < 1e-9
