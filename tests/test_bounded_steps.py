@@ -6,7 +6,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from sweetspan.operators import lloyd, rules
+from sweetspan.operators import lloyd, rules, windows
 from sweetspan.operators.districts import Leaves
 
 
@@ -68,3 +68,24 @@ def test_counting_sets_sends_no_row_of_a_basket(spark, monkeypatch):
     assert got == {c: v for c, v in want.items() if v >= 0.2 * total}
     assert all(n <= len(want) for name, n in sizes if name != "held")
     assert sum(n for name, n in sizes if name == "held") <= len(baskets) + 1
+
+
+def test_a_window_is_sent_once_without_ranks(spark):
+    """Two blocks of readings were sent for each window, twice its readings and their ranks."""
+    random, length = np.random.default_rng(6), windows.MEAL
+    at = lambda minutes: F.timestamp_seconds(F.col(minutes).cast("double") * 60).cast("timestamp_ntz")
+    r = spark.createDataFrame([(k, k * 1.0, float(v) if k % 5 else None) for k, v in enumerate(random.random(3000))], "event_id long, m double, g double").withColumn("ts", at("m"))
+    a = spark.createDataFrame([(k, float(v)) for k, v in enumerate(random.integers(40, 2800, 4000))], "wid long, m double").withColumn("ts", at("m"))
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = sent()
+    found = {x["wid"]: x["v"] for x in windows.windows(a, r, windows.MEAL_SPAN, length).collect()}
+    most = max(n for stage, n in sent().items() if stage not in before)
+    g = [x["g"] for x in r.orderBy("event_id").collect()]
+    starts = {x["wid"]: int(x["m"]) - 30 for x in a.collect()}
+    assert found == {k: g[m : m + length] for k, m in starts.items()}
+    assert most < 1.5 * 8 * length * len(starts)
