@@ -89,3 +89,32 @@ def test_a_window_is_sent_once_without_ranks(spark):
     starts = {x["wid"]: int(x["m"]) - 30 for x in a.collect()}
     assert found == {k: g[m : m + length] for k, m in starts.items()}
     assert most < 1.5 * 8 * length * len(starts)
+
+
+def test_silhouettes_send_no_copies_of_rows(spark, monkeypatch):
+    """Rows were copied to every tile by a shuffle; they are sent to their own and dealt with it, and sums by chunks."""
+    monkeypatch.setattr(lloyd, "FEW", 40)
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    random = np.random.default_rng(7)
+    x, marks = random.normal(size=(1000, 2)), [random.integers(0, k, 1000) for k in (3, 200)]  # of the second, blocks hold many cells
+    rows = [(k, *map(float, x[k]), int(marks[0][k]) if k else None, int(marks[1][k])) for k in range(1000)]
+    df = spark.createDataFrame(rows, "wid long, a double, b double, few int, many int")
+    before = sent()
+    got = {r["clustering"]: r["silhouette"] for r in lloyd.silhouette(df, ["a", "b"], ["few", "many"]).collect()}
+    assert max(n for stage, n in sent().items() if stage not in before) <= 1000
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for name, mark, some in (("few", marks[0], np.arange(1, 1000)), ("many", marks[1], np.arange(1000))):  # a row without a cluster counts as 0
+        means = {c: d[:, some[mark[some] == c]].sum(1) for c in set(mark[some])}
+        size = {c: int((mark[some] == c).sum()) for c in means}
+        own = np.array([means[mark[k]][k] / max(1, size[mark[k]] - 1) for k in some])
+        far = np.array([min(v[k] / size[c] for c, v in means.items() if c != mark[k]) for k in some])
+        value = np.where([size[mark[k]] == 1 for k in some], 0, (far - own) / np.maximum(far, own))
+        assert abs(got[name] - value.sum() / 1000) < 1e-10
+    none = lloyd.silhouette(df.withColumn("few", F.lit(None).cast("int")), ["a", "b"], ["few"]).collect()
+    assert [r["silhouette"] for r in none] == [0.0]
+    assert [r["silhouette"] for r in lloyd.silhouette(df.limit(0), ["a", "b"], ["few"]).collect()] == [None]
