@@ -118,3 +118,20 @@ def test_silhouettes_send_no_copies_of_rows(spark, monkeypatch):
     none = lloyd.silhouette(df.withColumn("few", F.lit(None).cast("int")), ["a", "b"], ["few"]).collect()
     assert [r["silhouette"] for r in none] == [0.0]
     assert [r["silhouette"] for r in lloyd.silhouette(df.limit(0), ["a", "b"], ["few"]).collect()] == [None]
+
+
+def test_all_clusterings_are_assigned_in_one_pass(spark):
+    """The nine sets of centres were met by column functions, an interpreted lambda for each axis of each centre."""
+    random = np.random.default_rng(8)
+    x = random.normal(size=(400, 3)).round(1)
+    centres = {f"_k{k}": random.normal(size=(k, 3)).round(1) for k in (1, 2, 7)}
+    centres["_k7"][5] = centres["_k7"][1]  # of equally near ones the first
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "wid long, a double, b double, c double")
+    names, want = ["a", "b", "c"], df
+    for name, c in centres.items():
+        want = lloyd.assigned(want, names, c, name)
+    found = lloyd.assigned_all(df, names, centres)
+    assert found.orderBy("wid").collect() == want.orderBy("wid").collect()
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    missing = lloyd.assigned_all(df.limit(1).withColumn("b", F.lit(None).cast("double")), names, centres).first()
+    assert [missing[c] for c in centres] == [None] * 3
